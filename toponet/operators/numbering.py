@@ -1,8 +1,8 @@
-"""Running numbers without a one-task window."""
+"""Running numbers and neighbours without one-task or one-group windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,8 @@ def dense_ids(df: DataFrame, order: list[str], lead: str, width: int, name: str)
 
     Rows are cut into ranges of ``width`` values of ``lead``. Each range is
     sorted on its own; the only ordered pass over everything is the running sum
-    over one count per range. The start of a range is found by position, so any
-    mix of range sizes gives the same numbers as one global window.
+    over one count per range. Any mix of range sizes gives the same numbers as
+    one global window.
     """
     ranged = df.withColumn("_range", F.floor(F.col(lead) / width).cast("long"))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -35,3 +35,50 @@ def dense_ids(df: DataFrame, order: list[str], lead: str, width: int, name: str)
         .withColumn(name, (F.col("_start") + F.col("_rn")).cast("long"))
         .drop("_range", "_rn", "_start")
     )
+
+
+def group_ranks(
+    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str
+) -> DataFrame:
+    """``row_number`` per key that splits large keys over many tasks.
+
+    ``bucket`` must not decrease along ``order`` (a coarse form of its first
+    column). Rows are numbered inside (key, bucket); a bucket's start is the sum
+    of the counts of the key's earlier buckets, a table of counts only.
+    """
+    cut = df.withColumn("_b", bucket)
+    counts = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_b").alias("_sb"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    )
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    numbered = cut.withColumn("_rn", F.row_number().over(inside))
+    match = F.col("_b").eqNullSafe(F.col("_sb"))
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"_k_{k}"))
+    return (
+        numbered.join(starts, match)
+        .withColumn(name, (F.col("_start") + F.col("_rn")).cast("int"))
+        .drop("_b", "_sb", "_rn", "_start", *[f"_k_{k}" for k in keys])
+    )
+
+
+def with_previous(
+    df: DataFrame, keys: list[str], rank: str, columns: list[str], prefix: str = "prev_"
+) -> DataFrame:
+    """Columns of the row before, found by (key, rank - 1) instead of a key window."""
+    before = df.select(
+        *keys,
+        (F.col(rank) + 1).alias(rank),
+        *[F.col(c).alias(f"{prefix}{c}") for c in columns],
+    )
+    return df.join(before, [*keys, rank], "left")
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """First ``k`` rows per key; Spark limits each task's group before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_top", rank).filter(F.col("_top") <= k).drop("_top")

@@ -25,6 +25,7 @@ def local_session(cores: str = "8", name: str = "toponet") -> SparkSession:
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
