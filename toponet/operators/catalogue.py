@@ -252,3 +252,42 @@ def balanced_kinds(counts: DataFrame, kinds: list[str], max_works: int) -> DataF
     )
     place = F.array_position(F.lit(kinds), c("kind"))
     return known.orderBy("turn", place).limit(max_works)
+
+
+def with_totals(rows: DataFrame, value: str) -> DataFrame:
+    """Row count and sum beside every row, computed once as scalar subqueries."""
+    count = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = rows.agg(F.sum(value).alias("s")).scalar()
+    return rows.withColumn("total_works", count).withColumn("total_points", total)
+
+
+def label_ceiling(queue: DataFrame, works: DataFrame, rated: DataFrame, limit: int = 8) -> DataFrame:
+    """Coordinates labelled with their most notable work, the best ``limit`` of them.
+
+    Each coordinate first keeps its own best work (a fixed-size aggregate), then
+    one top-k over coordinates.
+    """
+    value = ra.notability(c("rating_source"), c("rating_score"), c("rating_votes"))
+    ranked = works.select("work_id", "title").join(rated, "work_id").withColumn("v", value)
+    spots = queue.select("work_id", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"))
+    best = (
+        spots.join(ranked.filter(c("v").isNotNull()), "work_id")
+        .groupBy("lat", "lng")
+        .agg(F.min(F.struct((-c("v")).alias("v"), "title", "work_id")).alias("_b"))
+    )
+    return best.orderBy(
+        "_b.v", "_b.title", "_b.work_id", "lat", "lng"
+    ).limit(limit).select("lat", "lng", c("_b.title").alias("title"))
+
+
+def membership(works: DataFrame, owned: DataFrame, located: DataFrame) -> DataFrame:
+    """Works with flags: owned by somebody, located somewhere."""
+    return (
+        works.join(owned.distinct().withColumn("_o", F.lit(True)), "work_id", "left")
+        .join(located.distinct().withColumn("_l", F.lit(True)), "work_id", "left")
+        .select(
+            "work_id",
+            F.coalesce("_o", F.lit(False)).alias("in_library"),
+            F.coalesce("_l", F.lit(False)).alias("has_places"),
+        )
+    )

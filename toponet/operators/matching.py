@@ -42,3 +42,576 @@ def not_already_known(rows: DataFrame, known: DataFrame, radius_m: float = 150.0
         & (c("lng") == c("a_lng"))
     )
     return rows.join(hit, same, "left_anti")
+
+
+def spread_nulls(key: Column, *salt: Column) -> Column:
+    """Join key whose NULLs become many different non-matching values.
+
+    An outer join sends all NULL keys to one task; these spread over all.
+    """
+    return F.coalesce(
+        key.cast("string"), F.concat(F.lit("\x00"), F.xxhash64(*salt).cast("string"))
+    )
+
+
+def plausible_year(year: Column) -> Column:
+    """Years after 1800; anything else is unknown."""
+    return F.when(year > 1800, year)
+
+
+# --- identifiers -------------------------------------------------------------------
+def crosswalk(works: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entity of every work by its identifiers.
+
+    ``entities`` has (property, value, entity number). Two entities for one
+    identifier, or different ones from different identifiers, are a conflict;
+    the smallest number is kept either way.
+    """
+    screen = c("kind").isin("film", "series")
+    tmdb = F.when(
+        screen & c("tmdb_id").rlike("^[0-9]+$"),
+        F.struct(
+            F.when(c("kind") == "film", "P4947").otherwise("P4983").alias("property"),
+            c("tmdb_id").alias("value"),
+        ),
+    )
+    imdb = F.when(
+        screen & c("imdb_id").rlike("^tt[0-9]{7,10}$"),
+        F.struct(F.lit("P345").alias("property"), c("imdb_id").alias("value")),
+    )
+    ids = works.select("work_id", F.explode(F.array_compact(F.array(tmdb, imdb))).alias("i"))
+    ids = ids.select("work_id", "i.property", "i.value")
+    known = entities.groupBy("property", "value").agg(
+        F.min("entity").alias("entity"), (F.min("entity") != F.max("entity")).alias("several")
+    )
+    return ids.join(known, ["property", "value"]).groupBy("work_id").agg(
+        F.min("entity").alias("entity"),
+        (F.bool_or("several") | (F.min("entity") != F.max("entity"))).alias("conflict"),
+    )
+
+
+# --- titles ------------------------------------------------------------------------
+def title_index(catalogue: DataFrame) -> DataFrame:
+    """Per normalized title: how many works, and the work when it is the only one."""
+    return catalogue.groupBy(c("title_norm").alias("t_key")).agg(
+        F.count(F.lit(1)).alias("t_count"),
+        F.min("work_id").alias("t_work"),
+        F.min_by("year", "work_id").alias("t_year"),
+    )
+
+
+def title_year_index(catalogue: DataFrame, tolerance: int) -> DataFrame:
+    """Per title and wanted year: works whose year is within the tolerance."""
+    spread = F.explode(F.sequence(c("year") - tolerance, c("year") + tolerance))
+    return (
+        catalogue.filter(c("year").isNotNull())
+        .select(c("title_norm").alias("y_key"), "work_id", spread.alias("y_year"))
+        .groupBy("y_key", "y_year")
+        .agg(F.count(F.lit(1)).alias("y_count"), F.min("work_id").alias("y_work"))
+    )
+
+
+def match_library(library: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Match own items to works: by one id, then the other, then the title.
+
+    Every stage joins to an index with one row per key, so no stage multiplies
+    rows. A title match needs a single work whose year does not contradict, or a
+    single work of the exact year; everything else is refused with its reason.
+    """
+    works = catalogue.withColumn("year", plausible_year(c("year")))
+    imdb = works.filter(c("imdb_id").isNotNull()).groupBy(c("imdb_id").alias("i_key")).agg(
+        F.max("work_id").alias("i_work")
+    )
+    tmdb = works.filter(c("tmdb_id").isNotNull()).groupBy(c("tmdb_id").alias("m_key")).agg(
+        F.max("work_id").alias("m_work")
+    )
+    salt = (c("user_id"), c("item_id"))
+    rows = (
+        library.withColumn("title_norm", fold.normalize_title(F.coalesce("title", F.lit(""))))
+        .withColumn("wanted", plausible_year(c("year")))
+        .withColumn("i_key", spread_nulls(c("imdb_id"), *salt))
+        .withColumn("m_key", spread_nulls(c("tmdb_id"), *salt))
+        .join(imdb, "i_key", "left")
+        .join(tmdb, "m_key", "left")
+    )
+    index, years = title_index(works), title_year_index(works, 0)
+    by_title = c("title_norm") == c("t_key")
+    by_year = (c("title_norm") == c("y_key")) & (c("wanted") == c("y_year"))
+    rows = rows.join(index, by_title, "left").join(years, by_year, "left")
+    single = c("t_count") == 1
+    differs = c("wanted").isNotNull() & c("t_year").isNotNull() & (c("wanted") != c("t_year"))
+    title_work = F.when(single & ~differs, c("t_work")).when(
+        ~single & (c("y_count") == 1), c("y_work")
+    )
+    how = (
+        F.when(c("i_work").isNotNull(), "imdb")
+        .when(c("m_work").isNotNull(), "tmdb")
+        .when(title_work.isNotNull(), F.when(single, "title").otherwise("title_year"))
+    )
+    reason = F.when(
+        how.isNull(),
+        F.when(c("title_norm") == "", "no_title")
+        .when(c("t_count").isNull(), "no_work")
+        .when(single, "year_mismatch")
+        .when(c("wanted").isNull(), "year_needed")
+        .otherwise("tied"),
+    )
+    return rows.select(
+        "user_id", "item_id",
+        F.coalesce("i_work", "m_work", title_work).alias("work_id"),
+        how.alias("matched_by"),
+        reason.alias("reason"),
+    )
+
+
+def match_titles(films: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
+    """Work of a (title, year) record, year tolerance one.
+
+    The title without a trailing bracket is tried second. A single work is taken
+    unless its year contradicts; several need exactly one agreeing year.
+    """
+    full = F.trim("title")
+    short = F.trim(F.regexp_replace(full, r"\s*\([^()]*\)\s*$", ""))
+    variants = F.when((short != "") & (short != full), F.array(full, short)).otherwise(F.array(full))
+    rows = films.select(key, "year", F.posexplode(variants).alias("turn", "variant")).withColumn(
+        "title_norm", fold.normalize_title(c("variant"))
+    )
+    rows = rows.join(title_index(catalogue), c("title_norm") == c("t_key"), "left").join(
+        title_year_index(catalogue, 1),
+        (c("title_norm") == c("y_key")) & (c("year") == c("y_year")), "left",
+    )
+    single = c("t_count") == 1
+    contradicts = F.coalesce(F.abs(c("year") - c("t_year")) > 1, F.lit(False))
+    agreeing = F.coalesce("y_count", F.lit(0))
+    work = F.when(single & ~contradicts, c("t_work")).when(~single & (agreeing == 1), c("y_work"))
+    reason = (
+        F.when(c("title_norm") == "", "no title")
+        .when(c("t_count").isNull(), "no work with this title")
+        .when(
+            single,
+            F.format_string("year mismatch (%d vs %d)", c("year").cast("int"), c("t_year").cast("int")),
+        )
+        .when(agreeing > 1, F.format_string("%d works share this title and year", "y_count"))
+        .otherwise(
+            F.format_string("%d works share this title, year cannot separate them", "t_count")
+        )
+    )
+    rows = rows.withColumn("work", work).withColumn("why", reason)
+    hit = F.min(F.when(c("work").isNotNull(), F.struct("turn", "work")))
+    return rows.groupBy(key).agg(
+        hit["work"].alias("work_id"),
+        F.when(hit.isNull(), F.max_by("why", "turn")).alias("reason"),
+    )
+
+
+def choose_titled_work(records: DataFrame, works: DataFrame, key: str) -> DataFrame:
+    """Work of an inscription's title: preferred kind, fitting year, then fame.
+
+    ``records`` has title_norm, preferred (book / screen / NULL) and years;
+    ``works`` title_norm, kind, year, fame, work_id.
+    """
+    from ..functions import phrases
+
+    # Works equal in title, kind and year differ by fame only: keep the best.
+    best = works.groupBy("title_norm", "kind", "year").agg(
+        F.min(F.struct((-c("fame")).alias("f"), "work_id")).alias("_b"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    rows = records.join(best, "title_norm", "left")
+    liked = F.when(c("preferred") == "book", c("kind") == "book").when(
+        c("preferred") == "screen", c("kind").isin("film", "series")
+    )
+    order = F.struct(
+        F.when(liked.isNull() | liked, 0).otherwise(1).alias("k"), c("_b.f"), c("_b.work_id")
+    )
+    dated = F.size("years") > 0
+    fits = phrases.year_fits(c("year"), c("years"))
+    picked = rows.groupBy(key).agg(
+        F.min(F.when(c("_b").isNotNull() & (~dated | fits), order)).alias("o"),
+        F.sum(F.coalesce("_n", F.lit(0))).alias("n"),
+        F.first("years").alias("years"),
+        F.first(dated).alias("dated"),
+    )
+    found = c("o.work_id").isNotNull() & (c("dated") | (c("n") == 1))
+    why = (
+        F.when(found, None)
+        .when(c("n") == 0, "no film, series or book with that exact title")
+        .when(
+            c("dated"),
+            F.format_string(
+                "the year on the wall (%s) matches none of them",
+                F.array_join(c("years").cast("array<string>"), "/"),
+            ),
+        )
+        .otherwise(F.format_string("no year on the plaque and %d works share the title", "n"))
+    )
+    return picked.select(
+        key, F.when(found, c("o.work_id")).alias("work_id"), why.alias("reason")
+    )
+
+
+# --- gazetteer ---------------------------------------------------------------------
+RIVAL_KM, HINT_KM, NOTABLE_POPULATION = 25.0, 100.0, 100_000
+
+
+def gazetteer_stats(gazetteer: DataFrame) -> DataFrame:
+    """Per name: the candidates that count (exact labels if any) in fixed-size form."""
+    exact = gazetteer.groupBy("name_norm").agg(
+        F.bool_or("exact_label").alias("any_exact"), F.count(F.lit(1)).alias("n_all")
+    )
+    listed = gazetteer.join(exact, "name_norm").filter(c("exact_label") | ~c("any_exact"))
+    first = listed.groupBy("name_norm").agg(
+        F.min_by(F.struct("lat", "lng"), "entity").alias("first")
+    )
+    km = geo.flat_km(c("lat"), c("lng"), c("first.lat"), c("first.lng"))
+    order = F.struct(-F.coalesce("population", F.lit(0)), c("entity"))
+    stats = listed.join(first, "name_norm").groupBy("name_norm").agg(
+        F.first("any_exact").alias("any_exact"),
+        F.first("n_all").alias("n_all"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(km).alias("spread_km"),
+        F.min_by("entity", order).alias("largest"),
+        F.max("population").alias("top_population"),
+        F.count("population").alias("known_populations"),
+    )
+    return stats
+
+
+def choose_entities(asks: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """One gazetteer entity per (name, hint) or a refusal.
+
+    ``asks``: distinct ask_id, name_norm, near_lat, near_lng. ``gazetteer``:
+    name_norm, entity, lat, lng, population, exact_label. The candidate that only
+    the hint can separate is searched within the hint's cells, not among all
+    entities of the name: a rival more than 125 km away cannot change the answer.
+    """
+    from .numbering import top_per_key
+
+    stats = gazetteer_stats(gazetteer)
+    listed = gazetteer.join(stats.select("name_norm", "any_exact"), "name_norm").filter(
+        c("exact_label") | ~c("any_exact")
+    )
+    # Of one exact point only the two smallest entities can be first or second.
+    listed = top_per_key(
+        listed.select("name_norm", "entity", "lat", "lng"), ["name_norm", "lat", "lng"],
+        [c("entity")], 2,
+    )
+    reach = (HINT_KM + RIVAL_KM) * 1000 + 1000
+    hinted = asks.filter(c("near_lat").isNotNull() & c("near_lng").isNotNull()).withColumn(
+        "_cell", F.explode(spatial.cover(c("near_lat"), c("near_lng"), F.lit(reach), reach))
+    )
+    placed = listed.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), reach))
+    km = geo.flat_km(c("lat"), c("lng"), c("near_lat"), c("near_lng"))
+    pairs = hinted.join(placed, ["name_norm", "_cell"]).select("ask_id", "entity", km.alias("km"))
+    two = top_per_key(pairs, ["ask_id"], [c("km"), c("entity")], 2).groupBy("ask_id").agg(
+        F.min(F.struct("km", "entity")).alias("near"), F.max("km").alias("far"),
+        F.count(F.lit(1)).alias("near_n"),
+    )
+    rows = asks.join(stats, "name_norm", "left").join(two, "ask_id", "left")
+    favoured = (c("near.km") <= HINT_KM) & (
+        (c("near_n") == 1) | (c("far") - c("near.km") > RIVAL_KM)
+    )
+    dominant = (c("top_population") >= NOTABLE_POPULATION) & (c("known_populations") == 1)
+    reason = (
+        F.when(c("n").isNull(), "no_candidate")
+        .when((c("n") == 1) & c("any_exact") & (c("n_all") > 1), "exact_label")
+        .when(c("n") == 1, "unique")
+        .when(F.coalesce(favoured, F.lit(False)), "nearest_to_hint")
+        .when(c("spread_km") <= RIVAL_KM, "same_place_multiple_records")
+        .when(F.coalesce(dominant, F.lit(False)), "dominant_population")
+        .otherwise("ambiguous_homonyms")
+    )
+    entity = F.when(reason == "nearest_to_hint", c("near.entity")).when(
+        ~reason.isin("no_candidate", "ambiguous_homonyms"), c("largest")
+    )
+    return rows.select("ask_id", entity.alias("entity"), reason.alias("reason"))
+
+
+# Countries behind area words, words that name two things.
+COUNTRY_WORDS = {
+    "england": "United Kingdom", "scotland": "United Kingdom", "wales": "United Kingdom",
+    "northern ireland": "United Kingdom", "britain": "United Kingdom",
+    "great britain": "United Kingdom", "uk": "United Kingdom",
+    "united kingdom": "United Kingdom", "usa": "United States", "us": "United States",
+    "america": "United States", "united states": "United States",
+    "united states of america": "United States",
+}
+AMBIGUOUS_AREAS = ["georgia", "ireland", "macedonia", "luxembourg", "singapore"]
+HINT_PROSE = (
+    r"(?i)\b(where|which|used|filmed|filming|shot|scenes?|location of|took place|is |was |were |"
+    r"house|home of)\b"
+)
+HINT_INFORMAL = (
+    r"(?i)\b(asia|europe|africa|america|north|south|east|west|central|region|area|metropolitan|"
+    r"alps|coast|bay|near|outskirts|greater)\b"
+)
+
+
+def _area_word(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +", " "))
+
+
+def named_country(area: Column) -> Column:
+    """Country an area hint names by its last telling part, NULL when it is open."""
+    parts = F.reverse(
+        F.filter(F.transform(F.split(F.lower(area), ","), F.trim), lambda p: p != "")
+    )
+    keys, values = list(COUNTRY_WORDS), list(COUNTRY_WORDS.values())
+    table = F.create_map(*[F.lit(x) for kv in zip(keys, values) for x in kv])
+    telling = F.filter(parts, lambda p: p.isin(keys + AMBIGUOUS_AREAS))
+    return F.try_element_at(table, F.get(telling, F.lit(0)))
+
+
+def contradicts_area(name: Column, country: Column, chain: Column, area: Column) -> Column:
+    """The hint names another country, or an area outside the place's admin chain."""
+    claimed = named_country(area)
+    other_country = claimed.isNotNull() & country.isNotNull() & (
+        F.lower(claimed) != F.lower(country)
+    )
+    own = _area_word(name)
+    ancestors = F.filter(
+        F.array_distinct(F.transform(chain, _area_word)), lambda w: (w != "") & (w != own)
+    )
+    keys = list(COUNTRY_WORDS)
+    table = F.create_map(*[F.lit(x) for k, v in COUNTRY_WORDS.items() for x in (k, v.lower())])
+
+    def with_countries(list_: Column) -> Column:
+        mapped = F.transform(
+            F.filter(list_, lambda w: w.isin(keys)), lambda w: F.try_element_at(table, w)
+        )
+        return F.concat(list_, mapped)
+
+    formal = (
+        (F.length(F.trim(area)) > 0)
+        & (F.length(F.trim(area)) <= 42)
+        & ~area.rlike(HINT_PROSE)
+        & ~area.rlike(HINT_INFORMAL)
+    )
+    tokens = with_countries(
+        F.filter(F.transform(F.split(area, ","), _area_word), lambda t: F.length(t) > 2)
+    )
+    words = with_countries(F.concat(F.array(own), ancestors))
+    touches = F.exists(
+        tokens,
+        lambda t: F.exists(words, lambda w: (w != "") & (w.contains(t) | t.contains(w))),
+    )
+    outside = (F.size(ancestors) >= 2) & formal & (F.size(tokens) > 0) & ~touches
+    return F.coalesce(other_country, F.lit(False)) | F.coalesce(outside, F.lit(False))
+
+
+def refuse_elsewhere(choices: DataFrame, entities: DataFrame) -> DataFrame:
+    """Refuse a chosen entity that is an area, or that its hint places elsewhere."""
+    from ..functions.evidence import is_area_type
+
+    rows = choices.join(entities, "entity", "left")
+    reason = (
+        F.when(c("entity").isNull(), c("reason"))
+        .when(is_area_type(c("type_label")), "area_not_a_point")
+        .when(contradicts_area(c("name"), c("country"), c("chain"), c("area")), "contradicts_area")
+        .otherwise(c("reason"))
+    )
+    refused = reason.isin("area_not_a_point", "contradicts_area")
+    return rows.select(
+        "ask_id", F.when(~refused, c("entity")).alias("entity"), reason.alias("reason")
+    )
+
+
+def inside_named_area(heads: DataFrame, areas: DataFrame) -> DataFrame:
+    """Heads inside a candidate of one of their areas; the nearest anchor is kept.
+
+    ``heads``: id, lat, lng, area_names (nearest first). ``areas``: area_norm,
+    anchor_id, a_lat, a_lng. The first area allows 5 km, the others 100 km. Area
+    candidates meet heads by name and cell.
+    """
+    size = 100_000.0
+    asked = heads.select(
+        "id", "lat", "lng", F.posexplode("area_names").alias("turn", "area_norm")
+    ).withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), size))
+    held = areas.withColumn(
+        "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(size * 1.01), size))
+    )
+    km = geo.flat_km(c("lat"), c("lng"), c("a_lat"), c("a_lng"))
+    rows = asked.join(held, ["area_norm", "_cell"]).withColumn("km", km)
+    limit = F.when(c("turn") == 0, 5.0).otherwise(100.0)
+    return rows.filter(c("km") <= limit).groupBy("id").agg(
+        F.min(F.struct("turn", "km", "anchor_id")).alias("_b")
+    ).select("id", c("_b.turn").alias("turn"), c("_b.anchor_id").alias("anchor_id"),
+             c("_b.km").alias("km"))
+
+
+# Words too common to tell two places apart.
+GENERIC_WORDS = (
+    "pool trail park station house building centre center hall club hotel school college library "
+    "theatre theater cinema bridge street road avenue lane court square garden gardens the of at "
+    "light lighthouse deli delicatessen restaurant museum palace secondary high primary "
+    "elementary academy university"
+).split()
+
+
+def bare_name(name: Column) -> Column:
+    """Normalized name without generic words."""
+    return F.array_join(
+        F.filter(F.split(name, " "), lambda w: (w != "") & ~w.isin(GENERIC_WORDS)), " "
+    )
+
+
+def entity_keys(name: Column) -> Column:
+    """Keys under which two names mean one place: the name, or its bare form when
+    generic words were dropped and at least four letters stay."""
+    bare = bare_name(name)
+    usable = (F.char_length(bare) >= 4) & (bare != name)
+    return F.array_compact(
+        F.array(F.concat(F.lit("="), name), F.when(usable, F.concat(F.lit("~"), bare)))
+    )
+
+
+def resolve_entities(rows: DataFrame, entities: DataFrame, radius_m: float = 150.0) -> DataFrame:
+    """Entity of that name within 150 m; two different ones are refused.
+
+    ``rows``: id, name (normalized), lat, lng. ``entities``: entity, e_name,
+    a_lat, a_lng. The join key is (cell, name key); rows are first cut to
+    distinct (name, point).
+    """
+    spots = rows.select("name", "lat", "lng").distinct()
+    asked = spots.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), 200.0)).withColumn(
+        "_key", F.explode(entity_keys(c("name")))
+    )
+    held = entities.withColumn(
+        "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(radius_m), 200.0))
+    ).withColumn("_key", F.explode(entity_keys(c("e_name"))))
+    near = asked.join(held, ["_cell", "_key"]).filter(spatial.great_circle() <= radius_m)
+    found = near.groupBy("name", "lat", "lng").agg(
+        F.min("entity").alias("_lo"), F.count_distinct("entity").alias("_n")
+    )
+    several = c("_n") > 1
+    return rows.join(found, ["name", "lat", "lng"], "left").select(
+        "id",
+        F.when(~several, c("_lo")).alias("entity"),
+        F.when(c("_lo").isNull(), "no entity of that name within 150 m")
+        .when(several, F.format_string("%d entities share this name here", "_n"))
+        .alias("reason"),
+    )
+
+
+def existing_places(groups: DataFrame, places: DataFrame, radius_m: float = 40.0) -> DataFrame:
+    """Place a new group belongs to: the same id, else near and of the same name."""
+    ids = places.filter(c("wikidata_id").isNotNull()).groupBy("wikidata_id").agg(
+        F.min("place_id").alias("by_id")
+    )
+    a = groups.filter(c("lat").isNotNull()).select(
+        c("group_id").alias("a_id"), fold.normalize_name(c("name")).alias("a_name"),
+        c("lat").alias("a_lat"), c("lng").alias("a_lng"),
+    )
+    spots = a.groupBy("a_name", "a_lat", "a_lng").agg(F.min("a_id").alias("a_id"))
+    there = named_points(places, "place_id", "name").groupBy("name", "lat", "lng").agg(
+        F.min("id").alias("id")
+    )
+    near = spatial.near_named_pairs(spots, there, radius_m).groupBy("a_name", "a_lat", "a_lng").agg(
+        F.min("id").alias("by_name")
+    )
+    keyed = groups.withColumn("_w", spread_nulls(c("wikidata_id"), c("group_id")))
+    return (
+        keyed.join(ids.withColumnRenamed("wikidata_id", "_w"), "_w", "left")
+        .join(a.join(near, ["a_name", "a_lat", "a_lng"]).select(
+            c("a_id").alias("group_id"), "by_name"), "group_id", "left")
+        .select(
+            "group_id",
+            F.coalesce("by_id", "by_name").alias("place_id"),
+            F.when(c("by_id").isNotNull(), "id").when(c("by_name").isNotNull(), "name")
+            .alias("matched_by"),
+        )
+    )
+
+
+def access_records(places: DataFrame, records: DataFrame, radius_m: float = 250.0) -> DataFrame:
+    """Access record per place: same name within 250 m, most tags, then nearest.
+
+    ``records``: record_id, r_name, tag_count, a_lat, a_lng.
+    """
+    asked = places.filter(c("lat").isNotNull()).withColumn(
+        "_cell", spatial.cell_of(c("lat"), c("lng"), 300.0)
+    ).withColumn("_n", F.lower("name"))
+    held = records.withColumn(
+        "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(radius_m), 300.0))
+    ).withColumn("_n", F.lower("r_name"))
+    near = asked.join(held, ["_cell", "_n"]).withColumn("m", spatial.great_circle())
+    best = near.filter(c("m") <= radius_m).groupBy("place_id").agg(
+        F.min(F.struct((-c("tag_count")).alias("t"), "m", "record_id")).alias("_b")
+    )
+    return best.select("place_id", c("_b.record_id").alias("record_id"), c("_b.m").alias("metres"))
+
+
+# --- work names and fallbacks --------------------------------------------------------
+def searchable(name: Column) -> Column:
+    """At least two words and six characters, and not a bare identifier."""
+    text = F.trim(name)
+    return (
+        ~text.rlike(r"^Q[1-9]\d*$")
+        & (F.char_length(text) >= 6)
+        & (F.size(F.split(text, r"\s+")) >= 2)
+    )
+
+
+def fanout_names(names: DataFrame) -> DataFrame:
+    """Names tied to a work, once each: things first, then creators, then others.
+
+    ``names``: work_id, name, rank (0 thing, 1 creator, 2 other person), fame.
+    """
+    order = F.struct(
+        c("rank"), F.when(c("rank") == 2, c("fame")).otherwise(-c("fame")), c("name")
+    )
+    rows = names.filter(searchable(c("name"))).withColumn("_key", F.lower("name"))
+    return rows.groupBy("work_id", "_key").agg(F.min_by(F.struct("name", "rank", "fame"), order).alias("_r")
+    ).select("work_id", "_r.name", "_r.rank", "_r.fame")
+
+
+def best_relation(links: DataFrame, order: list[str]) -> DataFrame:
+    """Links of the best relation each work has; lesser relations only when it has none."""
+    rank = F.array_position(F.lit(order), c("relation_kind"))
+    rows = links.withColumn("_rank", rank).filter(c("_rank") > 0)
+    best = rows.groupBy("work_id").agg(F.min("_rank").alias("_rank"))
+    return rows.join(best, ["work_id", "_rank"], "left_semi").drop("_rank")
+
+
+def accept_claims(claims: DataFrame, consulted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Claims with a consulted source, each name once; the others with their reason.
+
+    ``claims``: claim_id, request_id, place, url. A name counts as seen from the
+    first claim that passes its source check.
+    """
+    from ..functions.phrases import canonical_url
+
+    known = existing.select("request_id", F.lower("place").alias("_key")).distinct().withColumn(
+        "_known", F.lit(True)
+    )
+    sources = consulted.select(canonical_url(c("url")).alias("_url")).distinct().withColumn(
+        "_seen", F.lit(True)
+    )
+    rows = (
+        claims.withColumn("_key", F.lower(F.trim("place")))
+        .withColumn("_url", canonical_url(c("url")))
+        .join(sources, "_url", "left")
+        .join(known, ["request_id", "_key"], "left")
+    )
+    base = F.when(c("_key") == "", "no_name").when(c("_seen").isNull(), "source_not_consulted").when(
+        c("_known"), "duplicate_name"
+    )
+    rows = rows.withColumn("_why", base)
+    first = rows.filter(c("_why").isNull()).groupBy("request_id", "_key").agg(
+        F.min("claim_id").alias("_first")
+    )
+    rows = rows.join(first, ["request_id", "_key"], "left")
+    return rows.select(
+        "claim_id",
+        F.coalesce("_why", F.when(c("_first") != c("claim_id"), "duplicate_name")).alias("reason"),
+    )
+
+
+def verdicts_to_redo(pairs: DataFrame, verdicts: DataFrame, key: list[str], version: str) -> DataFrame:
+    """Pairs without a remembered verdict for the same version and the same inputs."""
+    rest = sorted(x for x in pairs.columns if x not in key)
+    hashed = pairs.withColumn("inputs_hash", F.sha2(F.to_json(F.array(*[c(x).cast("string") for x in rest])), 256))
+    current = verdicts.filter(
+        (c("matcher_version") == version) & (c("reason") == "no_high_confidence_match")
+    ).select(*key, "inputs_hash").distinct()
+    return hashed.join(current, [*key, "inputs_hash"], "left_anti")
