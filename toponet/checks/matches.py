@@ -418,7 +418,7 @@ def j02(v):
         when relation_kind in ('author_place', 'artist_place') then 1 else 0 end distance, w.title n, narrative_order o, cast(null as int) y
       from fx_links l join fx_works w using (work_id) union all
       select fact_id, 'creator', 'creator_link', place_id, 1, k.name, null, stated_year from fx_creator_links join fx_creators k using (creator_id))
-    select place_id, fact_id, subject_type, distance, coalesce(c, 0) evidence_count, cast(row_number() over (partition by place_id
+    select place_id, f.fact_id, subject_type, distance, coalesce(c, 0) evidence_count, cast(row_number() over (partition by place_id
       order by distance, n, o nulls first, y nulls last, f.fact_id) as int) position
     from f left join (select subject_type e, subject_id fact_id, count(*) c from fx_evidence where subject_type <> 'place' group by 1, 2) x on x.e = f.e and x.fact_id = f.fact_id""",
 )

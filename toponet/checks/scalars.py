@@ -418,7 +418,7 @@ def f22(v):
         "item_id",
         phrases.supports_role(s, F.lit("filming_location")).alias("filming"),
         phrases.supports_role(s, F.lit("author_place")).alias("author"),
-        s.rlike(phrases.PLAN_NOT_FACT).alias("plan"),
+        s.rlike(phrases.js(phrases.PLAN_NOT_FACT)).alias("plan"),
         phrases.names_a_person(F.lit("Market Hall"), s).alias("person"),
     )
 

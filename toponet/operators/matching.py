@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fold, geo
+from ..functions import fold, geo, phrases
 from . import spatial
 
 c = F.col
@@ -210,8 +210,6 @@ def choose_titled_work(records: DataFrame, works: DataFrame, key: str) -> DataFr
     ``records`` has title_norm, preferred (book / screen / NULL) and years;
     ``works`` title_norm, kind, year, fame, work_id.
     """
-    from ..functions import phrases
-
     # Works equal in title, kind and year differ by fame only: keep the best.
     best = works.groupBy("title_norm", "kind", "year").agg(
         F.min(F.struct((-c("fame")).alias("f"), "work_id")).alias("_b"),
@@ -384,8 +382,8 @@ def contradicts_area(name: Column, country: Column, chain: Column, area: Column)
     formal = (
         (F.length(F.trim(area)) > 0)
         & (F.length(F.trim(area)) <= 42)
-        & ~area.rlike(HINT_PROSE)
-        & ~area.rlike(HINT_INFORMAL)
+        & ~area.rlike(phrases.js(HINT_PROSE))
+        & ~area.rlike(phrases.js(HINT_INFORMAL))
     )
     tokens = with_countries(
         F.filter(F.transform(F.split(area, ","), _area_word), lambda t: F.length(t) > 2)

@@ -44,8 +44,8 @@ def blocker() -> Column:
     """First reason to leave a queue row pending."""
     name = F.trim(F.coalesce("place_name", F.lit("")))
     return (
-        F.when(name.rlike(phrases.CREDIT_TAIL), "unusable_name:photo_credit_appended")
-        .when(name.rlike(phrases.CAPTION_MARKER), "unusable_name:caption_prefix_not_cut")
+        F.when(name.rlike(phrases.js(phrases.CREDIT_TAIL)), "unusable_name:photo_credit_appended")
+        .when(name.rlike(phrases.js(phrases.CAPTION_MARKER)), "unusable_name:caption_prefix_not_cut")
         .when(phrases.word_count(name) > MAX_NAME_WORDS, "unusable_name:sentence_not_a_name")
         .when(c("lat").isNull() | c("lng").isNull(), "no_coordinate")
     )

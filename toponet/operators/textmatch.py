@@ -24,9 +24,19 @@ def _grams(words: Column, n: int) -> Column:
     return F.array_distinct(F.when(last >= 1, runs).otherwise(F.array().cast("array<string>")))
 
 
-def all_grams(words: Column) -> Column:
-    """Runs of every tier length."""
-    return F.flatten(F.array(*[_grams(words, n) for n in GRAM_TIERS]))
+def all_grams(words: Column, tiers: list[int]) -> Column:
+    """Runs of every given length. ``words`` must be a plain column: inside the
+    lambdas an expression would be computed again for every run."""
+    return F.flatten(F.array(*[_grams(words, n) for n in tiers]))
+
+
+def exploded_grams(texts: DataFrame, key: str, words: Column, leads: DataFrame) -> DataFrame:
+    """(key, _gram) for the run lengths that occur among the ``leads`` (at most seven)."""
+    tier = F.split_part("_gram", F.lit(":"), F.lit(1)).cast("int")
+    tiers = sorted(r[0] for r in leads.select(tier).distinct().collect())
+    cut = texts.select(key, words.alias("_words"), F.size(words).alias("_size"))
+    cut = cut.filter(c("_size") > 0)
+    return cut.select(key, F.explode(all_grams(c("_words"), tiers or [1])).alias("_gram"))
 
 
 def lead_gram(words: Column) -> Column:
@@ -62,7 +72,7 @@ def title_claims(texts: DataFrame, works: DataFrame, key: str) -> DataFrame:
     leads = titles.withColumn("_gram", lead_gram(ascii_words(c("title")))).filter(
         c("_gram").isNotNull()
     )
-    grams = texts.select(key, F.explode(all_grams(ascii_words(c("text")))).alias("_gram"))
+    grams = exploded_grams(texts, key, ascii_words(c("text")), leads)
     pairs = grams.join(leads, "_gram").drop("_gram")
     rows = pairs.join(texts.select(key, "text"), key)
     quoted = F.concat(F.lit("\\Q"), F.replace("title", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
@@ -102,7 +112,7 @@ def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_key: str, text_ke
     long_keys = asked.filter(F.size(words) >= 3).select(
         quote_key, "quote", lead_gram(inner).alias("_gram")
     )
-    prose_grams = held.select(text_key, F.explode(all_grams(F.split("prose", " "))).alias("_gram"))
+    prose_grams = exploded_grams(held, text_key, F.split("prose", " "), long_keys)
     pairs = prose_grams.join(long_keys, "_gram").select(quote_key, "quote", text_key)
     short = asked.filter(F.size(words) < 3)
     if not short.isEmpty():
