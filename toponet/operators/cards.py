@@ -192,3 +192,76 @@ def stored_frames(pairs: DataFrame, works: DataFrame, places: DataFrame, links:
         .otherwise("frame")
     )
     return rows.select("work_id", "place_id", "file_path", state.alias("state"))
+
+
+def work_candidates(submissions: DataFrame, limit: int = 60) -> DataFrame:
+    """Queue rows on a work's card: checked first, mappable first, then by name."""
+    status = F.when(c("status") == "verified", 0).when(c("status") == "pending", 2).otherwise(4)
+    mappable = F.when(c("lat").isNotNull() & c("lng").isNotNull(), 0).otherwise(1)
+    name = F.trim("place_name")
+    rows = submissions.filter((c("status") != "rejected") & (name != ""))
+    return top_per_key(rows, ["work_id"], [status + mappable, name, c("id")], limit)
+
+
+def fold_bindings(links: DataFrame) -> DataFrame:
+    """One row per (work, place): first date, one sample, number of distinct kinds."""
+    return links.groupBy("work_id", "place_id").agg(
+        F.min("created_at").alias("first_date"),
+        F.min_by("relation_kind", "link_id").alias("sample"),
+        F.count_distinct("relation_kind").alias("types"),
+    )
+
+
+def venue_spellings(submissions: DataFrame) -> DataFrame:
+    """Spellings of one venue collapsed: shortest name, how many spellings.
+
+    Names fit when their heads are equal and their areas agree, so only names of
+    one head are compared, and of those only the distinct area lists.
+    """
+    import pandas as pd
+
+    from ..functions.fold import normalize_name
+    from ..functions.phrases import area_keys, place_head
+
+    rows = submissions.select("place_name").distinct().select(
+        "place_name",
+        normalize_name(place_head(c("place_name"))).alias("head"),
+        F.array_join(F.array_sort(F.array_distinct(area_keys(c("place_name")))), "|").alias("areas"),
+    )
+    lists = rows.groupBy("head", "areas").agg(
+        F.min("place_name").alias("first"), F.count(F.lit(1)).alias("spellings"),
+        F.min(F.struct(F.length("place_name").alias("n"), "place_name")).alias("short"),
+    )
+
+    def collapse(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: list[list[frozenset]] = []
+        pdf = pdf.sort_values("first").reset_index(drop=True)
+        label = []
+        for text in pdf["areas"]:
+            mine = frozenset(x for x in text.split("|") if x)
+            fits = (
+                g for g, held in enumerate(groups)
+                if pdf["head"][0] and all(not mine or not o or mine & o for o in held)
+            )
+            home = next(fits, None)
+            if home is None:
+                home = len(groups)
+                groups.append([])
+            groups[home].append(mine)
+            label.append(home)
+        pdf["venue"] = label
+        return pdf[["head", "venue", "spellings", "n", "name"]]
+
+    flat = lists.select("head", "areas", "first", "spellings", "short.n", c("short.place_name").alias("name"))
+    made = flat.groupBy("head").applyInPandas(
+        collapse, "head string, venue int, spellings long, n int, name string"
+    )
+    return made.groupBy("head", "venue").agg(
+        F.min(F.struct("n", "name"))["name"].alias("name"), F.sum("spellings").alias("spellings")
+    )
+
+
+def walkable(places: DataFrame) -> DataFrame:
+    """Located places with a building or a fine precision."""
+    fine = F.lower("geocode_precision").isin(FINE_PRECISIONS)
+    return places.filter(c("lat").isNotNull() & (c("osm_building_id").isNotNull() | fine))

@@ -44,3 +44,403 @@ def mergeable_pairs(shapes_: DataFrame) -> DataFrame:
     return pairs.filter((c("a_id") < c("id")) & same_kind & no_conflict).select(
         "a_id", c("id").alias("b_id"), "metres"
     )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of an edge list (a, b); the component is its smallest node.
+
+    Alternating large-star and small-star rounds: the number of rounds grows with
+    the logarithm of the longest chain, and a hub's edges are re-pointed instead
+    of multiplied. Every round is checkpointed; two aggregates decide when the
+    edge set stands still.
+    """
+    from ..session import cut_lineage
+
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    pairs = edges.select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    ).filter(c("u") != c("v")).distinct()
+    pairs = cut_lineage(pairs)
+    before = state(pairs)
+    while before[0]:
+        both = pairs.unionByName(pairs.select(c("v").alias("u"), c("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter(c("v") > c("u")).select(
+            c("v").alias("u"), c("m").alias("v")
+        ).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter(c("v") != c("m")).select(
+            c("v").alias("u"), c("m").alias("v")
+        )
+        pairs = cut_lineage(small.unionByName(low.select("u", c("m").alias("v"))).distinct())
+        after = state(pairs)
+        if after == before:
+            break
+        before = after
+    roots = pairs.select(c("v").alias("node"), c("v").alias("component")).distinct()
+    return pairs.select(c("u").alias("node"), c("v").alias("component")).unionByName(roots)
+
+
+def greedy_groups(edges: DataFrame, every: bool) -> DataFrame:
+    """(node, group) of the nodes in an edge list, greedy in node order.
+
+    A node joins the first group in which every (or any) member is its
+    neighbour, else it opens one; the group is named by its first node. Two
+    nodes can only share a group along a chain of edges, so the greedy pass runs
+    per connected component and equals the pass over everything.
+    """
+    import pandas as pd
+
+    from ..session import cut_lineage
+
+    edges = cut_lineage(edges.select("a", "b"))
+    labelled = edges.join(components(edges), c("a") == c("node")).select("component", "a", "b")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set] = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        group_of: dict[int, int] = {}
+        members: dict[int, set] = {}
+        for node in sorted(near):
+            open_groups = sorted({group_of[n] for n in near[node] if n in group_of})
+            if every:
+                open_groups = [g for g in open_groups if members[g] <= near[node]]
+            group = open_groups[0] if open_groups else node
+            group_of[node] = group
+            members.setdefault(group, set()).add(node)
+        return pd.DataFrame({"node": list(group_of), "grp": list(group_of.values())})
+
+    return labelled.groupBy("component").applyInPandas(assign, "node long, grp long")
+
+
+def place_groups(places: DataFrame) -> DataFrame:
+    """Group of every located place: near-duplicates that all merge pairwise."""
+    distinct = shapes(places)
+    edges = mergeable_pairs(distinct).select(c("a_id").alias("a"), c("b_id").alias("b"))
+    grouped = greedy_groups(edges, every=True)
+    keyed = distinct.join(grouped, c("id") == c("node"), "left").withColumn(
+        "group_id", F.coalesce("grp", "id")
+    )
+    match = ["name", "lat", "lng", "place_class", "geocode_precision"]
+    placed = places.filter(c("lat").isNotNull()).withColumn("_n", normalize_name(c("name")))
+    on = placed["_n"] == keyed["name"]
+    for x in match[1:]:
+        on = on & (placed[x] == keyed[x])
+    on = on & placed["wikidata_id"].eqNullSafe(keyed["wikidata_id"])
+    # Coarse places never merge, not even equal ones: each stays its own group.
+    fine = placed["geocode_precision"].isin(PRECISE)
+    rows = placed.join(keyed.select(*[keyed[x] for x in match], "wikidata_id", "group_id"), on)
+    return rows.select(
+        placed["place_id"], placed["wikidata_id"], placed["confidence"],
+        F.when(fine, c("group_id")).otherwise(placed["place_id"]).alias("group_id"),
+    )
+
+
+def surviving_places(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per group: the kept place, members, distinct works of all members."""
+    order = F.struct(
+        c("wikidata_id").isNull(), -F.coalesce("confidence", F.lit(0.0)), c("place_id")
+    )
+    kept = groups.groupBy("group_id").agg(
+        F.min_by("place_id", order).alias("place_id"), F.count(F.lit(1)).alias("merged_count")
+    )
+    works = (
+        links.select("work_id", "place_id")
+        .join(groups.select("place_id", "group_id"), "place_id")
+        .select("group_id", "work_id").distinct()
+        .groupBy("group_id").agg(F.count(F.lit(1)).alias("works"))
+    )
+    return kept.join(works, "group_id", "left").withColumn(
+        "works", F.coalesce("works", F.lit(0).cast("long"))
+    )
+
+
+DONORS = ["moviemaps", "permit_record", "wikipedia"]
+
+
+def name_clusters(submissions: DataFrame) -> DataFrame:
+    """Cluster of every named queue row within its work.
+
+    Names are compared once per (work, name), in order of first appearance; all
+    rows of one name stay together. Names of one work meet on their affixes, so
+    a work with very many names is not paired with itself.
+    """
+    from ..functions.fold import names_match
+    from ..session import cut_lineage
+
+    named = submissions.withColumn("name", normalize_name(c("place_name"))).filter(c("name") != "")
+    heads = named.groupBy("work_id", "name").agg(F.min("id").alias("id"))
+    a = heads.select("work_id", c("name").alias("a_name"), c("id").alias("a_id"))
+    pairs = None
+    for left_all in (True, False):
+        left = a.withColumn("_k", F.explode(spatial._affix_keys(c("a_name"), "es", left_all)))
+        right = heads.withColumn("_k", F.explode(spatial._affix_keys(c("name"), "es", not left_all)))
+        found = left.join(right, ["work_id", "_k"]).filter(c("a_id") < c("id"))
+        found = found.filter(names_match(c("a_name"), c("name"))).select(
+            c("a_id").alias("a"), c("id").alias("b")
+        )
+        pairs = found if pairs is None else pairs.unionByName(found)
+    grouped = greedy_groups(pairs.distinct(), every=False)
+    keyed = cut_lineage(
+        heads.join(grouped, c("id") == c("node"), "left").select(
+            "work_id", "name", F.coalesce("grp", "id").alias("cluster_id")
+        )
+    )
+    return named.join(keyed, ["work_id", "name"])
+
+
+def corroborations(clusters: DataFrame) -> DataFrame:
+    """Queue rows that another source confirms: how many, which sources, borrowed point.
+
+    The cluster table holds who is in which cluster; rows carry counts instead of
+    the list of all others, which would be quadratic in the cluster.
+    """
+    donor_rank = F.array_position(F.lit(DONORS), c("source_kind"))
+    has_point = c("lat").isNotNull() & c("lng").isNotNull()
+    donor = F.when(
+        has_point & (donor_rank > 0),
+        F.struct(donor_rank.alias("r"), "id", "lat", "lng", "source_kind"),
+    )
+    per_source = clusters.groupBy("cluster_id", "source_kind").agg(
+        F.count(F.lit(1)).alias("n"), F.min(donor).alias("donor")
+    )
+    totals = per_source.groupBy("cluster_id").agg(
+        F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("kinds"), F.min("donor").alias("donor"),
+        F.sort_array(F.collect_set("source_kind")).alias("all_kinds"),  # a handful of kinds
+    )
+    rows = (
+        clusters.join(totals.filter(c("kinds") > 1), "cluster_id")
+        .join(per_source.select("cluster_id", "source_kind", c("n").alias("own")),
+              ["cluster_id", "source_kind"])
+    )
+    borrows = ~has_point & c("donor").isNotNull() & (c("donor.id") != c("id"))
+    return rows.select(
+        "id",
+        "cluster_id",
+        (c("n_all") - c("own")).alias("others"),
+        F.array_remove("all_kinds", c("source_kind")).alias("other_kinds"),
+        F.when(borrows, c("donor.id")).alias("donor_id"),
+        F.when(borrows, c("donor.lat")).otherwise(c("lat")).alias("lat"),
+        F.when(borrows, c("donor.lng")).otherwise(c("lng")).alias("lng"),
+        F.when(borrows, F.concat(c("donor.source_kind"), F.lit("_via_corroboration")))
+        .alias("geocode_source"),
+    )
+
+
+def corroboration_list(clusters: DataFrame, ids: list[int]) -> DataFrame:
+    """The full list of other-source rows for some given rows."""
+    asked = clusters.filter(c("id").isin(ids)).select(
+        c("id").alias("asked_id"), "cluster_id", c("source_kind").alias("own_kind")
+    )
+    return asked.join(clusters, "cluster_id").filter(c("source_kind") != c("own_kind")).select(
+        c("asked_id").alias("id"), "source_kind", c("id").alias("submission_id"), "place_name"
+    )
+
+
+# --- same spot -----------------------------------------------------------------------
+SAME_POINT_M = 5.0
+
+
+def _prefix_match(a, b):
+    """Equal names, or one goes on after the other with a blank."""
+    return (a == b) | b.startswith(F.concat(a, F.lit(" "))) | a.startswith(F.concat(b, F.lit(" ")))
+
+
+def spot_groups(stops: DataFrame) -> DataFrame:
+    """Stops collapsed to spots: within 5 m, or within 40 m and a name prefix.
+
+    ``stops``: stop_id (text), name, lat, lng. Works on distinct (name, point).
+    Components are built over points: neighbours within 5 m plus name matches
+    within 40 m. The pairs of all names on one crowded point are never made; the
+    greedy pass tests a stop against the groups of its component.
+    """
+    import numpy as np
+    import pandas as pd
+
+    shaped = stops.withColumn("key", normalize_name(c("name"))).groupBy("key", "lat", "lng").agg(
+        F.min("stop_id").alias("first_stop")
+    )
+    point = F.xxhash64("lat", "lng")
+    shaped = shaped.withColumn("point", point)
+    points = shaped.select(c("point").alias("id"), "lat", "lng").distinct()
+    near = spatial.within_radius(
+        points.select(c("id").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")),
+        points, SAME_POINT_M + 0.5, 50.0, spatial.whole_metres(), c("metres") <= SAME_POINT_M,
+    ).select("a", c("id").alias("b"))
+    # A name prefix ends before a blank: both sides meet on every such prefix.
+    words = F.split("key", " ")
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " ")
+    )
+    shorter = shaped.filter(c("key") != "").select(
+        c("point").alias("a"), c("key").alias("_k"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
+    )
+    longer = shaped.filter(c("key") != "").select(
+        c("point").alias("b"), F.explode(prefixes).alias("_k"), "lat", "lng"
+    )
+    size = MERGE_RADIUS_M + 1
+    left = shorter.withColumn(
+        "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(size), size))
+    )
+    right = longer.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), size))
+    named = left.join(right, ["_cell", "_k"]).filter(
+        spatial.whole_metres() <= MERGE_RADIUS_M
+    ).select("a", "b")
+    comps = components(near.unionByName(named).filter(c("a") != c("b")))
+    rows = shaped.join(comps, c("point") == c("node"), "left").withColumn(
+        "component", F.coalesce("component", "point")
+    )
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first_stop", kind="stable").reset_index(drop=True)
+        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
+        keys = pdf["key"].tolist()
+
+        def alike(i: int, j: int) -> bool:
+            h = (
+                np.sin((lat[j] - lat[i]) / 2) ** 2
+                + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[j] - lng[i]) / 2) ** 2
+            )
+            m = np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
+            if m > MERGE_RADIUS_M:
+                return False
+            if m <= SAME_POINT_M:
+                return True
+            a, b = sorted((keys[i], keys[j]), key=len)
+            return bool(a) and (a == b or b.startswith(a + " "))
+
+        groups: list[list[int]] = []
+        label = [0] * len(keys)
+        for i in range(len(keys)):
+            for n, group in enumerate(groups):
+                if all(alike(j, i) for j in group):
+                    group.append(i)
+                    label[i] = n
+                    break
+            else:
+                label[i] = len(groups)
+                groups.append([i])
+        first = [pdf["first_stop"][g[0]] for g in groups]
+        pdf["spot_id"] = [first[n] for n in label]
+        return pdf[["key", "lat", "lng", "spot_id"]]
+
+    made = rows.groupBy("component").applyInPandas(
+        assign, "key string, lat double, lng double, spot_id string"
+    )
+    return stops.withColumn("key", normalize_name(c("name"))).join(made, ["key", "lat", "lng"])
+
+
+def collapsed_spots(spotted: DataFrame) -> DataFrame:
+    """One row per spot: the shortest-named stop, members, distinct works."""
+    order = F.struct(F.length("name"), c("stop_id"))
+    works = spotted.select("spot_id", "work_id").distinct().groupBy("spot_id").agg(
+        F.count("work_id").alias("works")
+    )
+    return spotted.groupBy("spot_id").agg(
+        F.min_by(F.struct("stop_id", "name", "lat", "lng", "verified"), order).alias("_p"),
+        F.count(F.lit(1)).alias("merged_count"),
+    ).join(works, "spot_id").select("spot_id", "_p.*", "merged_count", "works")
+
+
+ANSWER_RADIUS_M = 150.0
+
+
+def answer_groups(points: DataFrame) -> DataFrame:
+    """Answer points merged: within 150 m of a group's first point and a name that
+    fits the group's current (shortest) name.
+
+    ``points``: point_id, name, lat, lng. A group's name is always a member's
+    name, so members are linked by name matches within 300 m; those links make
+    the components, not bare distance.
+    """
+    import numpy as np
+    import pandas as pd
+
+    shaped = points.withColumn("name_key", normalize_name(c("name"))).groupBy(
+        "name", "name_key", "lat", "lng"
+    ).agg(F.min("point_id").alias("id"))
+    keyed = shaped.select("id", c("name_key").alias("name"), "lat", "lng")
+    a = keyed.select(
+        c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
+    )
+    match = spatial.near_named_pairs(a, keyed, 2 * ANSWER_RADIUS_M).select(
+        c("a_id").alias("a"), c("id").alias("b")
+    )
+    # Longer names that go on after a name of two words or more.
+    words = F.split("name", " ")
+    prefixes = F.transform(
+        F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))),
+        lambda i: F.array_join(F.slice(words, F.lit(1), i), " "),
+    )
+    size = 2 * ANSWER_RADIUS_M + 1
+    left = a.filter(F.size(F.split("a_name", " ")) >= 2).withColumn("_k", c("a_name")).withColumn(
+        "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(size), size))
+    )
+    right = keyed.withColumn("_k", F.explode(prefixes)).withColumn(
+        "_cell", spatial.cell_of(c("lat"), c("lng"), size)
+    )
+    longer = left.join(right, ["_cell", "_k"]).filter(
+        (c("a_id") != c("id")) & (spatial.whole_metres() <= 2 * ANSWER_RADIUS_M)
+    ).select(c("a_id").alias("a"), c("id").alias("b"))
+    comps = components(match.unionByName(longer).filter(c("a") != c("b")))
+    rows = shaped.join(comps, c("id") == c("node"), "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+
+    def fits(one: str, two: str) -> bool:
+        if not one or not two:
+            return False
+        if one == two:
+            return True
+        x, y = one.split(" "), two.split(" ")
+        short, long = (one, two) if len(x) <= len(y) else (two, one)
+        if abs(len(x) - len(y)) <= 1 and (long.endswith(short) or long.startswith(short)):
+            return True
+        short, long = sorted((one, two), key=len)
+        return len(short.split(" ")) >= 2 and long.startswith(short + " ")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
+        kept: list[list] = []  # first row, current name, its key
+        out = []
+        for i, (key, name) in enumerate(zip(pdf["name_key"], pdf["name"])):
+            home = None
+            for group in kept:
+                j = group[0]
+                h = (
+                    np.sin((lat[i] - lat[j]) / 2) ** 2
+                    + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[i] - lng[j]) / 2) ** 2
+                )
+                m = np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
+                if m <= ANSWER_RADIUS_M and fits(key, group[2]):
+                    home = group
+                    break
+            if home is None:
+                home = [i, name, key]
+                kept.append(home)
+            elif len(name) < len(home[1]):
+                home[1], home[2] = name, key
+            out.append(int(pdf["id"][home[0]]))
+        pdf["group_id"] = out
+        return pdf[["name", "lat", "lng", "group_id"]]
+
+    made = rows.groupBy("component").applyInPandas(
+        assign, "name string, lat double, lng double, group_id long"
+    )
+    return points.join(made, ["name", "lat", "lng"])
+
+
+def merged_answers(grouped: DataFrame) -> DataFrame:
+    """One row per group: shortest name (earliest on a tie), members, distinct works."""
+    films = grouped.select("group_id", "work_id").distinct().groupBy("group_id").agg(
+        F.count("work_id").alias("film_count")
+    )
+    order = F.struct(F.length("name"), c("point_id"))
+    return grouped.groupBy("group_id").agg(
+        F.min_by("name", order).alias("name"), F.count(F.lit(1)).alias("points")
+    ).join(films, "group_id")

@@ -16,3 +16,140 @@ def missing_evidence(planned: DataFrame, existing: DataFrame) -> DataFrame:
     wanted = planned.select("*", key).dropDuplicates([*EVIDENCE_KEY, "_ref"])
     held = existing.select(*EVIDENCE_KEY, key).distinct()
     return wanted.join(held, [*EVIDENCE_KEY, "_ref"], "left_anti").drop("_ref")
+
+
+PROMOTE_RADIUS_M = 40.0
+
+
+def promotion_groups(rows: DataFrame) -> DataFrame:
+    """Group of every promotable row: by its entity id, else near and alike.
+
+    ``rows``: id, place_name, lat, lng, wikidata_id. A group without an id is
+    placed by its first row and named by its shortest name, which is always some
+    member's; members are therefore linked by name matches within 80 m, and the
+    ordered pass runs inside those components over distinct (name, point).
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.fold import normalize_name
+    from ..operators import spatial
+    from .grouping import components
+
+    with_id = rows.filter(c("wikidata_id").isNotNull())
+    first = with_id.groupBy("wikidata_id").agg(F.min("id").alias("group_id"))
+    by_id = with_id.join(first, "wikidata_id").select("id", "group_id")
+    bare = rows.filter(c("wikidata_id").isNull())
+    shaped = bare.groupBy("place_name", "lat", "lng").agg(F.min("id").alias("sid")).withColumn(
+        "key", normalize_name(c("place_name"))
+    )
+    keyed = shaped.select(c("sid").alias("id"), c("key").alias("name"), "lat", "lng")
+    a = keyed.select(
+        c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
+    )
+    edges = spatial.near_named_pairs(a, keyed, 2 * PROMOTE_RADIUS_M).filter(c("a_id") < c("id"))
+    comps = components(edges.select(c("a_id").alias("a"), c("id").alias("b")))
+    work = shaped.join(comps, c("sid") == c("node"), "left").withColumn(
+        "component", F.coalesce("component", "sid")
+    )
+
+    def match(one: str, two: str) -> bool:
+        if not one or not two:
+            return False
+        x, y = one.split(" "), two.split(" ")
+        short, long = (one, two) if len(x) <= len(y) else (two, one)
+        return one == two or (
+            abs(len(x) - len(y)) <= 1 and (long.endswith(short) or long.startswith(short))
+        )
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sid").reset_index(drop=True)
+        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
+        open_groups: list[list] = []  # first row, best name, its key
+        out = []
+        for i, (name, key) in enumerate(zip(pdf["place_name"], pdf["key"])):
+            home = None
+            for group in open_groups:
+                j = group[0]
+                h = (
+                    np.sin((lat[i] - lat[j]) / 2) ** 2
+                    + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[i] - lng[j]) / 2) ** 2
+                )
+                m = np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
+                if m <= PROMOTE_RADIUS_M and match(group[2], key):
+                    home = group
+                    break
+            if home is None:
+                home = [i, name, key]
+                open_groups.append(home)
+            elif (len(name), name) < (len(home[1]), home[1]):
+                home[1], home[2] = name, key
+            out.append(int(pdf["sid"][home[0]]))
+        pdf["group_id"] = out
+        return pdf[["place_name", "lat", "lng", "group_id"]]
+
+    made = work.groupBy("component").applyInPandas(
+        assign, "place_name string, lat double, lng double, group_id long"
+    )
+    by_name = bare.join(made, ["place_name", "lat", "lng"]).select("id", "group_id")
+    return by_id.unionByName(by_name)
+
+
+def promote(rows: DataFrame, places: DataFrame, links: DataFrame, evidence: DataFrame,
+            offset: int = 1_000_000_000) -> dict[str, DataFrame]:
+    """Everything a promotion writes, as five tables that a second run leaves empty.
+
+    ``rows``: verified, located, unpromoted queue rows with their score and quote.
+    New places take ``offset`` + group id; new links (work * 1,000,000 + place) is
+    left to the caller's key rule through ``link_id``.
+    """
+    from ..operators import matching
+
+    grouped = rows.join(promotion_groups(rows), "id")
+    best = F.struct(F.length("place_name"), c("place_name"))
+    lead = F.min(F.struct("id", "lat", "lng", "wikidata_id"))
+    groups = grouped.groupBy("group_id").agg(
+        F.min_by("place_name", best).alias("name"), lead.alias("_lead"),
+        F.least(F.lit(1.0), F.max("score")).alias("confidence"), F.count(F.lit(1)).alias("members"),
+    ).select(
+        "group_id", "name", c("_lead.lat").alias("lat"), c("_lead.lng").alias("lng"),
+        c("_lead.wikidata_id").alias("wikidata_id"), "confidence", "members",
+    )
+    held = matching.existing_places(groups, places)
+    groups = groups.join(held, "group_id").withColumn(
+        "is_new", c("place_id").isNull()
+    ).withColumn("place_id", F.coalesce("place_id", c("group_id") + offset))
+    new_places = groups.filter("is_new").select(
+        "place_id", "wikidata_id", "name", "lat", "lng", F.lit("unknown").alias("place_class"),
+        F.when(c("wikidata_id").isNotNull(), "point").otherwise("none").alias("geocode_precision"),
+        "confidence", F.lit("verified").alias("status"),
+    )
+    placed = grouped.drop("place_id").join(groups.select("group_id", "place_id"), "group_id")
+    key = c("work_id") * 1_000_000 + c("place_id")
+    kind = "filming_location"
+    wanted = placed.groupBy("work_id", "place_id").agg(
+        F.least(F.lit(1.0), F.max("score")).alias("confidence"),
+        F.min_by("quote", F.when(c("quote").isNotNull(), c("id"))).alias("statement"),
+    )
+    known = links.filter(c("relation_kind") == kind).select("work_id", "place_id").distinct()
+    new_links = wanted.join(known, ["work_id", "place_id"], "left_anti").select(
+        key.alias("link_id"), "work_id", "place_id", F.lit(kind).alias("relation_kind"),
+        "confidence", "statement",
+    )
+    text = F.lit("text_mention").alias("method")
+    proof = placed.select(
+        F.lit("place").alias("subject_type"), c("place_id").alias("subject_id"), text,
+        F.concat_ws(" ", "source_url", "source_kind").alias("source_ref"),
+    ).unionByName(
+        placed.select(
+            F.lit("link").alias("subject_type"), key.alias("subject_id"), text,
+            F.concat_ws(" ", "source_url", "source_kind").alias("source_ref"),
+        )
+    )
+    return {
+        "groups": groups,
+        "places": new_places,
+        "links": new_links,
+        "evidence": missing_evidence(proof, evidence),
+        "marked": placed.select("id", "place_id"),
+    }
