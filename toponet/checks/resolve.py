@@ -95,7 +95,6 @@ def gazetteer(v):
     split as (select id, work_id, {q.head('place_name')} h, {q.areas('place_name')} areas, {q.head_refusal(q.head('place_name'))} refusal from rows_),
     s2 as (select s.*, exists (select 1 from own o where o.work_id = s.work_id) has_own from split s),
     s3 as (select s.*, coalesce(refusal, case when len(areas) = 0 and not has_own then 'no_area_to_check_against' end) why, b.entity, b.lat, b.lng,
-        list_filter([case when {q.name_key('a')} in (select area_norm from areas) then {q.name_key('a')} end for a in areas], lambda z: z is not null) known,
         [i for a, i in areas if {q.name_key('a')} in ('old town', 'london')] turns
       from s2 s left join base b on b.nm = {q.name_key('h')}),
     s4 as (select *, turns[1] - 1 turn, {q.name_key("areas[turns[1]]")} area from s3),

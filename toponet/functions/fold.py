@@ -12,7 +12,6 @@ literals, so folding stays inside the JVM:
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -35,8 +34,13 @@ def _stripped(char: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[str, str, str, str]:
-    """(translate from, translate to, wide map as JSON, wide character class)."""
+def _tables() -> tuple[str, str, str, str, int, str]:
+    """(translate from, translate to, wide characters, their spellings padded to one
+    width, that width, wide character class).
+
+    Plain string literals keep the plans small; a map literal of this size would
+    slow down every optimizer rule.
+    """
     source, target, wide = [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF or _HANGUL_FIRST <= code <= _HANGUL_LAST:
@@ -57,7 +61,9 @@ def _tables() -> tuple[str, str, str, str]:
             spans.append(f"\\x{{{start:x}}}-\\x{{{here:x}}}")
             start = following
     spans.append(f"\\x{{{_HANGUL_FIRST:x}}}-\\x{{{_HANGUL_LAST:x}}}")
-    return "".join(source), "".join(target), json.dumps(wide), "[" + "".join(spans) + "]"
+    width = max(len(plain) for plain in wide.values())
+    spelled = "".join(plain.ljust(width, "\x01") for plain in wide.values())
+    return "".join(source), "".join(target), "".join(wide), spelled, width, "[" + "".join(spans) + "]"
 
 
 def _jamo(char: Column) -> Column:
@@ -73,15 +79,25 @@ def _jamo(char: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_accents(text: Column) -> Column:
     """Compatibility-decomposed text without combining accents; case untouched."""
-    source, target, wide_json, wide_class = _tables()
-    table = F.from_json(F.lit(wide_json), "map<string,string>")
+    return let(text, _folded)
+
+
+def _folded(text: Column) -> Column:
+    source, target, wide, spellings, width, wide_class = _tables()
 
     def one(char: Column) -> Column:
         hangul = (char >= chr(_HANGUL_FIRST)) & (char <= chr(_HANGUL_LAST))
-        plain = F.coalesce(F.try_element_at(table, char), char)
-        return F.when(hangul, _jamo(char)).otherwise(plain)
+        at = F.instr(F.lit(wide), char)
+        padded = F.substring(F.lit(spellings), (at - 1) * width + 1, F.lit(width))
+        known = F.when(at > 0, F.rtrim(padded, F.lit("\x01"))).otherwise(char)
+        return F.when(hangul, _jamo(char)).otherwise(known)
 
     spelled = F.array_join(F.transform(F.split(text, ""), one), "")
     widened = F.when(text.rlike(wide_class), spelled).otherwise(text)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fold, geo
 from . import matching, spatial
+from ..session import cut_lineage
 from .mapview import visible_queue
 
 c = F.col
@@ -91,6 +92,7 @@ def accept_located(claims: DataFrame, known: DataFrame, anchors: DataFrame) -> D
         km > c("radius_km"), "outside_city"
     )
     judged = judged.withColumn("why", why).drop("_i", "_n", "_m", "c_lat", "c_lng", "radius_km")
+    judged = cut_lineage(judged)
     open_ = judged.filter(c("why").isNull())
 
     def chain(key: str) -> DataFrame:
@@ -115,15 +117,14 @@ def accept_located(claims: DataFrame, known: DataFrame, anchors: DataFrame) -> D
         c("node").alias("sid"), F.lit("repeats_an_accepted_claim").alias("again")
     )
     final = judged.join(repeated, "sid", "left").select(
-        "anchor_id", "key", "lat", "lng", "wikidata_id", "sid",
+        "anchor_id", "key", "lat", "lng", "sid",
+        F.coalesce("wikidata_id", F.lit("")).alias("_w"),
         F.coalesce("why", "again").alias("shape_reason"),
     )
-    on = (
-        (rows["anchor_id"] == final["anchor_id"]) & (rows["key"] == final["key"])
-        & (rows["lat"] == final["lat"]) & (rows["lng"] == final["lng"])
-        & rows["wikidata_id"].eqNullSafe(final["wikidata_id"])
-    )
+    keyed = rows.withColumn("_w", F.coalesce("wikidata_id", F.lit("")))
     reason = F.coalesce(
-        final["shape_reason"], F.when(rows["id"] != final["sid"], "repeats_an_accepted_claim")
+        "shape_reason", F.when(c("id") != c("sid"), "repeats_an_accepted_claim")
+    )
+    return keyed.join(final, ["anchor_id", "key", "lat", "lng", "_w"]).select(
+        "id", "anchor_id", reason.alias("reason")
     )
-    return rows.join(final, on).select(rows["id"], rows["anchor_id"], reason.alias("reason"))

@@ -45,18 +45,23 @@ def _same_building(place: Column, building: Column) -> Column:
     return (place != "") & (building != "") & ((place == building) | one_more)
 
 
-def building_confirms(name: Column, building: Column, number: Column, street: Column) -> Column:
-    """The building bears the place's name, or its address."""
-    head = phrases.place_head(name)
-    own = normalize_name(F.coalesce(building, F.lit("")))
-    named = _same_building(normalize_name(name), own) | _same_building(normalize_name(head), own)
+def confirming_columns(points: DataFrame) -> DataFrame:
+    """Comparable forms of a point's name, made once before any join."""
     at = r"(?i)^(\d+[a-z]?)\s+(.+)$"
-    door, road = F.regexp_extract(head, at, 1), F.regexp_extract(head, at, 2)
-    addressed = (
-        (door != "")
-        & (normalize_name(number) == normalize_name(door))
-        & (normalize_name(street) == normalize_name(road))
+    rows = points.withColumn("_head", phrases.place_head(c("name")))
+    return rows.select(
+        *points.columns,
+        normalize_name(c("name")).alias("p_name"),
+        normalize_name(c("_head")).alias("p_head"),
+        normalize_name(F.regexp_extract("_head", at, 1)).alias("p_door"),
+        normalize_name(F.regexp_extract("_head", at, 2)).alias("p_road"),
     )
+
+
+def building_confirms() -> Column:
+    """The building (o_name, o_door, o_road) bears the place's name, or its address."""
+    named = _same_building(c("p_name"), c("o_name")) | _same_building(c("p_head"), c("o_name"))
+    addressed = (c("p_door") != "") & (c("p_door") == c("o_door")) & (c("p_road") == c("o_road"))
     return named | F.coalesce(addressed, F.lit(False))
 
 
@@ -72,14 +77,21 @@ def snap_to_buildings(
     meets buildings of its cell; counts per point decide, so no list is gathered.
     """
     radius = min(radius_m, MAX_SEARCH_M) if radius_m > 0 else SEARCH_M
-    near = spatial.polygon_candidates(points, buildings, radius + 1)
-    inside = spatial.in_ring(c("lat"), c("lng"), c("ring"))
-    metres = spatial.metres_to_line(c("lat"), c("lng"), c("ring"))
-    near = near.withColumn("inside", inside).withColumn("metres", metres)
-    close = c("metres") <= radius
-    confirmed = (c("inside") | close) & building_confirms(
-        c("name"), c("b_name"), c("house_number"), c("b_street")
+    known = buildings.select(
+        "building_id", "ring", "south", "north", "west", "east",
+        normalize_name(F.coalesce("b_name", F.lit(""))).alias("o_name"),
+        normalize_name(c("house_number")).alias("o_door"),
+        normalize_name(c("b_street")).alias("o_road"),
+    )
+    near = spatial.polygon_candidates(confirming_columns(points), known, radius + 1)
+    near = near.select(
+        "id", "building_id", "p_name", "p_head", "p_door", "p_road", "o_name", "o_door", "o_road",
+        spatial.in_ring(c("lat"), c("lng"), c("ring")).alias("inside"),
+        spatial.metres_to_line(c("lat"), c("lng"), c("ring")).alias("metres"),
     )
+    near = near.select("id", "building_id", "inside", "metres", building_confirms().alias("fits"))
+    close = c("metres") <= radius
+    confirmed = (c("inside") | close) & c("fits")
     stats = near.groupBy("id").agg(
         *[
             x

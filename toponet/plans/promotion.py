@@ -104,8 +104,11 @@ def promote(rows: DataFrame, places: DataFrame, links: DataFrame, evidence: Data
     left to the caller's key rule through ``link_id``.
     """
     from ..operators import matching
+    from ..session import cut_lineage
 
-    grouped = rows.join(promotion_groups(rows), "id")
+    # The queue is read once; the five tables below start from this snapshot.
+    rows = cut_lineage(rows)
+    grouped = cut_lineage(rows.join(promotion_groups(rows), "id"))
     best = F.struct(F.length("place_name"), c("place_name"))
     lead = F.min(F.struct("id", "lat", "lng", "wikidata_id"))
     groups = grouped.groupBy("group_id").agg(
