@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .fixture_sql import FIXTURE_SQL
 from .operators.numbering import dense_ids
+from .session import shorten_plans
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -27,6 +28,7 @@ class Views:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._made: dict[str, DataFrame] = {}
+        shorten_plans(spark)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:

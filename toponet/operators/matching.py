@@ -352,7 +352,7 @@ def _area_word(text: Column) -> Column:
 def named_country(area: Column) -> Column:
     """Country an area hint names by its last telling part, NULL when it is open."""
     parts = F.reverse(
-        F.filter(F.transform(F.split(F.lower(area), ","), F.trim), lambda p: p != "")
+        F.filter(F.transform(F.split(F.lower(area), ","), lambda x: F.trim(x)), lambda p: p != "")
     )
     keys, values = list(COUNTRY_WORDS), list(COUNTRY_WORDS.values())
     table = F.create_map(*[F.lit(x) for kv in zip(keys, values) for x in kv])

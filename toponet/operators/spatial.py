@@ -287,17 +287,17 @@ def _affix_keys(name: Column, sides: str, all_tiers: bool) -> Column:
     its largest tier, the longer one all tiers, so every match meets and long
     names hardly meet anything else.
     """
-    size = F.char_length(name)
-    keys = []
-    for tag in sides:
-        for tier in AFFIX_TIERS:
-            part = F.right(name, F.lit(tier)) if tag == "e" else F.left(name, F.lit(tier))
-            following = [t for t in AFFIX_TIERS if t > tier][:1]
-            use = size >= tier
-            if not all_tiers and following:
-                use = use & (size < following[0])
-            keys.append(F.when(use, F.concat(F.lit(f"{tag}{tier}:"), part)))
-    return F.array_compact(F.array(*keys))
+    tiers = F.filter(F.lit(AFFIX_TIERS), lambda t: t <= F.char_length(name))
+    if not all_tiers:
+        tiers = F.slice(tiers, -1, 1)
+
+    def keys(tag: str, piece) -> Column:
+        return F.transform(
+            tiers,
+            lambda t: F.concat(F.lit(tag), t.cast("string"), F.lit(":"), piece(name, t)),
+        )
+
+    return F.concat(*[keys(tag, F.right if tag == "e" else F.left) for tag in sides])
 
 
 def near_named_pairs(

@@ -30,6 +30,12 @@ def local_session(cores: str = "8", name: str = "toponet") -> SparkSession:
     )
 
 
+def shorten_plans(spark: SparkSession) -> None:
+    """Cap the text form of plans: folding tables travel as literals, and adaptive
+    execution would print them again after every stage."""
+    spark.conf.set("spark.sql.maxPlanStringLength", "65536")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 

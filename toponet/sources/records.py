@@ -168,7 +168,7 @@ def plaques(df: DataFrame) -> DataFrame:
     """Plaque rows: a point without a zero, an id, a named venue."""
     lat = F.trim("latitude").try_cast("double")
     lng = F.trim("longitude").try_cast("double")
-    parts = F.transform(F.split(F.coalesce("address", F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce("address", F.lit("")), ","), lambda x: F.trim(x))
     place = F.coalesce(_text(F.get(parts, F.lit(0))), _text(c("title")))
     rest = F.filter(
         F.concat(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array("area")),
