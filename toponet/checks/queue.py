@@ -83,7 +83,7 @@ def p08(v):
 
 @check(
     "a10_review_score",
-    f"select id, {_SCORE} score, array_to_string({_SIGNALS}, '+') signals from {_CORROBORATED}",
+    f"select id, cast({_SCORE} as double) score, array_to_string({_SIGNALS}, '+') signals from {_CORROBORATED}",
 )
 def a10(v):
     found = review.signals(c("corroborated"), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import facts as fa
+from .grouped import grouped_map
 from .numbering import top_per_key
 
 c = F.col
@@ -253,8 +254,8 @@ def venue_spellings(submissions: DataFrame) -> DataFrame:
         return pdf[["head", "venue", "spellings", "n", "name"]]
 
     flat = lists.select("head", "areas", "first", "spellings", "short.n", c("short.place_name").alias("name"))
-    made = flat.groupBy("head").applyInPandas(
-        collapse, "head string, venue int, spellings long, n int, name string"
+    made = grouped_map(
+        flat, "head", collapse, "head string, venue int, spellings long, n int, name string"
     )
     return made.groupBy("head", "venue").agg(
         F.min(F.struct("n", "name"))["name"].alias("name"), F.sum("spellings").alias("spellings")

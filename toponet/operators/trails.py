@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
+from .grouped import grouped_map
 from .numbering import group_ranks, top_per_key, with_previous
 
 c = F.col
@@ -235,7 +236,7 @@ def walking_order(stops: DataFrame) -> DataFrame:
         )
 
     located = stops.filter(c("lat").isNotNull()).select("work_id", "sequence_index", "lat", "lng")
-    return located.groupBy("work_id").applyInPandas(order, WALK_ROW)
+    return grouped_map(located, "work_id", order, WALK_ROW)
 
 
 def corridor_tiles(with_legs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import normalize_name
 from ..operators import spatial
+from ..operators.grouped import grouped_map
 
 c = F.col
 
@@ -114,7 +115,7 @@ def greedy_groups(edges: DataFrame, every: bool) -> DataFrame:
             members.setdefault(group, set()).add(node)
         return pd.DataFrame({"node": list(group_of), "grp": list(group_of.values())})
 
-    return labelled.groupBy("component").applyInPandas(assign, "node long, grp long")
+    return grouped_map(labelled, "component", assign, "node long, grp long")
 
 
 def place_groups(places: DataFrame) -> DataFrame:
@@ -328,8 +329,8 @@ def spot_groups(stops: DataFrame) -> DataFrame:
         pdf["spot_id"] = [first[n] for n in label]
         return pdf[["key", "lat", "lng", "spot_id"]]
 
-    made = rows.groupBy("component").applyInPandas(
-        assign, "key string, lat double, lng double, spot_id string"
+    made = grouped_map(
+        rows, "component", assign, "key string, lat double, lng double, spot_id string"
     )
     return stops.withColumn("key", normalize_name(c("name"))).join(made, ["key", "lat", "lng"])
 
@@ -429,8 +430,8 @@ def answer_groups(points: DataFrame) -> DataFrame:
         pdf["group_id"] = out
         return pdf[["name", "lat", "lng", "group_id"]]
 
-    made = rows.groupBy("component").applyInPandas(
-        assign, "name string, lat double, lng double, group_id long"
+    made = grouped_map(
+        rows, "component", assign, "name string, lat double, lng double, group_id long"
     )
     return points.join(made, ["name", "lat", "lng"])
 

@@ -34,6 +34,7 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
 
     from ..functions.fold import normalize_name
     from ..operators import spatial
+    from ..operators.grouped import grouped_map
     from .grouping import components
 
     with_id = rows.filter(c("wikidata_id").isNotNull())
@@ -88,8 +89,8 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
         pdf["group_id"] = out
         return pdf[["place_name", "lat", "lng", "group_id"]]
 
-    made = work.groupBy("component").applyInPandas(
-        assign, "place_name string, lat double, lng double, group_id long"
+    made = grouped_map(
+        work, "component", assign, "place_name string, lat double, lng double, group_id long"
     )
     by_name = bare.join(made, ["place_name", "lat", "lng"]).select("id", "group_id")
     return by_id.unionByName(by_name)

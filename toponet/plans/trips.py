@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import spatial
+from ..operators.grouped import grouped_map
 from ..operators.numbering import top_per_key
 
 c = F.col
@@ -101,7 +102,7 @@ def timed_tours(pooled: DataFrame) -> DataFrame:
         ]
         return pd.DataFrame(rows, columns=names)
 
-    return pooled.groupBy("area_id").applyInPandas(tours, TOUR_ROW)
+    return grouped_map(pooled, "area_id", tours, TOUR_ROW)
 
 
 def pick_tours(tours: DataFrame) -> DataFrame:
