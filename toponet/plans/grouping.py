@@ -173,7 +173,11 @@ def name_clusters(submissions: DataFrame) -> DataFrame:
     from ..functions.fold import names_match
     from ..session import cut_lineage
 
-    named = submissions.withColumn("name", normalize_name(c("place_name"))).filter(c("name") != "")
+    named = cut_lineage(
+        submissions.select("id", "work_id", "place_name", "source_kind", "lat", "lng")
+        .withColumn("name", normalize_name(c("place_name")))
+        .filter(c("name") != "")
+    )
     heads = named.groupBy("work_id", "name").agg(F.min("id").alias("id"))
     a = heads.select("work_id", c("name").alias("a_name"), c("id").alias("a_id"))
     pairs = None
@@ -262,11 +266,12 @@ def spot_groups(stops: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    shaped = stops.withColumn("key", normalize_name(c("name"))).groupBy("key", "lat", "lng").agg(
-        F.min("stop_id").alias("first_stop")
-    )
-    point = F.xxhash64("lat", "lng")
-    shaped = shaped.withColumn("point", point)
+    from ..session import cut_lineage
+
+    # Stops and shapes are read several times below; both become snapshots.
+    stops = cut_lineage(stops.withColumn("key", normalize_name(c("name"))))
+    shaped = stops.groupBy("key", "lat", "lng").agg(F.min("stop_id").alias("first_stop"))
+    shaped = cut_lineage(shaped.withColumn("point", F.xxhash64("lat", "lng")))
     points = shaped.select(c("point").alias("id"), "lat", "lng").distinct()
     near = spatial.within_radius(
         points.select(c("id").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")),
@@ -332,7 +337,7 @@ def spot_groups(stops: DataFrame) -> DataFrame:
     made = grouped_map(
         rows, "component", assign, "key string, lat double, lng double, spot_id string"
     )
-    return stops.withColumn("key", normalize_name(c("name"))).join(made, ["key", "lat", "lng"])
+    return stops.join(made, ["key", "lat", "lng"])
 
 
 def collapsed_spots(spotted: DataFrame) -> DataFrame:
@@ -361,9 +366,14 @@ def answer_groups(points: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    shaped = points.withColumn("name_key", normalize_name(c("name"))).groupBy(
-        "name", "name_key", "lat", "lng"
-    ).agg(F.min("point_id").alias("id"))
+    from ..session import cut_lineage
+
+    points = cut_lineage(points)
+    shaped = cut_lineage(
+        points.withColumn("name_key", normalize_name(c("name")))
+        .groupBy("name", "name_key", "lat", "lng")
+        .agg(F.min("point_id").alias("id"))
+    )
     keyed = shaped.select("id", c("name_key").alias("name"), "lat", "lng")
     a = keyed.select(
         c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
