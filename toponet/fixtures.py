@@ -40,7 +40,9 @@ class Views:
             raise AttributeError(name)
         key = f"fx_{name}"
         if key not in self._made:
-            self._made[key] = self._submissions() if name == "submissions" else self._view(key)
+            special = {"submissions": self._submissions, "lot_vertices": self._lot_vertices}
+            made = special.get(name, lambda: self._view(key))
+            self._made[key] = made()
         return self._made[key]
 
     def _view(self, key: str) -> DataFrame:
@@ -53,6 +55,16 @@ class Views:
                 self.table(base).createOrReplaceTempView(base)
         return self.spark.sql(sql)
 
+    def _lot_vertices(self) -> DataFrame:
+        """``fx_lot_vertices`` with its four corners exploded instead of cross joined."""
+        head = FIXTURE_SQL["fx_lot_vertices"].split("from nation cross join")[0]
+        corners = [(0.0005, 0.0005), (0.0031, 0.0007), (0.0029, 0.0033), (0.0003, 0.0027)]
+        rows = ", ".join(
+            f"named_struct('i', {i}, 'dlat', {a}D, 'dlng', {b}D)" for i, (a, b) in enumerate(corners)
+        )
+        self.table("nation").createOrReplaceTempView("nation")
+        return self.spark.sql(f"{head} from nation lateral view inline(array({rows})) v as i, dlat, dlng")
+
     def _submissions(self) -> DataFrame:
         """``fx_submissions`` with its running id numbered per key range.
 
