@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontaminate, quality_rules
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,36 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "probability",
     )
+
+
+#: Lower-cased A-Z words of a whole text, as op3 counts them.
+_OP3_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query("op3_decontamination", f"""
+with d as (select row_number() over () rid, doc_id, {_OP3_WORDS} w from documents),
+i as (select cast(item_id as varchar) item, {_OP3_WORDS} w from benchmark
+      where item_id is not null and text is not null),
+win as (
+  select distinct item, least(len(w), 10) size, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') words
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) p from i where len(w) > 0)
+),
+sizes as (select distinct size from win),
+dw as (
+  select rid, p, size, array_to_string(w[p : p + size - 1], ' ') words
+  from (select rid, w, size, unnest(range(1, len(w) - size + 2)) p from d, sizes where len(w) >= size)
+),
+hit as (select rid, item, p, win.size from dw join win on win.size = dw.size and win.words = dw.words),
+n as (select rid, count(distinct q) n_hit
+      from (select distinct rid, unnest(range(p, p + size)) q from hit) group by rid),
+f as (select rid, count(*) n_items, string_agg(item, ',' order by item) ids
+      from (select distinct rid, item from hit) group by rid)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join n using (rid) left join f using (rid)
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
