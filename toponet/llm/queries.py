@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, quality_rules
+from . import decontaminate, language_id, quality_fm, quality_rules
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = language_id.identify(table(spark, folder, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_fm.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -33,3 +33,9 @@ def label_sample(labels: DataFrame, label: str, parts: int, held: int, most: int
         .limit(most)
     )
     return {r.doc_id: r.label for r in rows.collect()}
+
+
+def only_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """Rows of a bounded sample of ids (the sample's size is a parameter), sent to every task."""
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in ids], "doc_id long")
+    return docs.join(F.broadcast(wanted), "doc_id", "left_semi")
