@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, quality_fm, quality_rules, toxicity
+from . import decontaminate, language_id, neardup, quality_fm, quality_rules, toxicity
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.report(table(spark, folder, "documents"))
