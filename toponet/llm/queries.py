@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, neardup, quality_fm, quality_rules, toxicity
+from . import decontaminate, language_id, neardup, packing, quality_fm, quality_rules, toxicity
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.report(table(spark, folder, "documents"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
