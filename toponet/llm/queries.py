@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, neardup, packing, quality_fm, quality_rules, toxicity
+from . import (
+    decontaminate, language_id, neardup, packing, personal_data, quality_fm, quality_rules, toxicity,
+)
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +91,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.report(table(spark, folder, "documents"))
