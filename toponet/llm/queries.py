@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, language_id, neardup, packing, personal_data, quality_fm, quality_rules, toxicity,
+    decontaminate, language_id, line_dedup, neardup, packing, personal_data, quality_fm, quality_rules, toxicity,
 )
 from .tables import table
 
@@ -96,3 +96,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_personal_data")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.report(table(spark, folder, "documents"))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"))
