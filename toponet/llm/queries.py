@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, language_id, line_dedup, neardup, packing, personal_data, quality_fm, quality_rules, toxicity,
+    decontaminate, language_id, line_dedup, neardup, packing, personal_data, quality_fm, quality_rules,
+    toxicity, warc,
 )
-from .tables import table
+from .tables import scratch_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +102,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_line_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
+
+
+@query("op2_warc", """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, octet_length(encode(html)) payload_bytes, sha1(html) hexed from p),
+f as (
+  select page_id, payload_bytes,
+    array_to_string([translate(to_base(('0x' || hexed[k : k + 9])::bigint, 32, 8),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for k in [1, 11, 21, 31]], '')
+      payload_digest
+  from d
+),
+g as (select *, max(page_id) over (partition by payload_digest) leader from f)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = leader then 'response' else 'revisit' end record_type,
+  case when page_id <> leader then leader end refers_to
+from g
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"), scratch_folder(spark, "warc"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,13 @@ def only_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
     """Rows of a bounded sample of ids (the sample's size is a parameter), sent to every task."""
     wanted = docs.sparkSession.createDataFrame([(x,) for x in ids], "doc_id long")
     return docs.join(F.broadcast(wanted), "doc_id", "left_semi")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder of ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
