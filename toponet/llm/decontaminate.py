@@ -224,15 +224,15 @@ def automata(benchmark: DataFrame, window: int, shortest: int) -> Iterator[dict]
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = 1) -> DataFrame:
-    """(row, text, n_words, n_hit, ranges, items) per row; ``row`` holds its columns.
+    """(row, text, n_words, n_hit, ranges, items) per row; ``row`` holds its other columns.
 
     ``ranges`` are merged word ranges as pairs of 64-bit numbers, ``items`` the
     ids of the items found.
     """
     context = docs.sparkSession.sparkContext
-    schema = F.struct("*").alias("row")
+    others = [c(x) for x in docs.columns if x != "text"]
     frame = docs.select(
-        schema, c("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.struct(*others, F.lit(0).alias("_")).alias("row"), c("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"), F.lit(b"").alias("ranges"),
         F.array().cast("array<string>").alias("items"),
     )
