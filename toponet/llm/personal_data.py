@@ -247,14 +247,17 @@ def _digest(spans: Column) -> Column:
     )
 
 
+def _of_kind(kind: int):
+    return lambda x: x["kind"] == kind
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Counts per kind, digest of the base spans, and all spans of every document."""
     extra = F.transform(
         "terms", lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"))
     )
     counts = [
-        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-        for k in range(4)
+        F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)
     ]
     return find(docs).select(
         "doc_id", *counts, F.sha2(_digest(c("base")), 256).alias("base_sha256"),
