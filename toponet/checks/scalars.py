@@ -136,9 +136,9 @@ def f08(v):
 
 def _type_case(column: str) -> str:
     items = [
-        (w.replace("_", " "), p, i)
-        for i, (p, t) in enumerate(ev.PRECISION_WORDS.items())
-        for w in t.split()
+        (w, p, i)
+        for i, (p, known) in enumerate(ev.PRECISION_WORDS.items())
+        for w in known
     ]
     items.sort(key=lambda x: (-len(x[0]), x[2]))
     arms = " ".join(f"when contains({column}, '{w}') then '{p}'" for w, p, _ in items)

@@ -222,7 +222,8 @@ def s10(v):
 
 
 _LISTED = "concat('== Filming ==' || chr(10) || '* ', regexp_replace(text, '[.\\n]+\\s*', chr(10) || '* ', 'g'), chr(10) || '== Notes ==' || chr(10) || '* skipped place')"
-_NAMEABLE = f"""regexp_matches(x, '(?i)[a-z]') and not regexp_matches(x, {q.text(phrases.NOT_A_NAME)}) and not regexp_matches(x, {q.text(phrases.NAME_PREFIX_REFUSED)})
+_NAMEABLE = f"""regexp_matches(x, '(?i)[a-z]') and not regexp_matches(x, {q.text(phrases.NOT_A_NAME)}) and not regexp_matches(x, {q.text(phrases.NAME_PREFIX_REFUSED[0])})
+  and not regexp_matches(x, {q.text(phrases.NAME_PREFIX_REFUSED[1])}) and not regexp_matches(x, {q.text(phrases.NAME_PREFIX_REFUSED[2])})
   and not starts_with(x, '(') and ({q.words('x')}) <= 12 and length(x) <= 120 and not regexp_matches(x, '\\b[A-Za-z]{{4,}}[.!?]\\s+[A-Z]')
   and not regexp_matches(x, {q.text(phrases.PROSE_VERB)}) and not regexp_matches(x, {q.text(phrases.PRONOUN_START)}) and not regexp_matches(x, {q.text(phrases.DOUBLE_LOCATIVE)})
   and not regexp_matches(x, '(?i)^(https?://|\\[https?:)') and not regexp_matches(x, '(?i)\\bon (imdb|youtube|facebook|twitter)\\b')"""

@@ -438,12 +438,13 @@ def inside_named_area(heads: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 # Words too common to tell two places apart.
-GENERIC_WORDS = (
-    "pool trail park station house building centre center hall club hotel school college library "
-    "theatre theater cinema bridge street road avenue lane court square garden gardens the of at "
-    "light lighthouse deli delicatessen restaurant museum palace secondary high primary "
-    "elementary academy university"
-).split()
+GENERIC_WORDS = [
+    "pool", "trail", "park", "station", "house", "building", "centre", "center", "hall", "club",
+    "hotel", "school", "college", "library", "theatre", "theater", "cinema", "bridge", "street",
+    "road", "avenue", "lane", "court", "square", "garden", "gardens", "the", "of", "at", "light",
+    "lighthouse", "deli", "delicatessen", "restaurant", "museum", "palace", "secondary", "high",
+    "primary", "elementary", "academy", "university",
+]
 
 
 def bare_name(name: Column) -> Column:

@@ -15,13 +15,15 @@ SEARCH_M, MAX_SEARCH_M, MAX_MOVE_M, STREET_M = 60.0, 150.0, 100.0, 30.0
 # Precisions that need the building to say the name; words for a kind of
 # building; last words of street names.
 VAGUE = ["city", "country", "region", "state", "none"]
-BUILDING_KINDS = (
-    "the church chapel cathedral abbey building hotel theatre theater station museum pub tower"
-).split()
-STREET_WORDS = (
-    "street st road rd lane avenue ave square terrace mews place row walk gardens close crescent "
-    "way grove hill yard drive parade embankment passage court alley boulevard circus"
-).split()
+BUILDING_KINDS = [
+    "the", "church", "chapel", "cathedral", "abbey", "building", "hotel", "theatre", "theater",
+    "station", "museum", "pub", "tower",
+]
+STREET_WORDS = [
+    "street", "st", "road", "rd", "lane", "avenue", "ave", "square", "terrace", "mews", "place",
+    "row", "walk", "gardens", "close", "crescent", "way", "grove", "hill", "yard", "drive",
+    "parade", "embankment", "passage", "court", "alley", "boulevard", "circus",
+]
 
 
 def _same_building(place: Column, building: Column) -> Column:
