@@ -11,18 +11,31 @@ from .registry import check
 
 c = F.col
 
-_CORROBORATED = f"""(select s.*, exists_other corroborated from (select *, {q.name_key('place_name')} name_norm from fx_submissions) s
+_AGREEING = f"""with spots as (select distinct work_id, {q.name_key('place_name')} name, source_kind, lat, lng from fx_submissions
+      where lat is not null and not (lat = 0 and lng = 0))
+    select distinct a.work_id, a.name, a.source_kind, a.lat, a.lng from spots a join spots b on a.work_id = b.work_id
+      and a.name = b.name and a.source_kind <> b.source_kind and {q.flat_m('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 150"""
+_CORROBORATED = f"""(select s.*, exists_other corroborated, g.name is not null agrees
+  from (select *, {q.name_key('place_name')} name_norm from fx_submissions) s
+  left join ({_AGREEING}) g on g.work_id = s.work_id and g.name = s.name_norm and g.source_kind = s.source_kind and g.lat = s.lat and g.lng = s.lng
   join (select work_id, {q.name_key('place_name')} name_norm, count(distinct source_kind) > 1 exists_other
     from fx_submissions group by 1, 2) k on k.work_id = s.work_id and k.name_norm = s.name_norm)"""
 
 
 def corroborated(v):
-    """Queue rows with a flag: the same work and name come from another source too."""
+    """Queue rows with two flags: the same work and name come from another source too,
+    and such a source puts it within 150 m."""
     rows = v.submissions.withColumn("name_norm", fold.normalize_name(c("place_name")))
     kinds = rows.groupBy("work_id", "name_norm").agg(
         (F.count_distinct("source_kind") > 1).alias("corroborated")
     )
-    return rows.join(kinds, ["work_id", "name_norm"])
+    agreeing = review.coordinate_agreement(v.submissions).select(
+        "work_id", c("name").alias("name_norm"), "source_kind", "lat", "lng", F.lit(True).alias("agrees")
+    )
+    flagged = rows.join(kinds, ["work_id", "name_norm"]).join(
+        agreeing, ["work_id", "name_norm", "source_kind", "lat", "lng"], "left"
+    )
+    return flagged.withColumn("agrees", F.coalesce("agrees", F.lit(False)))
 
 
 _DISQUALIFIED = f"""case when trim(coalesce(place_name, '')) = '' then 'no_place_name'
@@ -37,9 +50,11 @@ _BLOCKED = f"""case when regexp_matches(trim(place_name), {q.text(phrases.CREDIT
   when lat is null or lng is null then 'no_coordinate' end"""
 _SIGNALS = """list_filter([case when wikidata_id is not null then 'wikidata_entity' end,
   case when corroborated then 'independent_corroboration' end,
-  case when source_sentence is not null then 'cited_source' end], lambda x: x is not null)"""
+  case when source_sentence is not null then 'cited_source' end,
+  case when agrees then 'coordinate_agreement' end], lambda x: x is not null)"""
 _SCORE = """round(1 - (case when wikidata_id is not null then 0.4 else 1 end)
-  * (case when corroborated then 0.5 else 1 end) * (case when source_sentence is not null then 0.55 else 1 end), 4)"""
+  * (case when corroborated then 0.5 else 1 end) * (case when source_sentence is not null then 0.55 else 1 end)
+  * (case when agrees then 0.75 else 1 end), 4)"""
 _REVIEWED = f"""(select id, work_id, place_id, source_kind, case when d is not null then 'rejected' when b is not null then 'pending'
     when source_kind in ('open_plaques', 'permit_record') or (claim and s >= 0.6) then 'verified' else 'pending' end verdict,
   cast(case when d is not null or b is not null then 0 when source_kind in ('open_plaques', 'permit_record') then 1 else s end as double) score,
@@ -52,7 +67,7 @@ _REVIEWED = f"""(select id, work_id, place_id, source_kind, case when d is not n
 
 
 def reviewed(v):
-    return review.review(corroborated(v), c("corroborated"), F.lit(False))
+    return review.review(corroborated(v), c("corroborated"), c("agrees"))
 
 
 @check(
@@ -86,7 +101,7 @@ def p08(v):
     f"select id, cast({_SCORE} as double) score, array_to_string({_SIGNALS}, '+') signals from {_CORROBORATED}",
 )
 def a10(v):
-    found = review.signals(c("corroborated"), F.lit(False))
+    found = review.signals(c("corroborated"), c("agrees"))
     return corroborated(v).select(
         "id", ev.review_score(found).alias("score"), F.array_join(found, "+").alias("signals")
     )
@@ -136,10 +151,7 @@ def a25(v):
 
 @check(
     "j29_coordinate_agreement",
-    f"""with spots as (select distinct work_id, {q.name_key('place_name')} name, source_kind, lat, lng from fx_submissions
-      where lat is not null and not (lat = 0 and lng = 0))
-    select distinct a.work_id, a.name, a.source_kind, a.lat, a.lng from spots a join spots b on a.work_id = b.work_id
-      and a.name = b.name and a.source_kind <> b.source_kind and {q.flat_m('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 150""",
+    _AGREEING,
 )
 def j29(v):
     return review.coordinate_agreement(v.submissions)

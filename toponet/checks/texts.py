@@ -386,15 +386,16 @@ def j15(v):
 
 @check(
     "g11_plot_order",
-    f"""with b as (select item_id, {_FORM.replace('(text,', '(t,')} f from (select item_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:8], ' ') t from benchmark)),
+    f"""with b as (select item_id, {_FORM.replace('(text,', '(t,')} f, len(string_split(trim(t), ' ')) n from (select concat(item_id, ':', generate_subscripts(s, 1) - 1) item_id, unnest(s) t
+      from (select item_id, string_split_regex(regexp_replace(text, '\\s+', ' ', 'g'), '[.!?] ') s from benchmark))),
     d as (select doc_id, {_FORM} f from documents)
     select doc_id, item_id location, cast(strpos(d.f, b.f) - 1 as int) as "at", cast(row_number() over (partition by doc_id order by strpos(d.f, b.f), item_id) as int) sequence_index
-    from b join d on contains(d.f, b.f) where length(b.f) >= 10 and len(string_split(trim(b.f), ' ')) >= 6""",
+    from b join d on contains(d.f, b.f) where length(b.f) >= 10 and n between 6 and 20""",
 )
 def g11(v):
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8)
-    quotes = v.table("benchmark").select(
-        c("item_id").alias("location"), F.array_join(words, " ").alias("text")
+    sentences = F.split(F.regexp_replace("text", r"\s+", " "), "[.!?] ")
+    quotes = v.table("benchmark").select("item_id", F.posexplode(sentences).alias("at", "text")).select(
+        F.concat_ws(":", "item_id", "at").alias("location"), "text"
     )
     return extraction.plot_scenes(quotes, v.table("documents"), "doc_id")
 

@@ -148,14 +148,12 @@ def w07(v):
     select work_id, cast(run as bigint) run, cast(piece as int) piece, sequence_index from pieces where n >= 2 and piece * 4 < n - 1""",
 )
 def w08(v):
-    kept, _ = trails.bounded_trails(stops(v))
-    return trails.walk_runs(trails.legs(kept))
+    return trails.walk_runs(trails.legs(stops(v)))
 
 
 @check("w10_distinct_stops")
 def w10(v):
-    kept, _ = trails.bounded_trails(stops(v))
-    placed = kept.select(
+    placed = stops(v).select(
         "work_id", c("sequence_index").alias("at"), c("place_id").alias("stop_id"),
         (c("place_id") % 4).alias("precision_rank"), "lat", "lng",
     )
@@ -187,13 +185,13 @@ def w11(v):
 
 @check("g04_trail_chapters")
 def g04(v):
-    return trails.chapters(stops(v), v.anchors)
+    named = stops(v).join(v.places.select("place_id", "name"), "place_id")
+    return trails.chapters(named, v.anchors)
 
 
 @check("g09_walking_order")
 def g09(v):
-    kept, _ = trails.bounded_trails(stops(v))
-    rows = trails.walking_order(kept)
+    rows = trails.walking_order(stops(v))
     return rows.withColumn("path_km", F.round("path_km", 6))
 
 
@@ -205,8 +203,8 @@ def _y(col, z):
     return f"cast(floor((1 - ln(tan(radians({col})) + 1 / cos(radians({col}))) / pi()) / 2 * {2 ** z}) as bigint)"
 
 
-_TILES = " union all ".join(
-    f"""select work_id, rnk, {z} z, unnest(range({_x('w', z)}, {_x('e', z)} + 1)) x, {_y('n', z)} y0, {_y('s', z)} y1 from boxes""" for z in (13, 14)
+_RECTS = " union all ".join(
+    f"""select work_id, rnk, {z} z, {_x('w', z)} x0, {_x('e', z)} x1, {_y('n', z)} y0, {_y('s', z)} y1 from boxes""" for z in (13, 14)
 )
 
 
@@ -214,15 +212,19 @@ _TILES = " union all ".join(
     "g10_corridor_tiles",
     f"""with {_LEGS}, boxes as (select work_id, rnk, least(plat, lat) - 120 / 111320.0 s, greatest(plat, lat) + 120 / 111320.0 n,
       least(plng, lng) - 120 / (111320.0 * greatest(0.2, cos(radians((plat + lat) / 2)))) w, greatest(plng, lng) + 120 / (111320.0 * greatest(0.2, cos(radians((plat + lat) / 2)))) e
-      from metered where plat is not null and leg_m < 5000),
-    columns_ as ({_TILES}), tiles as (select work_id, rnk, z, x, unnest(range(y0, y1 + 1)) y from columns_),
+      from metered where plat is not null),
+    rects as ({_RECTS}),
+    tiles as (select work_id, rnk, z, x0 + k // (y1 - y0 + 1) x, y0 + k % (y1 - y0 + 1) y
+      from (select *, unnest(range(least((x1 - x0 + 1) * (y1 - y0 + 1), 800))) k from rects)),
     seen as (select work_id, z, x, y, min(rnk) leg from tiles group by 1, 2, 3, 4),
-    ranked as (select *, row_number() over (partition by work_id order by leg, z, x, y) r, count(*) over (partition by work_id) wanted from seen)
-    select work_id, z, x, y, wanted, wanted > 400 truncated from ranked where r <= 400""",
+    ranked as (select *, row_number() over (partition by work_id order by leg, z, x, y) r from seen),
+    columns_ as (select distinct work_id, z, unnest(range(x0, x1 + 1)) x, y0, y1 from rects),
+    reach as (select *, max(y1) over (partition by work_id, z, x order by y0, y1 rows between unbounded preceding and 1 preceding) e from columns_),
+    area as (select work_id, cast(sum(greatest(y1 - greatest(y0, coalesce(e + 1, y0)) + 1, 0)) as bigint) wanted from reach group by 1)
+    select work_id, z, x, y, wanted, wanted > 400 truncated from ranked join area using (work_id) where r <= 400""",
 )
 def g10(v):
-    rows = trails.legs(stops(v)).filter(c("leg_m") < 5000)
-    return trails.corridor_tiles(rows).select("work_id", "z", "x", "y", "wanted", "truncated")
+    return trails.corridor_tiles(trails.legs(stops(v))).select("work_id", "z", "x", "y", "wanted", "truncated")
 
 
 @check(

@@ -1,7 +1,8 @@
 """Story trails: numbering, legs, runs, chapters, walking order, tiles, stops.
 
-A trail has at most 24 stops; ``bounded_trails`` keeps those and lists the rest.
-Steps that need a whole trail at once (walking order, runs) take its output.
+A trail has any number of stops; where one is written, ``bounded_trails`` may hold it to
+24. The walking order is searched from every start up to that size; longer trails are
+ordered too, from their first stop, and improved up to ``MATRIX_STOPS`` stops.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .numbering import group_ranks, top_per_key, with_previous
 c = F.col
 
 MAX_STOPS = 24
+MATRIX_STOPS, LONG_PASSES = 1000, 2
 LONG_LEG_M = 3000.0
 ROUTER_STOPS = 5
 CHAPTER_KM, NAMING_KM = 50.0, 40.0
@@ -142,7 +144,7 @@ def next_stops(walkers: DataFrame, stops: DataFrame, by: str) -> DataFrame:
 
 def chapters(stops: DataFrame, cities: DataFrame) -> DataFrame:
     """Chapter of every stop: single linkage at 50 km inside a work, named by the
-    nearest city within 40 km of the chapter's centre.
+    nearest city within 40 km of the chapter's centre, else by its first stop.
 
     Stops meet on (work, cell); links become components.
     """
@@ -150,7 +152,8 @@ def chapters(stops: DataFrame, cities: DataFrame) -> DataFrame:
 
     nodes = stops.filter(c("lat").isNotNull()).select(
         "work_id", "sequence_index", "lat", "lng",
-        (c("work_id") * 100_000 + c("sequence_index")).alias("node_id"),
+        F.xxhash64("work_id", "sequence_index").alias("node_id"),
+        (c("name") if "name" in stops.columns else F.lit(None).cast("string")).alias("stop_name"),
     )
     size = CHAPTER_KM * 1000
     spots = nodes.groupBy("work_id", "lat", "lng").agg(F.min("node_id").alias("spot"))
@@ -169,6 +172,7 @@ def chapters(stops: DataFrame, cities: DataFrame) -> DataFrame:
     groups = rows.groupBy("work_id", "chapter_key").agg(
         F.min("sequence_index").alias("first"), F.count(F.lit(1)).alias("stops"),
         F.avg("lat").alias("lat"), F.avg("lng").alias("lng"),
+        F.min_by("stop_name", "sequence_index").alias("first_name"),
     )
     around = cities.select("name", c("lat").alias("a_lat"), c("lng").alias("a_lng"))
     named = spatial.within_radius(
@@ -176,7 +180,7 @@ def chapters(stops: DataFrame, cities: DataFrame) -> DataFrame:
     ).groupBy("work_id", "chapter_key").agg(F.min(F.struct("metres", "name"))["name"].alias("city"))
     out = group_ranks(groups, ["work_id"], [c("first")], F.floor(c("first") / 4096), "chapter")
     return out.join(named, ["work_id", "chapter_key"], "left").select(
-        "work_id", "chapter", "first", "stops", F.coalesce("city", F.lit("Elsewhere")).alias("name")
+        "work_id", "chapter", "first", "stops", F.coalesce("city", "first_name", F.lit("Elsewhere")).alias("name")
     )
 
 
@@ -184,16 +188,17 @@ WALK_ROW = "work_id long, walk_index int, sequence_index int, path_km double"
 
 
 def walking_order(stops: DataFrame) -> DataFrame:
-    """Short walking order of each bounded trail: nearest neighbour from every start,
-    improved by reversing pieces, the shortest path kept."""
+    """Short walking order of each trail: nearest neighbour from every start (from the
+    first stop only on trails over ``MAX_STOPS``), improved by reversing pieces, the
+    shortest path kept. One trail is one task's work."""
     import numpy as np
     import pandas as pd
 
     def improve(path: list[int], d: np.ndarray) -> list[int]:
-        n = len(path)
+        n, passes = len(path), 0
         better = True
-        while better:
-            better = False
+        while better and (n <= MAX_STOPS or passes < LONG_PASSES):
+            better, passes = False, passes + 1
             for i in range(n - 1):
                 for j in range(i + 1, n):
                     change = 0.0
@@ -209,21 +214,30 @@ def walking_order(stops: DataFrame) -> DataFrame:
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sequence_index").reset_index(drop=True)
         lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        h = (
-            np.sin((lat[:, None] - lat[None, :]) / 2) ** 2
-            + np.cos(lat[:, None]) * np.cos(lat[None, :]) * np.sin((lng[:, None] - lng[None, :]) / 2) ** 2
-        )
-        d = 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
         n = len(pdf)
-        best, best_km = list(range(n)), float(sum(d[i, i + 1] for i in range(n - 1)))
+
+        def km_between(i, j):
+            h = (
+                np.sin((lat[i] - lat[j]) / 2) ** 2
+                + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[i] - lng[j]) / 2) ** 2
+            )
+            return 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+        every = np.arange(n)
+        d = km_between(every[:, None], every[None, :]) if n <= MATRIX_STOPS else None
+        best, best_km = list(range(n)), float(sum(km_between(i, i + 1) for i in range(n - 1)))
         if n >= 3:
             best = None
-            for start in range(n):
-                path, left = [start], [i for i in range(n) if i != start]
-                while left:
-                    path.append(left.pop(int(np.argmin(d[path[-1], left]))))
-                path = improve(path, d)
-                km = float(sum(d[a, b] for a, b in zip(path, path[1:])))
+            for start in range(n if n <= MAX_STOPS else 1):
+                path, left = [start], np.delete(every, start)
+                while len(left):
+                    near = d[path[-1], left] if d is not None else km_between(path[-1], left)
+                    at = int(np.argmin(near))
+                    path.append(int(left[at]))
+                    left = np.delete(left, at)
+                if d is not None:
+                    path = improve(path, d)
+                km = float(sum(km_between(a, b) for a, b in zip(path, path[1:])))
                 if best is None or km < best_km:
                     best, best_km = path, km
         return pd.DataFrame(
@@ -240,30 +254,56 @@ def walking_order(stops: DataFrame) -> DataFrame:
 
 
 def corridor_tiles(with_legs: DataFrame) -> DataFrame:
-    """Map tiles along each trail in first-seen order, at most 400 per trail."""
+    """Map tiles along each trail in first-seen order, at most 400 per trail, and how
+    many there would be.
+
+    A leg of any length is a rectangle of tiles per zoom. Of each leg only the first
+    ``2 * MAX_TILES`` tiles are made: fewer than ``MAX_TILES`` of them can be known
+    from earlier legs, so no later tile of it can be among the first ``MAX_TILES``.
+    The count is the area of the union of the rectangles.
+    """
     mid = (c("prev_lat") + c("lat")) / 2
     dlat = CORRIDOR_M / geo.METRES_PER_DEGREE
     dlng = F.lit(CORRIDOR_M) / (
         geo.METRES_PER_DEGREE * F.greatest(F.lit(0.2), F.cos(F.radians(mid)))
     )
-    leg = with_legs.filter(c("prev_lat").isNotNull()).select(
-        "work_id", "rank",
-        (F.least("prev_lat", "lat") - dlat).alias("south"),
-        (F.greatest("prev_lat", "lat") + dlat).alias("north"),
-        (F.least("prev_lng", "lng") - dlng).alias("west"),
-        (F.greatest("prev_lng", "lng") + dlng).alias("east"),
+    south, north = F.least("prev_lat", "lat") - dlat, F.greatest("prev_lat", "lat") + dlat
+    west, east = F.least("prev_lng", "lng") - dlng, F.greatest("prev_lng", "lng") + dlng
+    boxes = F.array(*[
+        F.struct(
+            F.lit(z).alias("z"), geo.tile_x(west, z).alias("x0"), geo.tile_x(east, z).alias("x1"),
+            geo.tile_y(north, z).alias("y0"), geo.tile_y(south, z).alias("y1"),
+        )
+        for z in WALK_ZOOMS
+    ])
+    legs_ = with_legs.filter(c("prev_lat").isNotNull()).select("work_id", "rank", boxes.alias("boxes"))
+    rectangles = legs_.select("work_id", "rank", F.explode("boxes").alias("b")).select("work_id", "rank", "b.*")
+    rows = c("y1") - c("y0") + 1
+    upto = F.least((c("x1") - c("x0") + 1) * rows, F.lit(2 * MAX_TILES))
+    tiles = rectangles.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), (upto - 1).cast("long")))).select(
+        "work_id", "rank", "z", (c("x0") + F.floor(c("k") / rows)).cast("long").alias("x"),
+        (c("y0") + c("k") % rows).cast("long").alias("y"),
     )
-    tiles = None
-    for z in WALK_ZOOMS:
-        xs = F.sequence(geo.tile_x(c("west"), z), geo.tile_x(c("east"), z))
-        ys = F.sequence(geo.tile_y(c("north"), z), geo.tile_y(c("south"), z))
-        part = leg.select("work_id", "rank", F.lit(z).alias("z"), F.explode(xs).alias("x"), ys.alias("ys"))
-        part = part.select("work_id", "rank", "z", "x", F.explode("ys").alias("y"))
-        tiles = part if tiles is None else tiles.unionByName(part)
     seen = tiles.groupBy("work_id", "z", "x", "y").agg(F.min("rank").alias("leg"))
-    wanted = seen.groupBy("work_id").agg(F.count(F.lit(1)).alias("wanted"))
     first = top_per_key(seen, ["work_id"], [c("leg"), c("z"), c("x"), c("y")], MAX_TILES)
-    return first.join(wanted, "work_id").withColumn("truncated", c("wanted") > MAX_TILES)
+    return first.join(_union_area(rectangles), "work_id").withColumn("truncated", c("wanted") > MAX_TILES)
+
+
+def _union_area(rectangles: DataFrame) -> DataFrame:
+    """Tiles of the union of each work's rectangles: strips between x edges, then y intervals."""
+    keys = ["work_id", "z"]
+    edges = rectangles.select(*keys, F.explode(F.array("x0", c("x1") + 1)).alias("x")).distinct()
+    strips = edges.withColumn("next", F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))).filter(
+        c("next").isNotNull()
+    )
+    parts = rectangles.join(strips, keys).filter((c("x") >= c("x0")) & (c("x") <= c("x1"))).select(
+        *keys, "x", "next", "y0", "y1"
+    ).distinct()
+    before = Window.partitionBy(*keys, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = c("y1") - F.greatest(c("y0"), F.coalesce(F.max("y1").over(before) + 1, c("y0"))) + 1
+    return parts.select("work_id", ((c("next") - c("x")) * F.greatest(fresh, F.lit(0))).alias("n")).groupBy(
+        "work_id"
+    ).agg(F.sum("n").cast("long").alias("wanted"))
 
 
 def place_scenes(scenes: DataFrame, links: DataFrame) -> DataFrame:
