@@ -129,6 +129,20 @@ def g06_links(v):
     return promotion.promote(promotable(v), v.places, v.links, v.evidence)["links"]
 
 
+@check("g06_links_stay_unique", "select link_id, 1::bigint n from fx_links where false")
+def g06_unique(v):
+    """Ids that two facts share, or facts with two ids, once the new links are in: none."""
+    made = promotion.promote(promotable(v), v.places, v.links, v.evidence)["links"]
+    both = v.links.select("link_id", "work_id", "place_id", "relation_kind").unionByName(
+        made.select("link_id", "work_id", "place_id", "relation_kind")
+    )
+    ids = both.groupBy("link_id").agg(F.count(F.lit(1)).alias("n"))
+    facts = made.groupBy("work_id", "place_id", "relation_kind").agg(
+        F.min("link_id").alias("link_id"), F.count(F.lit(1)).alias("n")
+    ).select("link_id", "n")
+    return ids.unionByName(facts).filter(c("n") > 1)
+
+
 @check(
     "g06_promotion_by_id",
     f"""with r as (select s.* from {qq._REVIEWED} v join fx_submissions s using (id) where v.verdict = 'verified' and s.place_id is null and s.lat is not null

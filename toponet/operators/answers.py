@@ -59,12 +59,11 @@ SAME_PLACE_M = 50.0
 def accept_located(claims: DataFrame, known: DataFrame, anchors: DataFrame) -> DataFrame:
     """Located claims of each city: not known there, inside its radius, each place once.
 
-    A claim repeats a place by id, by name or within 50 m. Against the known
-    places that is a lookup on three keys; among the claims themselves an earlier
-    accepted one counts, decided greedily over distinct (name, point, id).
+    A claim repeats a place by id, by name or within 50 m. Against the known places
+    that is a lookup on three keys. Among the claims, in id order, one is refused if it
+    repeats an accepted earlier one; what repeats a refused claim only isn't refused.
+    Equal claims are one shape.
     """
-    from ..plans.grouping import greedy_groups
-
     rows = claims.withColumn("key", fold.normalize_name(c("name")))
     shapes = rows.groupBy("anchor_id", "key", "lat", "lng", "wikidata_id").agg(
         F.min("id").alias("sid")
@@ -91,32 +90,13 @@ def accept_located(claims: DataFrame, known: DataFrame, anchors: DataFrame) -> D
     why = F.when(F.coalesce("_i", "_n", "_m", F.lit(False)), "already_on_map").when(
         km > c("radius_km"), "outside_city"
     )
-    judged = judged.withColumn("why", why).drop("_i", "_n", "_m", "c_lat", "c_lng", "radius_km")
-    judged = cut_lineage(judged)
-    open_ = judged.filter(c("why").isNull())
-
-    def chain(key: str) -> DataFrame:
-        # Equal keys: everything after the first accepted of a key repeats it, so
-        # star edges from the first shape carry the whole relation.
-        first = open_.filter(c(key).isNotNull() & (c(key) != "")).groupBy("anchor_id", key).agg(
-            F.min("sid").alias("a")
-        )
-        return first.join(open_, ["anchor_id", key]).filter(c("a") != c("sid")).select(
-            "a", c("sid").alias("b")
-        )
-
-    b = open_.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), reach))
-    a = open_.select(
-        "anchor_id", c("sid").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
-    ).withColumn("_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(reach), reach)))
-    close = a.join(b, ["anchor_id", "_cell"]).filter(
-        (c("a") < c("sid")) & (spatial.whole_metres() <= SAME_PLACE_M)
-    ).select("a", c("sid").alias("b"))
-    edges = chain("wikidata_id").unionByName(chain("key")).unionByName(close).distinct()
-    repeated = greedy_groups(edges, every=False).filter(c("node") != c("grp")).select(
-        c("node").alias("sid"), F.lit("repeats_an_accepted_claim").alias("again")
+    judged = cut_lineage(
+        judged.withColumn("why", why).drop("_i", "_n", "_m", "c_lat", "c_lng", "radius_km")
+    )
+    refused = _repeats(judged.filter(c("why").isNull())).select(
+        "sid", F.lit("repeats_an_accepted_claim").alias("again")
     )
-    final = judged.join(repeated, "sid", "left").select(
+    final = judged.join(refused, "sid", "left").select(
         "anchor_id", "key", "lat", "lng", "sid",
         F.coalesce("wikidata_id", F.lit("")).alias("_w"),
         F.coalesce("why", "again").alias("shape_reason"),
@@ -128,3 +108,44 @@ def accept_located(claims: DataFrame, known: DataFrame, anchors: DataFrame) -> D
     return keyed.join(final, ["anchor_id", "key", "lat", "lng", "_w"]).select(
         "id", "anchor_id", reason.alias("reason")
     )
+
+
+def _repeats(shapes: DataFrame) -> DataFrame:
+    """Shapes (sid) that repeat an accepted earlier one of their city.
+
+    In rounds: a shape with no open earlier shape of its name, of its id or within
+    50 m is accepted, and the open shapes that repeat it are refused. Names and ids
+    are compared through the smallest open sid of a key, points through pairs of
+    neighbours, so no key's shapes are paired with each other.
+    """
+    reach = SAME_PLACE_M + 1
+    b = shapes.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), reach))
+    a = shapes.select(
+        "anchor_id", c("sid").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
+    ).withColumn("_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(reach), reach)))
+    close = cut_lineage(a.join(b, ["anchor_id", "_cell"]).filter(
+        (c("a") < c("sid")) & (spatial.whole_metres() <= SAME_PLACE_M)
+    ).select("a", "sid").distinct())
+    keys = ["key", "wikidata_id"]
+    named = {"key": c("key") != "", "wikidata_id": c("wikidata_id").isNotNull()}
+    open_ = cut_lineage(shapes.select("anchor_id", "sid", *keys))
+    refused = None
+    while not open_.isEmpty():
+        pairs = close.join(open_.select(c("sid").alias("a")), "a", "left_semi").join(
+            open_.select("sid"), "sid", "left_semi"
+        )
+        waits = pairs.select("sid")
+        firsts = {k: open_.filter(named[k]).groupBy("anchor_id", k).agg(F.min("sid").alias("first")) for k in keys}
+        for k in keys:
+            later = open_.join(firsts[k], ["anchor_id", k]).filter(c("first") < c("sid"))
+            waits = waits.unionByName(later.select("sid"))
+        accepted = cut_lineage(open_.join(waits.distinct(), "sid", "left_anti"))
+        gone = pairs.join(accepted.select(c("sid").alias("a")), "a", "left_semi").select("sid")
+        for k in keys:
+            taken = accepted.filter(named[k]).select("anchor_id", k).distinct()
+            gone = gone.unionByName(open_.join(taken, ["anchor_id", k], "left_semi").select("sid"))
+        gone = cut_lineage(gone.distinct().join(accepted.select("sid"), "sid", "left_anti"))
+        refused = gone if refused is None else refused.unionByName(gone)
+        done = accepted.select("sid").unionByName(gone)
+        open_ = cut_lineage(open_.join(done, "sid", "left_anti"))
+    return shapes.select("sid").limit(0) if refused is None else refused

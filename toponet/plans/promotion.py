@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
@@ -96,15 +96,23 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
     return by_id.unionByName(by_name)
 
 
-def promote(rows: DataFrame, places: DataFrame, links: DataFrame, evidence: DataFrame,
-            offset: int = 1_000_000_000) -> dict[str, DataFrame]:
-    """Everything a promotion writes, as five tables that a second run leaves empty.
+def _largest(table: DataFrame, column: str) -> Column:
+    """The largest id so far, as a literal; 0 for none."""
+    return F.lit(table.agg(F.max(column)).first()[0] or 0)
+
+
+def promote(
+    rows: DataFrame, places: DataFrame, links: DataFrame, evidence: DataFrame
+) -> dict[str, DataFrame]:
+    """Everything a promotion writes, as six tables that a second run leaves empty.
 
     ``rows``: verified, located, unpromoted queue rows with their score and quote.
-    New places take ``offset`` + group id; new links (work * 1,000,000 + place) is
-    left to the caller's key rule through ``link_id``.
+    New places and links are numbered above the largest id there is. A link is known
+    by work, place and relation; a known one keeps its id, takes the evidence, and
+    takes the quote as its statement where it has none.
     """
     from ..operators import matching
+    from ..operators.numbering import dense_ids
     from ..session import cut_lineage
 
     # The queue is read once; the five tables below start from this snapshot.
@@ -120,33 +128,48 @@ def promote(rows: DataFrame, places: DataFrame, links: DataFrame, evidence: Data
         c("_lead.wikidata_id").alias("wikidata_id"), "confidence", "members",
     )
     held = matching.existing_places(groups, places)
-    groups = groups.join(held, "group_id").withColumn(
-        "is_new", c("place_id").isNull()
-    ).withColumn("place_id", F.coalesce("place_id", c("group_id") + offset))
+    groups = groups.join(held, "group_id").withColumn("is_new", c("place_id").isNull())
+    numbers = dense_ids(groups.filter("is_new").select("group_id"), ["group_id"], "group_id", 4096, "_n")
+    groups = cut_lineage(
+        groups.join(numbers, "group_id", "left")
+        .withColumn("place_id", F.coalesce("place_id", _largest(places, "place_id") + c("_n"))).drop("_n")
+    )
     new_places = groups.filter("is_new").select(
         "place_id", "wikidata_id", "name", "lat", "lng", F.lit("unknown").alias("place_class"),
         F.when(c("wikidata_id").isNotNull(), "point").otherwise("none").alias("geocode_precision"),
         "confidence", F.lit("verified").alias("status"),
     )
     placed = grouped.drop("place_id").join(groups.select("group_id", "place_id"), "group_id")
-    key = c("work_id") * 1_000_000 + c("place_id")
     kind = "filming_location"
     wanted = placed.groupBy("work_id", "place_id").agg(
         F.least(F.lit(1.0), F.max("score")).alias("confidence"),
         F.min_by("quote", F.when(c("quote").isNotNull(), c("id"))).alias("statement"),
     )
-    known = links.filter(c("relation_kind") == kind).select("work_id", "place_id").distinct()
-    new_links = wanted.join(known, ["work_id", "place_id"], "left_anti").select(
-        key.alias("link_id"), "work_id", "place_id", F.lit(kind).alias("relation_kind"),
-        "confidence", "statement",
+    held_statement = F.max("statement") if "statement" in links.columns else F.lit(None).cast("string")
+    known = links.filter(c("relation_kind") == kind).groupBy("work_id", "place_id").agg(
+        F.min("link_id").alias("link_id"), held_statement.alias("held_statement")
+    )
+    matched = cut_lineage(wanted.join(known, ["work_id", "place_id"], "left"))
+    fresh = matched.filter(c("link_id").isNull()).drop("link_id", "held_statement")
+    new_links = cut_lineage(
+        dense_ids(fresh, ["work_id", "place_id"], "work_id", 64, "_n").select(
+            (_largest(links, "link_id") + c("_n")).alias("link_id"), "work_id", "place_id",
+            F.lit(kind).alias("relation_kind"), "confidence", "statement",
+        )
+    )
+    statements = matched.filter(
+        c("link_id").isNotNull() & c("held_statement").isNull() & c("statement").isNotNull()
+    ).select("link_id", "statement")
+    link_of = matched.filter(c("link_id").isNotNull()).select("work_id", "place_id", "link_id").unionByName(
+        new_links.select("work_id", "place_id", "link_id")
     )
     text = F.lit("text_mention").alias("method")
     proof = placed.select(
         F.lit("place").alias("subject_type"), c("place_id").alias("subject_id"), text,
         F.concat_ws(" ", "source_url", "source_kind").alias("source_ref"),
     ).unionByName(
-        placed.select(
-            F.lit("link").alias("subject_type"), key.alias("subject_id"), text,
+        placed.join(link_of, ["work_id", "place_id"]).select(
+            F.lit("link").alias("subject_type"), c("link_id").alias("subject_id"), text,
             F.concat_ws(" ", "source_url", "source_kind").alias("source_ref"),
         )
     )
@@ -154,6 +177,7 @@ def promote(rows: DataFrame, places: DataFrame, links: DataFrame, evidence: Data
         "groups": groups,
         "places": new_places,
         "links": new_links,
+        "statements": statements,
         "evidence": missing_evidence(proof, evidence),
         "marked": placed.select("id", "place_id"),
     }
