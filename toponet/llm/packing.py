@@ -1,9 +1,7 @@
 """Best-fit packing of tokenised documents with matching of large pieces.
 
-1. Every text becomes token ids and an end id. Texts are cut at single spaces, where
-   this tokenizer always starts a new word, so a bounded memo of words answers most
-   of them. A document longer than the capacity is cut into full pieces; the first
-   may be shorter.
+1. Every text becomes token ids and an end id. A document longer than the capacity is
+   cut into full pieces; the first may be shorter.
 2. Only the counts of pieces by length (as many as the capacity) reach the driver.
    There, pieces above a third of the capacity are matched greedily, the longest with
    the longest partner that fits, so that at most two share a bin; then the smaller
@@ -18,6 +16,7 @@ own. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +33,13 @@ c = F.col
 
 CAPACITY = 1024
 END = 2
-MEMO = 300_000
 
-_memo: dict[str, dict] = {}
+#: Words as byte-level vocabularies of this family split them.
+SPLIT = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+)
+
+_encoders: dict[str, "Encoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -45,52 +48,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _chunks(text: str) -> list[str]:
-    """Parts of ``text`` that are tokenised alike alone and in place.
-
-    A cut lies before a space whose neighbours aren't white space.
-    """
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    out = [parts[0]]
-    for part in parts[1:]:
-        if part and not part[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(" " + part)
-        else:
-            out[-1] += " " + part
-    return out
+def _byte_names() -> dict[str, int]:
+    """Byte of each character that stands for one in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of texts with a bounded memo of words."""
+    """Token ids by the vocabulary file ``path`` of the tokenizers library.
+
+    The file's entries in order of their ids are its merge ranks, so the faster
+    encoder below gives the same ids (tests compare them); what it can't take,
+    such as endless white space, goes to the library itself.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        special = {x["content"] for x in told["added_tokens"]}
+        names = _byte_names()
+        ranks = {
+            bytes(names[x] for x in token): k for token, k in told["model"]["vocab"].items() if token not in special
+        }
+        self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known = _memo.setdefault(path, {})
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known, parts = self.known, [_chunks(x) for x in texts]
-        fresh = list({x for part in parts for x in part if x not in known})
-        more = {}
-        for lo in range(0, len(fresh), 20_000):
-            some = fresh[lo : lo + 20_000]
-            for x, made in zip(some, self.model.encode_batch(some, add_special_tokens=False)):
-                more[x] = made.ids
-        room = MEMO - len(known)
-        known.update((x, more[x]) for x in fresh[: max(room, 0)] if len(x) < 64)
-        out = []
-        for part in parts:
-            found: list[int] = []
-            for x in part:
-                got = known.get(x)
-                found.extend(more[x] if got is None else got)
-            found.append(END)
-            out.append(np.array(found, "<u4"))
-        return out
+
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            made = self.fast.encode_ordinary(text)
+        except BaseException as error:  # noqa: BLE001  the encoder's own panic is no Exception
+            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            made = self.model.encode(text, add_special_tokens=False).ids
+        return np.array([*made, END], "<u4")
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long"
@@ -100,13 +101,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """Pieces of every document, numbered by length inside their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = Encoder.of(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             for lo, hi, _, _ in W.blocks(batch.column(1)):
                 ids = batch.column(0)[lo:hi].to_pylist()
                 rows: list[tuple] = []
-                for doc, made in zip(ids, encoder.ids([x or "" for x in batch.column(1)[lo:hi].to_pylist()])):
+                for doc, text in zip(ids, batch.column(1)[lo:hi].to_pylist()):
+                    made = encoder.ids(text or "")
                     at, first = 0, len(made) % capacity or capacity
                     for k in range(-(-len(made) // capacity)):
                         size = capacity if k else first
