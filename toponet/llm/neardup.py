@@ -1,18 +1,19 @@
 """Near-duplicates by bottom-k sketches of word shingles.
 
-One hash function orders all shingles; a document keeps its ``SKETCH`` smallest.
+One hash function orders all shingles; a document keeps its smallest, small sets whole.
 
 1. Documents with equal shingle sets are one class from the start.
 2. Inverted lists hold retained values. Two sets of the wanted similarity share at
-   least ``need`` retained values (exactly so while the whole set is retained; for
+   least ``need`` retained values (exactly so while both sets are retained whole; for
    larger sets except with a chance below 1e-6), so each class only enters the lists
-   of its first ``size - need + 1`` values, the rarest first. Values that many
+   of its first ``size - need + 1`` values, the rarest first. Whole sets have lists of
+   their own; sets that a larger one may resemble are in both. Values that many
    documents share, as in a common passage, come last and are hardly ever listed.
    Rarity is read from a table of ``COUNTERS`` sums, whatever the corpus.
-3. Pairs: every member of a list meets the list's leader. Linked classes merge, and
-   lists with one component are done. Other lists get other leaders; when these
-   rounds have done their work, the remaining pairs between different components
-   of a list are all tested. No list emits all its pairs.
+3. Pairs: every class meets the leaders of most of its lists. Linked classes merge, and
+   lists with one component are done. Other lists get other leaders. As soon as the
+   pairs between different components of a list are about as many as list entries, or
+   after the last leaders, these pairs are all tested. No list emits all its pairs.
 4. The sketch of the union, the smallest values of both sketches together, estimates
    the similarity; what can't reach the threshold goes. The rest is counted on full
    sets: a link is exact.
@@ -33,18 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import top_per_key
 from ..plans.grouping import components
 from ..session import cut_lineage
 from . import words as W
 
 c = F.col
 
-SKETCH = 128
+#: Sets up to ``FULL`` shingles are retained whole, of larger ones the ``SKETCH`` smallest hashes.
+FULL, SKETCH = 256, 128
 #: Chance to be below ``need`` shared values at exactly the threshold.
 MISS = 1e-7
-COUNTERS = 1 << 17
+COUNTERS = 1 << 20
 FILTER_BITS = 1 << 22
-LEADER_ROUNDS = 3
+#: Leaders that each class meets, round by round.
+LEADERS = (1, 4, 8, 8)
+#: The rest is paired at once when that is no more than so many pairs per list entry.
+REST = 2
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -62,9 +68,10 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarra
             few = np.zeros(1, np.uint64)
             for k in range(lo, hi):
                 few = W.mix(few * np.uint64(0xA0761D6478BD642F) + h[k : k + 1] + np.uint64(1))
-            out.append(few)
+            out.append(few >> np.uint64(1))
         else:
-            out.append(np.unique(grams[cut[d] : cut[d + 1]]))
+            # 63 bits: the order is the same for signed numbers.
+            out.append(np.unique(grams[cut[d] : cut[d + 1]] >> np.uint64(1)))
     return out
 
 
@@ -88,7 +95,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 yield W.record_batch(
                     doc_id=batch.column(0)[lo:hi], n_shingles=np.array(list(map(len, sets)), np.int64),
                     print_a=np.ascontiguousarray(prints[:, 0]), print_b=np.ascontiguousarray(prints[:, 1]),
-                    sketch=_signed([x[:SKETCH] for x in sets]),
+                    sketch=_signed([x if len(x) <= FULL else x[:SKETCH] for x in sets]),
                 )
 
     schema = "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>"
@@ -129,11 +136,10 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     """(value, id, n) of the values each class is listed under."""
     sums = (
         classes.select(F.explode("sketch").alias("value")).groupBy(_counter(c("value")).alias("k"))
-        .agg(F.count(F.lit(1)).alias("n")).collect()
+        .agg(F.count(F.lit(1)).alias("n")).toArrow()
     )
     table = np.zeros(COUNTERS, np.int64)
-    for k, n in sums:
-        table[k] = n
+    table[sums["k"].to_numpy()] = sums["n"].to_numpy()
     shared = classes.sparkSession.sparkContext.broadcast(table)
     most = least_shared(percent)
 
@@ -143,9 +149,17 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
             out = []
             for n, value in zip(sizes, batch.column(2)):
                 value = value.values.to_numpy()
-                need = min(-(-percent * n // 100), most)
                 often = shared.value[(value >> 20) % COUNTERS]
-                out.append(value[np.lexsort((value, often))[: len(value) - need + 1]])
+                keys = np.zeros(0, np.int64)
+                if n <= FULL:
+                    need = -(-percent * n // 100)
+                    # Complements, so that these lists are apart from those of larger sets.
+                    keys = ~value[np.lexsort((value, often))[: n - need + 1]]
+                if 100 * n >= percent * FULL:
+                    low = value[:SKETCH]
+                    rare = low[np.lexsort((low, often[:SKETCH]))[: len(low) - most + 1]]
+                    keys = np.concatenate([keys, rare])
+                out.append(keys)
             counts = [len(x) for x in out]
             yield W.record_batch(
                 value=np.concatenate(out) if out else np.zeros(0, np.int64),
@@ -155,23 +169,32 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("id", "n", "sketch").mapInArrow(run, "value long, id long, n long")
 
 
-def _similar(percent: int) -> Column:
-    """Whether a pair's sketches allow the threshold, then whether its sets reach it."""
-    a, b = F.slice("a_set", 1, SKETCH), F.slice("b_set", 1, SKETCH)
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    need = F.when(
-        F.greatest(F.size("a_set"), F.size("b_set")) > SKETCH, F.lit(least_shared(percent))
-    ).otherwise(0)
-    inter = F.size(F.array_intersect("a_set", "b_set"))
-    return (both >= need) & (100 * inter >= percent * (F.size("a_set") + F.size("b_set") - inter))
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure) of the pairs whose retained values allow the threshold.
+
+    Where both sets are retained whole the answer is exact; else the union sketch
+    estimates it.
+    """
+    left = classes.select(c("id").alias("a"), c("n").alias("a_n"), c("sketch").alias("a_kept"))
+    right = classes.select(c("id").alias("b"), c("n").alias("b_n"), c("sketch").alias("b_kept"))
+    inter = F.size(F.array_intersect("a_kept", "b_kept"))
+    exact = 100 * inter >= percent * (c("a_n") + c("b_n") - inter)
+    one, two = F.slice("a_kept", 1, SKETCH), F.slice("b_kept", 1, SKETCH)
+    union = F.slice(F.array_sort(F.array_union(one, two)), 1, SKETCH)
+    both = F.size(F.array_intersect(F.array_intersect(one, two), union))
+    sure = F.greatest("a_n", "b_n") <= FULL
+    return pairs.join(right, "b").join(left, "a").filter(
+        F.when(sure, exact).otherwise(both >= least_shared(percent))
+    ).select("a", "b", sure.alias("sure"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(c("id").alias("a"), c("set").alias("a_set"))
     right = sets.select(c("id").alias("b"), c("set").alias("b_set"))
-    return pairs.join(right, "b").join(left, "a").filter(_similar(percent)).select("a", "b")
+    inter = F.size(F.array_intersect("a_set", "b_set"))
+    alike = 100 * inter >= percent * (F.size("a_set") + F.size("b_set") - inter)
+    return pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b")
 
 
 def _can_match(percent: int) -> Column:
@@ -179,14 +202,31 @@ def _can_match(percent: int) -> Column:
     return (100 * F.least("n", "m")) >= (percent * F.greatest("n", "m"))
 
 
-def _leader_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each member with the leader of its list, where they are not yet together."""
+def _leader_pairs(lists: DataFrame, percent: int, turn: int, leaders: int) -> DataFrame:
+    """Each class with the ``leaders`` commonest of its lists, where they are not yet together."""
     rank = F.xxhash64("id", F.lit(turn)) if turn else c("id")
     first = lists.groupBy("value").agg(
         F.min_by(F.struct("id", "n", "comp"), rank).alias("lead")
     ).select("value", c("lead.id").alias("lead"), c("lead.n").alias("m"), c("lead.comp").alias("lead_comp"))
     met = lists.join(first, "value").filter((c("comp") != c("lead_comp")) & _can_match(percent))
-    return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    times = met.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("times"))
+    best = top_per_key(times, ["id"], [c("times").desc(), c("lead")], leaders)
+    return best.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Members of one list that aren't in one component."""
+    other = lists.select("value", c("id").alias("b"), c("n").alias("m"), c("comp").alias("b_comp"))
+    met = lists.join(other, "value").filter((c("comp") < c("b_comp")) & _can_match(percent))
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def _is_little(lists: DataFrame) -> bool:
+    """Whether the pairs between components of a list are about as many as list entries."""
+    each = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    whole = each.groupBy("value").agg(F.sum("n").alias("n"), F.sum(c("n") * c("n")).alias("own"))
+    row = whole.agg(F.sum((c("n") * c("n") - c("own")) / 2).alias("pairs"), F.sum("n").alias("entries")).first()
+    return row.pairs <= REST * row.entries
 
 
 def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -201,11 +241,11 @@ def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     return cut_lineage(lists.join(several, "value", "left_semi"))
 
 
-def _bit_map(lists: DataFrame) -> bytes:
-    """Bits of the ids in ``lists``; a full map would only let more rows pass."""
+def _bit_map(pairs: DataFrame) -> bytes:
+    """Bits of the ids in ``pairs``; a full map would only let more rows pass."""
     bits = np.zeros(FILTER_BITS, bool)
-    rows = lists.select("id").distinct().mapInArrow(_bit_numbers, "bit int").distinct()
-    for row in rows.toLocalIterator():
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    for row in ids.mapInArrow(_bit_numbers, "bit int").distinct().toLocalIterator():
         bits[row.bit] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -226,25 +266,22 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = cut_lineage(classes.withColumnRenamed("n_shingles", "n"))
     lists = _open_lists(postings(classes, percent).withColumn("comp", c("id")), None)
     links, comps = None, None
-    if not lists.isEmpty():
-        sets = cut_lineage(full_sets(docs, width, _bit_map(lists)))
-        for turn in range(LEADER_ROUNDS + 1):
-            if turn < LEADER_ROUNDS:
-                pairs = _leader_pairs(lists, percent, turn)
-            else:
-                other = lists.select(
-                    "value", c("id").alias("b"), c("n").alias("m"), c("comp").alias("b_comp")
-                )
-                pairs = lists.join(other, "value").filter(
-                    (c("comp") < c("b_comp")) & _can_match(percent)
-                ).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            found = cut_lineage(_verified(pairs, sets, percent))
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-            if turn < LEADER_ROUNDS:
-                lists = _open_lists(lists, comps)
-                if lists.isEmpty():
-                    break
+    turn, last = 0, False
+    while not last and not lists.isEmpty():
+        last = turn == len(LEADERS) or turn > 0 and _is_little(lists)
+        pairs = _all_pairs(lists, percent) if last else _leader_pairs(lists, percent, turn, LEADERS[turn])
+        turn += 1
+        pairs = cut_lineage(_estimated(pairs, classes, percent))
+        if pairs.isEmpty():
+            continue
+        found, open_ = pairs.filter("sure").select("a", "b"), pairs.filter(~c("sure")).select("a", "b")
+        if not open_.isEmpty():
+            sets = full_sets(docs, width, _bit_map(open_))
+            found = found.unionByName(cut_lineage(_verified(open_, sets, percent)))
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        if not last:
+            lists = _open_lists(lists, comps)
     named = classes.select("print_a", "print_b", c("n").alias("n_shingles"), "id")
     if comps is not None:
         named = named.join(comps, c("id") == c("node"), "left").withColumn("id", F.coalesce("component", "id"))
