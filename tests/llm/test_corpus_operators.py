@@ -95,6 +95,29 @@ def test_repeated_chunks_go_but_the_first(make, prose):
         assert text[i] == whole[i]
 
 
+def test_shared_block_of_short_lines_is_wholly_gone(make, prose):
+    short = [[f"b{b} word{k} of a short line number {j}" for j in range(12)] for k, b in enumerate(range(8))]
+    twenty = ["\n".join(" ".join(f"t{b}l{j}w{k}" for k in range(20)) for j in range(3)) for b in range(20)]
+    blocks = ["\n".join(x) for x in short] + twenty + ["c1 " * 35 + "\nc2\n \n\nc3 " + "c4 " * 20]
+    rows = [
+        (100 * b + k, f"{prose(1000 + 10 * b + k, 36, 10**6)}\n{block}\n{prose(5000 + 10 * b + k, 24, 10**6)}")
+        for b, block in enumerate(blocks) for k in range(3)
+    ]
+    got = {r.doc_id: r for r in line_dedup.report(make(rows)).collect()}
+    for i, text in rows:
+        block = blocks[i // 100]
+        assert got[i].text == (text.replace(block + "\n", "") if i % 100 else text)
+        assert got[i].n_removed == (block.count("\n") + 1 if i % 100 else 0)
+
+
+def test_repeats_inside_a_document_leave_the_first(make):
+    block = "\n".join(f"line {k} says a few words" for k in range(8))
+    rows = [(1, f"{block}\nmiddle\n{block}\nend"), (2, "\n".join(["two words"] * 100)), (2, "\n".join(["two words"] * 100))]
+    got = {r.doc_id: r.text for r in line_dedup.report(make(rows)).collect()}
+    assert got[1] == f"{block}\nmiddle\nend"
+    assert got[2] == "\n".join(["two words"] * 20)
+
+
 def test_chunks_join_to_the_text(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", " ", "\n", "\u0001", "\u0002", "\u0003", "word " * 50]) for _ in range(20)) for _ in range(100)]
