@@ -110,6 +110,13 @@ def test_shared_block_of_short_lines_is_wholly_gone(make, prose):
         assert got[i].n_removed == (block.count("\n") + 1 if i % 100 else 0)
 
 
+def test_repeated_headings_and_stock_lines_stay(make, prose):
+    stock = ["\n\nHistory\n\n", "\nShare this page\nPrint\nAll rights reserved\n", "\n" + " ".join(f"s{k}" for k in range(20)) + "\n" + "s " * 19 + "\n"]
+    rows = [(k, stock[k % 3].join(prose(7000 + 10 * k + j, 24, 10**6) for j in range(6))) for k in range(30)]
+    for r in line_dedup.report(make(rows)).collect():
+        assert (r.n_removed, r.text) == (0, rows[r.doc_id][1])
+
+
 def test_repeats_inside_a_document_leave_the_first(make):
     block = "\n".join(f"line {k} says a few words" for k in range(8))
     rows = [(1, f"{block}\nmiddle\n{block}\nend"), (2, "\n".join(["two words"] * 100)), (2, "\n".join(["two words"] * 100))]
