@@ -162,6 +162,22 @@ def test_personal_data_base_equals_the_patterns(make):
         assert r.n_email == want.count("email")
 
 
+def said_terms(got, docs):
+    return {i: [docs[i][int(x[1]) : int(x[2])] for x in (y.split(":") for y in r.spans.split(",")) if x[0] == "term"] for i, r in got.items()}
+
+
+def test_terms_of_values_that_occur_once_are_found(make, prose):
+    rows = [(k, f"{prose(k, 20)} ask Zorblax today {prose(90 + k, 9)} at boss{k}@corp.org {prose(50 + k, 20)}") for k in range(6)]
+    rows += [(20 + k, f"{prose(k, 20)} call “grumble” {prose(80 + k, 9)} on +1 499 555 {6000 + k} {prose(60 + k, 20)}") for k in range(6)]
+    rows += [(40, "ask nobody@else.example of hapax"), (41, "call +7 999 111 22 33 of hapax")]
+    rows += [(100 + k, prose(200 + k, 60) + " today ask call") for k in range(60)]
+    docs = dict(rows)
+    got = said_terms({r.doc_id: r for r in personal_data.report(make(rows)).collect()}, docs)
+    for k in range(6):
+        assert got[k] == ["Zorblax"] and got[20 + k] == ["grumble"]
+    assert not any(got[k] for k in (40, 41, *range(100, 160)))
+
+
 def test_disclosing_terms(make, prose):
     rows = [(k, f"{prose(k, 20)} ask zorblax today {prose(90 + k, 9)} at boss@corp.org {prose(50 + k, 20)}") for k in range(6)]
     rows += [(100 + k, prose(200 + k, 60) + " today") for k in range(60)]

@@ -1,13 +1,16 @@
 """Personal data: formal patterns, and words that give a protected entity away.
 
 Base spans are e-mail and IP addresses, card and phone numbers, leftmost and
-non-overlapping per kind; a match that fails its test is dropped. Around each of
-them the words are terms. Over the corpus, the disclosure of an entity e by a term t
-is log(P(e | t) / P(e)) / log(1 / P(e)): 0 where t says nothing, 1 where t only occurs
-with e. A term is disclosing from ``DISCLOSURE`` on, if at least ``CONTEXTS`` different
-contexts of the entity hold it (copies of one context count once). Disclosing terms
-near their entity become spans of kind ``term``; ``sanitise`` replaces spans by their
-kind and takes out terms from ``REMOVE`` on.
+non-overlapping per kind; a match that fails its test is dropped. Words of three letters
+or more outside of them are terms. A single value seldom recurs, so a protected entity
+is also what stands behind it: its kind, the domain and the account of an e-mail
+address, the network of an IP address, the block of a number (``entities``). Over the
+corpus, counted by documents, the disclosure of an entity e by a term t is
+log(P(e | t) / P(e)) / log(1 / P(e)), 0 where t says nothing and 1 where t only occurs
+with e, times k / (k + ``SHRINK``) for the k texts that hold both and differ outside of base
+spans. A term is disclosing from ``DISCLOSURE`` on for any entity. Such
+terms become spans of kind ``term`` wherever they stand, in texts without the entity too;
+``sanitise`` replaces spans by their kind and takes out terms from ``REMOVE`` on.
 
 Null text is empty and has no spans. A repeated row is treated like its twin. Ties
 of position go by kind. Other columns pass through ``sanitise``. Empty tables give
@@ -17,6 +20,7 @@ empty results.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,17 +35,18 @@ from . import words as W
 c = F.col
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR_CHARS, NEAR_WORDS = 120, 8
-CONTEXTS = 3
 DISCLOSURE, REMOVE = 0.9, 0.99
-FILTER_BITS = 1 << 20
+SHRINK = 0.25
+#: With fewer texts no pair gets to DISCLOSURE.
+LEAST_TEXTS = math.ceil(DISCLOSURE * SHRINK / (1 - DISCLOSURE) - 1e-9)
+#: Least and most bits of the map of wanted terms.
+FILTER_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGIT = W.byte_table(b"0123456789")
 _AT, _PLUS, _DOT = W.byte_table(b"@"), W.byte_table(b"+"), W.byte_table(b".")
 _OF_WORD = W.byte_table(bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -109,84 +114,144 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """(entity, term, context, start, end) of the words around each span."""
-    out = []
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """Numbers of the values of the spans and of what stands behind them."""
+    out = set()
     for start, kind, end in spans:
         value = text[start:end].lower()
-        if kind > 1:
-            value = "".join(x for x in value if x.isdigit())
-        entity = _number(f"{KINDS[kind]}:{value}")
-        low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-        # Not in the middle of a word.
-        while low and low < start and text[low - 1].isalpha():
-            low += 1
-        while high < len(text) and high > end and text[high].isalpha():
-            high -= 1
-        found = [m for m in _TERM.finditer(text, low, start)][-NEAR_WORDS:]
-        found += [m for m in _TERM.finditer(text, end, high)][:NEAR_WORDS]
-        found = [m for m in found if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        context = _number(" ".join(m.group().lower() for m in found))
-        out += [(entity, _term_number(m.group()), context, m.start(), m.end()) for m in found]
-    return out
-
-
-def _term_number(word: str) -> int:
-    """The hash of a word as ``_document_terms`` has it: A-Z small."""
-    raw = W.LOWER[np.frombuffer(word.encode(), np.uint8)]
-    return int(W.hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+        names = ["", value]
+        if kind == 0:
+            account, _, domain = value.partition("@")
+            account = "".join(x for x in account.partition("+")[0] if x.isalpha())
+            names += [f"@{domain}"] + [f"{account}@"] * (len(account) > 2)
+        elif kind == 1:
+            names.append(value.rpartition(".")[0])
+        else:
+            digits = "".join(x for x in value if x.isdigit())
+            names[1:] = [digits, f"{digits[:6] if kind == 2 else digits[:-4]}*"]
+        out.update(f"{KINDS[kind]}:{x}" for x in names)
+    return sorted(map(_number, out))
+
+
+def terms(data: np.ndarray, at: np.ndarray):
+    """(hash, document, start, end) of the terms of a block, in characters of their document; A-Z are small.
+
+    Letters are A-Z, a-z and all beyond ASCII but Latin-1 signs, general punctuation to symbols, and CJK punctuation.
+    """
+    small = W.LOWER[data]
+    lead = small[:-2]
+    for width, found in (
+        (2, np.flatnonzero(small[:-1] == 0xC2)),
+        (3, np.flatnonzero((lead == 0xE2) & (small[1:-1] >= 0x80) & (small[1:-1] <= 0xAF))),
+        (3, np.flatnonzero((lead == 0xE3) & (small[1:-1] == 0x80))),
+    ):
+        for k in range(width):
+            small[found + k] = 0x20
+    starts, ends = W.bounds(small, at, _OF_WORD)
+    chars = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+    long = chars[ends] - chars[starts] >= 3
+    starts, ends = starts[long], ends[long]
+    owner = W.owners(W.per_document(starts, at))
+    first = chars[at[:-1]][owner]
+    return W.hashes(small, starts, ends), owner, chars[starts] - first, chars[ends] - first
+
+
+def _between(text: str, spans: list[tuple[int, int, int]]) -> str:
+    parts, last = [], 0
+    for start, _, end in spans:
+        parts.append(text[last:start])
+        last = max(last, end)
+    return "\0".join([*parts, text[last:]])
+
+
+def outside(text: str, spans: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the words touch no span."""
+    held = np.zeros(len(text) + 1, np.int64)
+    for a, _, b in spans:
+        held[a + 1 : b + 1] = 1
+    held = np.cumsum(held)
+    return held[ends] == held[starts]
 
 
-_NEAR = pa.list_(pa.struct([
-    ("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
-]))
 _BASE = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_NEAR_SQL = "array<struct<entity:long,term:long,context:long,start:long,end:long>>"
 _BASE_SQL = "array<struct<start:long,kind:int,end:long>>"
+_HITS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_LONGS = pa.list_(pa.int64())
+
+
+def _signs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([W.counted(x[data], at) for x in (_DIGIT, _AT, _PLUS, _DOT)], 1)
+
+
+def _text(data: np.ndarray, at: np.ndarray, d: int) -> str:
+    return data[at[d] : at[d + 1]].tobytes().decode("utf-8", "replace")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, near) of every row; ``key`` stands for id and text."""
+    """(doc_id, key, base, entities, terms, context) of every row; ``key`` stands for id and text, ``context`` for
+    the text outside of its spans. Rows without spans have no terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in W.blocks(batch.column(2)):
-                signs = np.stack([W.counted(x[data], at) for x in (_DIGIT, _AT, _PLUS, _DOT)], 1)
-                base, near = [[]] * (hi - lo), [[]] * (hi - lo)
+                signs = _signs(data, at)
+                base, known, said = ([[]] * (hi - lo) for _ in range(3))
+                context = np.zeros(hi - lo, np.int64)
                 for d in np.flatnonzero(signs[:, :2].any(1)):
-                    text = data[at[d] : at[d + 1]].tobytes().decode("utf-8", "replace")
+                    text = _text(data, at, d)
                     spans = base_spans(text, tuple(signs[d].tolist()))
-                    base[d], near[d] = spans, near_terms(text, spans)
+                    if spans:
+                        h, _, starts, ends = terms(data[at[d] : at[d + 1]], np.array([0, at[d + 1] - at[d]]))
+                        h = np.unique(h[outside(text, spans, starts, ends)])
+                        base[d], known[d], said[d] = spans, entities(text, spans), h.view(np.int64)
+                        context[d] = _number(_between(text, spans))
                 yield W.record_batch(
                     doc_id=batch.column(0)[lo:hi], key=batch.column(1)[lo:hi],
                     base=pa.array([[dict(zip(("start", "kind", "end"), x)) for x in y] for y in base], _BASE),
-                    near=pa.array(
-                        [[dict(zip(("entity", "term", "context", "start", "end"), x)) for x in y] for y in near],
-                        _NEAR,
-                    ),
+                    entities=pa.array(known, _LONGS), terms=pa.array(said, _LONGS), context=context,
                 )
 
-    rows = docs.select(
+    return _rows(docs).mapInArrow(
+        run, f"doc_id long, key long, base {_BASE_SQL}, entities array<long>, terms array<long>, context long"
+    )
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(
         c("doc_id").cast("long").alias("doc_id"), F.xxhash64(c("doc_id").cast("long"), "text").alias("key"),
         c("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, f"doc_id long, key long, base {_BASE_SQL}, near {_NEAR_SQL}")
+
+
+def _bit_map(found: DataFrame) -> bytes:
+    """A bit for every ``term`` of ``found``; about one in eight is set, up to MOST_BITS."""
+    bits = min(MOST_BITS, max(FILTER_BITS, 1 << (8 * found.count()).bit_length()))
+    place = F.pmod("term", F.lit(bits))
+    words = found.select(
+        F.floor(place / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(term, {bits}) % 64 as int))").alias("bit")
+    ).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits // 64, "<i8")
+    for row in words.toLocalIterator():
+        out[row["at"]] = row["bits"]
+    return out.tobytes()
+
+
+def _wanted(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = (h % np.uint64(8 * len(bits))).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7) & 1).astype(bool)
 
 
 def _document_terms(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """(term, documents) of words whose bit is set, summed per block."""
+    """(term, documents) of terms whose bit is set, summed per block."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for lo, hi, data, at in W.blocks(batch.column(0)):
-                small = W.LOWER[data]
-                starts, ends = W.bounds(small, at, _OF_WORD)
-                h = W.hashes(small, starts, ends)
-                owner = W.owners(W.per_document(starts, at))
-                place = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-                use = (bits[place >> 3] >> (place & 7) & 1).astype(bool)
+                h, owner, _, _ = terms(data, at)
+                use = _wanted(bits, h)
                 pairs = np.unique(np.stack([h[use], owner[use].astype(np.uint64)], 1), axis=0)
                 term, n = np.unique(pairs[:, 0], return_counts=True)
                 yield W.record_batch(term=term.view(np.int64), n=n.astype(np.int64))
@@ -194,47 +259,81 @@ def _document_terms(docs: DataFrame, wanted: bytes) -> DataFrame:
     return docs.select(c("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
 
 
+def _places(docs: DataFrame, wanted: bytes) -> DataFrame:
+    """(key, hits) of the texts that hold terms whose bit is set, outside of base spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for lo, hi, data, at in W.blocks(batch.column(1)):
+                h, owner, starts, ends = terms(data, at)
+                use = _wanted(bits, h)
+                h, owner, starts, ends = h[use].view(np.int64), owner[use], starts[use], ends[use]
+                signs = _signs(data, at)
+                rows, hits = [], []
+                for d, first in zip(*np.unique(owner, return_index=True)):
+                    own = slice(first, np.searchsorted(owner, d, "right"))
+                    stays = np.ones(own.stop - own.start, bool)
+                    if signs[d, :2].any():
+                        text = _text(data, at, d)
+                        stays = outside(text, base_spans(text, tuple(signs[d].tolist())), starts[own], ends[own])
+                    rows.append(lo + d)
+                    hits.append([
+                        {"term": x, "start": a, "end": b}
+                        for x, a, b in zip(h[own][stays].tolist(), starts[own][stays].tolist(), ends[own][stays].tolist())
+                    ])
+                yield W.record_batch(
+                    key=batch.column(0).take(pa.array(rows, pa.int64())), hits=pa.array(hits, _HITS)
+                )
+
+    return _rows(docs).select("key", "text").mapInArrow(
+        run, "key long, hits array<struct<term:long,start:long,end:long>>"
+    )
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs from ``DISCLOSURE`` on."""
-    seen = scanned.select("key", F.explode("near").alias("x")).select(
-        "key", "x.entity", "x.term", "x.context"
+    """(term, disclosure) of the terms from ``DISCLOSURE`` on, by the entity that each discloses most."""
+    seen = scanned.select(F.explode("entities").alias("entity"), "context", "terms")
+    known = (
+        seen.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_entity"))
+        .filter(c("texts") >= LEAST_TEXTS).drop("texts")
     )
     pairs = cut_lineage(
-        seen.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("n"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together"))
-        .filter(c("contexts") >= CONTEXTS)
+        seen.join(known, "entity").select("entity", "n_entity", "context", F.explode("terms").alias("term"))
+        .groupBy("entity", "n_entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("together"))
+        .filter(c("texts") >= LEAST_TEXTS)
     )
     if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    entities = seen.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    bits = np.zeros(FILTER_BITS, bool)
-    slots = pairs.select(F.pmod("term", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct()
-    for row in slots.toLocalIterator():
-        bits[row.bit] = True
-    counts = _document_terms(docs, np.packbits(bits, bitorder="little").tobytes()).groupBy("term").agg(
+        return pairs.select("term", F.lit(0.0).alias("disclosure"))
+    counts = _document_terms(docs, _bit_map(pairs.select("term").distinct())).groupBy("term").agg(
         F.sum("n").alias("n_term")
     )
-    total = F.lit(float(max(scanned.count(), 2)))
-    own = c("n_entity") / total
-    joined = pairs.join(entities, "entity").join(counts, "term")
+    own = F.least(c("n_entity") / F.lit(float(max(scanned.count(), 2))), F.lit(0.999))
     given = F.least(c("together") / F.greatest("n_term", "together"), F.lit(1.0))
-    return joined.select(
-        "entity", "term", (F.log(given / own) / -F.log(F.least(own, F.lit(0.999)))).alias("disclosure")
-    ).filter(c("disclosure") >= DISCLOSURE)
+    strength = F.log(given / own) / -F.log(own) * c("texts") / (c("texts") + SHRINK)
+    return (
+        pairs.join(counts, "term").select("term", strength.alias("disclosure"))
+        .filter(c("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    )
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, terms) of every row: base spans, and disclosing terms with their strength."""
     scanned = cut_lineage(scan(docs))
-    told = disclosing(docs, scanned)
+    told = cut_lineage(disclosing(docs, scanned))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
+    if told.isEmpty():
+        return scanned.select("doc_id", "key", "base", none.alias("terms"))
     hits = (
-        scanned.select("key", F.explode("near").alias("x")).select("key", "x.*")
-        .join(told, ["entity", "term"])
+        _places(docs, _bit_map(told)).select("key", F.explode("hits").alias("x")).select("key", "x.*")
+        .join(told, "term")
         .groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
         .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     )
-    none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
-    return scanned.join(hits, "key", "left").select(
+    return scanned.select("doc_id", "key", "base").join(hits, "key", "left").select(
         "doc_id", "key", "base", F.coalesce("terms", none).alias("terms")
     )
 
