@@ -191,6 +191,19 @@ def test_disclosing_terms(make, prose):
     assert "boss@" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == docs[100]
 
 
+def test_terms_go_wherever_they_stand(make, prose):
+    rows = [(k, f"zorblax é {prose(k, 60)} boss@corp.org {prose(50 + k, 60)} zorblax") for k in range(20)]
+    rows += [(30, f"{prose(31, 30)} — of zorblax and others"), (31, "zorblaxes")]
+    rows += [(100 + k, prose(200 + k, 60)) for k in range(300)]
+    docs = dict(rows)
+    got = said_terms({r.doc_id: r for r in personal_data.report(make(rows)).collect()}, docs)
+    for k in range(20):
+        assert got[k] == ["zorblax", "zorblax"]
+    assert got[30] == ["zorblax"] and got[31] == []
+    clean = {r.doc_id: r.text for r in personal_data.sanitise(make(rows)).collect()}
+    assert not any("zorblax" in clean[k] for k in (*range(20), 30)) and clean[31] == docs[31] and clean[100] == docs[100]
+
+
 def learnable(prose):
     rows, quality, toxic = [], [], []
     for k in range(400):
