@@ -210,3 +210,22 @@ def test_salvage_finds_what_is_whole():
         spans = [(a, b) for _, a, b, _ in seen]
         assert spans[0][0] == 0 and spans[-1][1] == len(broken) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
         assert starts[-1] == len(whole)
+
+
+def test_salvage_inside_a_member():
+    rng = random.Random(5)
+    records = [
+        warc.record_bytes(k, "u", b"%d " % k + rng.randbytes(300), "", None).replace(b"WARC-Payload-Digest: sha1:\r\n", b"") for k in range(6)
+    ]
+    bad = records[2][:-50] + bytes([records[2][-50] ^ 255]) + records[2][-49:]
+    parts = [*records[:2], bad, *records[3:]]
+    whole = warc.member(b"".join(parts))
+    seen = list(warc.salvage(whole))
+    assert [x[3]["page_id"] for x in seen if x[0] == "record"] == [0, 1, 3, 4, 5]
+    first = len(parts[0]) + len(parts[1])
+    assert [x[1:] for x in seen if x[0] == "gap"] == [(0, len(whole), {"inner_start": first, "inner_end": first + len(bad)})]
+    other = warc.member(records[5])
+    cut = warc.member(b"".join(records[:5]))[:-200]
+    for tail, more in ((b"", []), (other, [5])):
+        got = [x[3]["page_id"] for x in warc.salvage(cut + tail) if x[0] == "record"]
+        assert got == [0, 1, 2, 3, *more]

@@ -165,47 +165,78 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int] | None:
     }, end + 4
 
 
-def _inflate(raw: bytes, at: int) -> tuple[bytes, int] | None:
-    """(data, end) of the gzip member at ``at``, or None if it is damaged."""
-    unpacker = zlib.decompressobj(31)
-    try:
-        parts, pos = [], at
-        while not unpacker.eof and pos < len(raw):
-            parts.append(unpacker.decompress(raw[pos : pos + 65536]))
-            pos += 65536
-    except zlib.error:
-        return None
-    return (b"".join(parts), min(pos, len(raw)) - len(unpacker.unused_data)) if unpacker.eof else None
+def _inflate(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(data, end, whole) of the gzip member at ``at``; of a damaged one what comes before the damage."""
+    unpacker, parts, pos = zlib.decompressobj(31), [], at
+    step = 65536
+    while not unpacker.eof and pos < len(raw):
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(raw[pos : pos + step]))
+            pos += step
+        except zlib.error:
+            # The output of the call is lost: go to the damage in smaller steps.
+            if step == 1:
+                return b"".join(parts), pos, False
+            unpacker, step = before, 256 if step > 256 else 1
+    pos = min(pos, len(raw))
+    return b"".join(parts), pos - len(unpacker.unused_data), unpacker.eof
+
+
+_DIGEST_LINE = re.compile(rb"(?i)\r\nwarc-block-digest: *sha1:")
+
+
+def _members(data: bytes, whole: bool) -> Iterator[tuple[int, int, dict | None]]:
+    """(start, end, fields) of the records of inflated bytes and, with None, of the gaps between them.
+
+    Where the member's own check failed, only records with a block digest count, and not one that ends where the
+    inflated bytes end.
+    """
+    at = good = 0
+    while at < len(data):
+        one = parse_record(data, at)
+        if one and (whole or one[1] < len(data) and _DIGEST_LINE.search(data, at, data.find(b"\r\n\r\n", at))):
+            if good < at:
+                yield good, at, None
+            yield at, one[1], one[0]
+            at = good = one[1]
+            continue
+        near = data.find(b"WARC/1.", at + 1)
+        at = near if near >= 0 else len(data)
+    if good < len(data):
+        yield good, len(data), None
 
 
 def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
     """("record", start, end, fields) and ("gap", start, end, None) of an archive, in order.
 
     Members and records that pass all checks are taken; from anything else on, the
-    next place where a member or a version line is valid is looked for.
+    next place where a member or a version line is valid is looked for, in inflated
+    bytes too. A gap inside a member has the member's bounds, and in place of None its
+    own ones in the inflated bytes as ``inner_start`` and ``inner_end``.
     """
     at = good = 0
     while at < len(raw):
         found, end = [], 0
+        near = [x for x in (raw.find(_MAGIC, at + 1), raw.find(b"WARC/1.", at + 1)) if x >= 0]
         if raw.startswith(_MAGIC, at):
-            got = _inflate(raw, at)
-            if got:
-                inside, pos = [], 0
-                while pos < len(got[0]) and (one := parse_record(got[0], pos)):
-                    inside.append(one[0])
-                    pos = one[1]
-                if pos == len(got[0]):
-                    found, end = inside, got[1]
+            data, stop, whole = _inflate(raw, at)
+            found = list(_members(data, whole))
+            if whole and not data or any(x[2] for x in found):
+                # A cut member runs on into the bytes of the next one.
+                end = stop if whole else min([stop, *near])
         elif one := parse_record(raw, at):
-            found, end = [one[0]], one[1]
+            found, end = [(at, one[1], one[0])], one[1]
         if end:
             if good < at:
                 yield "gap", good, at, None
-            for fields in found:
-                yield "record", at, end, fields
+            for start, stop, fields in found:
+                if fields:
+                    yield "record", at, end, fields
+                else:
+                    yield "gap", at, end, {"inner_start": start, "inner_end": stop}
             at = good = end
             continue
-        near = [x for x in (raw.find(_MAGIC, at + 1), raw.find(b"WARC/1.", at + 1)) if x >= 0]
         at = min(near, default=len(raw))
     if good < len(raw):
         yield "gap", good, len(raw), None
@@ -213,12 +244,13 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
 
 READ = (
     "path string, kind string, start long, end long, page_id long, url string, payload_bytes long, "
-    "payload_digest string, record_type string, refers_to long, payload binary"
+    "payload_digest string, record_type string, refers_to long, payload binary, inner_start long, inner_end long"
 )
 _TYPES = [
     ("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
     ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+    ("inner_start", pa.int64()), ("inner_end", pa.int64()),
 ]
 
 
