@@ -71,6 +71,13 @@ def test_wikitext(spark):
     assert values(spark, phrases.clean_wikitext(c("a")), [text]) == ["Bold the city end"]
 
 
+def test_deeply_nested_markup_goes(spark):
+    file, template = "[[A]] b", "x"
+    for k in range(12):
+        file, template = f"[[File:{k}.jpg|thumb|{file}]]", f"{{{{t{k}|{template}}}}}"
+    assert values(spark, phrases.clean_wikitext(c("a")), [f"one {file} two {template} three", None]) == ["one two three", ""]
+
+
 def test_scores(spark):
     rows = ["8.8/10", "92%", "61/100", "n/a", "12/0", "120%"]
     assert values(spark, ratings.normalize_score(c("a")), rows) == [88.0, 92.0, 61.0, None, None, None]
