@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, language_id, line_dedup, neardup, packing, personal_data, quality_fm, quality_rules,
-    toxicity, warc,
+    chat_format, decontaminate, filter_audit, language_id, line_dedup, neardup, packing, periodic_runs,
+    personal_data, quality_fm, quality_rules, toxicity, warc,
 )
 from .tables import scratch_folder, table
 
@@ -122,3 +122,133 @@ from g
 """)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"), scratch_folder(spark, "warc"))
+
+
+@query("op11_filter_audit", """
+with t as (select doc_id, coalesce(source, '') part, coalesce(text, '') text from documents),
+w as (
+  select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') w, min(doc_id) over (partition by text) first from t
+),
+m as (
+  select part, doc_id, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int mask
+  from w
+),
+l as (
+  select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels
+  where doc_id is not null group by doc_id
+),
+cells as (
+  select part, mask, count(*) n, sum(coalesce(good, 0)) good, sum(coalesce(toxic, 0)) toxic
+  from m left join l using (doc_id) group by part, mask
+),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x o
+  from letters a, letters b, letters c, letters d, letters e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x
+),
+steps as (
+  select o, k, 1 << (ascii(o[k]) - 65) own,
+    list_sum(list_transform(range(1, k), lambda x: 1 << (ascii(o[x]) - 65)))::int before
+  from orders, (select unnest(range(1, 6)) k)
+),
+r as (
+  select part, o filter_order, k::int step, own, sum(n * (mask & (coalesce(before, 0) | own) = 0)::int) kept,
+    sum(n * (mask & coalesce(before, 0) = 0 and mask & own <> 0)::int) removed,
+    sum(n * (mask & coalesce(before, 0) <> 0 and mask & own <> 0)::int) redundant,
+    sum(n * (mask = own)::int) unique_fails,
+    sum(good * (mask & coalesce(before, 0) = 0 and mask & own <> 0)::int) good_lost,
+    sum(toxic * (mask & coalesce(before, 0) = 0 and mask & own <> 0)::int) toxic_lost
+  from cells, steps group by part, o, k, own
+)
+select part, filter_order, step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant,
+  unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint shapley
+from r
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_periodic_runs", """
+with h as (
+  select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w,
+    xor(4294967295, list_reduce(
+      list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: list_reduce(
+        list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)
+      )
+    )) h
+  from documents
+),
+p as (
+  select rid, doc_id, w, len(w) n, h, case when len(w) > 0 then (h // 10) % len(w) end a, 3 + (h // 10) % 8 k from h
+),
+d as (
+  select rid, doc_id, n, case when h % 10 = 0 and n > 0
+    then list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // k) + 1])) else w end w
+  from p
+),
+words as (select rid, n, unnest(w) word, unnest(range(0, n)) i from d),
+pairs as (
+  select x.rid, x.i, y.i - x.i q from words x join words y
+    on x.rid = y.rid and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+),
+isles as (select rid, q, i, i - row_number() over (partition by rid, q order by i) isle from pairs),
+found as (
+  select rid, q, min(i) s, count(*) + q len from isles group by rid, q, isle having count(*) + q >= greatest(6, 4 * q)
+),
+r as (select rid, s, len, min(q) q from found group by rid, s, len),
+best as (
+  select rid, count(*) n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) said,
+    arg_min(struct_pack(s := s, len := len, q := q), struct_pack(a := -len, b := s, c := q)) top
+  from r group by rid
+),
+gone as (select distinct rid, unnest(range(s + q, s + len)) i from r),
+kept as (
+  select words.rid, string_agg(word, ' ' order by words.i) said
+  from words left join gone on gone.rid = words.rid and gone.i = words.i where gone.i is null group by words.rid
+)
+select doc_id, coalesce(n_runs, 0) n_runs, top.s "start", top.len length, top.q period,
+  1000 * top.len // top.q exponent_milli, sha256(coalesce(best.said, '')) runs_sha256,
+  sha256(coalesce(kept.said, '')) collapsed_sha256
+from d left join best using (rid) left join kept using (rid)
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.runs(table(spark, folder, "documents"), plant=True)
+
+
+#: A conversation made of control strings, which has to come back as it was said.
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op13_chat_format", f"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, k, case k when 0 then 'user' else 'assistant' end, '{_CONTROL}' from (select unnest([0, 1]) k)
+),
+e as (
+  select *, length('<|im_start|>' || replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92)
+      || '|'), chr(10), chr(92) || chr(10)) || chr(10) || replace(replace(text, chr(92), chr(92) || chr(92)), '<|',
+      '<' || chr(92) || '|') || '<|im_end|>' || chr(10)) size
+  from r
+),
+g as (
+  select conv_id, count(*) n_turns, sum(size)::bigint formatted_chars,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) said,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') learnt,
+    string_agg(role, ',' order by turn nulls first, role, text) roles
+  from e group by conv_id
+)
+select conv_id, n_turns, sha256(said) turns_sha256, length(learnt) loss_chars, sha256(learnt) loss_sha256,
+  formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') valid
+from g
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(
+        [(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string"
+    )
+    return chat_format.report(given.unionByName(control))
