@@ -40,13 +40,13 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def failures(text: Column) -> Column:
     """Bits of the filters that look at one text: A is 1, B is 2, C is 4, D is 8."""
-    words = F.filter(F.split(text, _SPACE, -1), lambda x: x != "")
-    # Sizes of one array: all words, and all different ones.
+    words = F.array_remove(F.split(text, _SPACE, -1), "")
     n, different = F.size(words), F.size(F.array_distinct(words))
+    capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
     fails = [
         n < 50,
         100 * different < 65 * n,
-        100 * F.regexp_count(text, F.lit("[A-Z]")) > 5 * F.length(text),
+        100 * capitals > 5 * F.length(text),
         text.rlike(r"[#$%&*|]"),
     ]
     return sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(fails)), F.lit(0))
