@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import normalize_name
 from ..operators import spatial
-from ..operators.grouped import grouped_map
+from . import blocks
 
 c = F.col
 
@@ -89,33 +89,13 @@ def greedy_groups(edges: DataFrame, every: bool) -> DataFrame:
 
     A node joins the first group in which every (or any) member is its
     neighbour, else it opens one; the group is named by its first node. Two
-    nodes can only share a group along a chain of edges, so the greedy pass runs
-    per connected component and equals the pass over everything.
+    nodes can only share a group along a chain of edges, so the pass runs per
+    connected component, in blocks of bounded size, and equals the pass over everything.
     """
-    import pandas as pd
-
     from ..session import cut_lineage
 
     edges = cut_lineage(edges.select("a", "b"))
-    labelled = edges.join(components(edges), c("a") == c("node")).select("component", "a", "b")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set] = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        group_of: dict[int, int] = {}
-        members: dict[int, set] = {}
-        for node in sorted(near):
-            open_groups = sorted({group_of[n] for n in near[node] if n in group_of})
-            if every:
-                open_groups = [g for g in open_groups if members[g] <= near[node]]
-            group = open_groups[0] if open_groups else node
-            group_of[node] = group
-            members.setdefault(group, set()).add(node)
-        return pd.DataFrame({"node": list(group_of), "grp": list(group_of.values())})
-
-    return grouped_map(labelled, "component", assign, "node long, grp long")
+    return blocks.greedy(edges, components(edges), every)
 
 
 def place_groups(places: DataFrame) -> DataFrame:
@@ -260,12 +240,9 @@ def spot_groups(stops: DataFrame) -> DataFrame:
 
     ``stops``: stop_id (text), name, lat, lng. Works on distinct (name, point).
     Components are built over points: neighbours within 5 m plus name matches
-    within 40 m. The pairs of all names on one crowded point are never made; the
-    greedy pass tests a stop against the groups of its component.
+    within 40 m. The pairs of all names on one crowded point are never made; a
+    stop is tested against what the names of a group's points allow together.
     """
-    import numpy as np
-    import pandas as pd
-
     from ..session import cut_lineage
 
     # Stops and shapes are read several times below; both become snapshots.
@@ -273,10 +250,13 @@ def spot_groups(stops: DataFrame) -> DataFrame:
     shaped = stops.groupBy("key", "lat", "lng").agg(F.min("stop_id").alias("first_stop"))
     shaped = cut_lineage(shaped.withColumn("point", F.xxhash64("lat", "lng")))
     points = shaped.select(c("point").alias("id"), "lat", "lng").distinct()
-    near = spatial.within_radius(
-        points.select(c("id").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")),
-        points, SAME_POINT_M + 0.5, 50.0, spatial.whole_metres(), c("metres") <= SAME_POINT_M,
-    ).select("a", c("id").alias("b"))
+    around = cut_lineage(
+        spatial.within_radius(
+            points.select(c("id").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")),
+            points, MERGE_RADIUS_M + 0.5, 50.0, spatial.whole_metres(), c("metres") <= MERGE_RADIUS_M,
+        ).select("a", c("id").alias("b"), (c("metres") <= SAME_POINT_M).alias("close"))
+    )
+    near = around.filter("close").select("a", "b")
     # A name prefix ends before a blank: both sides meet on every such prefix.
     words = F.split("key", " ")
     prefixes = F.transform(
@@ -301,43 +281,12 @@ def spot_groups(stops: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "point")
     )
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_stop", kind="stable").reset_index(drop=True)
-        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        keys = pdf["key"].tolist()
-
-        def alike(i: int, j: int) -> bool:
-            h = (
-                np.sin((lat[j] - lat[i]) / 2) ** 2
-                + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[j] - lng[i]) / 2) ** 2
-            )
-            m = np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
-            if m > MERGE_RADIUS_M:
-                return False
-            if m <= SAME_POINT_M:
-                return True
-            a, b = sorted((keys[i], keys[j]), key=len)
-            return bool(a) and (a == b or b.startswith(a + " "))
-
-        groups: list[list[int]] = []
-        label = [0] * len(keys)
-        for i in range(len(keys)):
-            for n, group in enumerate(groups):
-                if all(alike(j, i) for j in group):
-                    group.append(i)
-                    label[i] = n
-                    break
-            else:
-                label[i] = len(groups)
-                groups.append([i])
-        first = [pdf["first_stop"][g[0]] for g in groups]
-        pdf["spot_id"] = [first[n] for n in label]
-        return pdf[["key", "lat", "lng", "spot_id"]]
-
-    made = grouped_map(
-        rows, "component", assign, "key string, lat double, lng double, spot_id string"
-    )
-    return stops.join(made, ["key", "lat", "lng"])
+    made = blocks.same_spots(
+        rows.select(c("first_stop").alias("node"), "key", "point", "component"),
+        around.select(c("a").alias("p"), c("b").alias("q"), "close"),
+    )
+    placed = shaped.join(made, c("first_stop") == c("node")).select("key", "lat", "lng", c("grp").alias("spot_id"))
+    return stops.join(placed, ["key", "lat", "lng"])
 
 
 def collapsed_spots(spotted: DataFrame) -> DataFrame:
@@ -363,9 +312,6 @@ def answer_groups(points: DataFrame) -> DataFrame:
     name, so members are linked by name matches within 300 m; those links make
     the components, not bare distance.
     """
-    import numpy as np
-    import pandas as pd
-
     from ..session import cut_lineage
 
     points = cut_lineage(points)
@@ -397,53 +343,30 @@ def answer_groups(points: DataFrame) -> DataFrame:
     longer = left.join(right, ["_cell", "_k"]).filter(
         (c("a_id") != c("id")) & (spatial.whole_metres() <= 2 * ANSWER_RADIUS_M)
     ).select(c("a_id").alias("a"), c("id").alias("b"))
-    comps = components(match.unionByName(longer).filter(c("a") != c("b")))
-    rows = shaped.join(comps, c("id") == c("node"), "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-
-    def fits(one: str, two: str) -> bool:
-        if not one or not two:
-            return False
-        if one == two:
-            return True
-        x, y = one.split(" "), two.split(" ")
-        short, long = (one, two) if len(x) <= len(y) else (two, one)
-        if abs(len(x) - len(y)) <= 1 and (long.endswith(short) or long.startswith(short)):
-            return True
-        short, long = sorted((one, two), key=len)
-        return len(short.split(" ")) >= 2 and long.startswith(short + " ")
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        kept: list[list] = []  # first row, current name, its key
-        out = []
-        for i, (key, name) in enumerate(zip(pdf["name_key"], pdf["name"])):
-            home = None
-            for group in kept:
-                j = group[0]
-                h = (
-                    np.sin((lat[i] - lat[j]) / 2) ** 2
-                    + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[i] - lng[j]) / 2) ** 2
-                )
-                m = np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
-                if m <= ANSWER_RADIUS_M and fits(key, group[2]):
-                    home = group
-                    break
-            if home is None:
-                home = [i, name, key]
-                kept.append(home)
-            elif len(name) < len(home[1]):
-                home[1], home[2] = name, key
-            out.append(int(pdf["id"][home[0]]))
-        pdf["group_id"] = out
-        return pdf[["name", "lat", "lng", "group_id"]]
-
-    made = grouped_map(
-        rows, "component", assign, "name string, lat double, lng double, group_id long"
-    )
-    return points.join(made, ["name", "lat", "lng"])
+    edges = cut_lineage(match.unionByName(longer).filter(c("a") != c("b")).distinct())
+    made = blocks.first_fit(
+        shaped.select(c("id").alias("node"), "name", c("name_key").alias("key"), "lat", "lng"), edges,
+        components(edges), ANSWER_RADIUS_M, _answer_name_fits, lambda one, two: len(one) < len(two),
+    )
+    placed = shaped.join(made, c("id") == c("node")).select("name", "lat", "lng", c("grp").alias("group_id"))
+    return points.join(placed, ["name", "lat", "lng"])
+
+
+def affix_match(one: str, two: str) -> bool:
+    """Equal keys, or one is the other's beginning or end and has a word less at most."""
+    if not one or not two:
+        return False
+    x, y = one.split(" "), two.split(" ")
+    short, long = (one, two) if len(x) <= len(y) else (two, one)
+    return one == two or abs(len(x) - len(y)) <= 1 and (long.endswith(short) or long.startswith(short))
+
+
+def _answer_name_fits(one: str, two: str) -> bool:
+    """As ``affix_match``, or one goes on after the other, which has two words or more."""
+    if affix_match(one, two):
+        return True
+    short, long = sorted((one, two), key=len)
+    return len(short.split(" ")) >= 2 and long.startswith(short + " ")
 
 
 def merged_answers(grouped: DataFrame) -> DataFrame:

@@ -29,70 +29,35 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
     member's; members are therefore linked by name matches within 80 m, and the
     ordered pass runs inside those components over distinct (name, point).
     """
-    import numpy as np
-    import pandas as pd
-
     from ..functions.fold import normalize_name
     from ..operators import spatial
-    from ..operators.grouped import grouped_map
-    from .grouping import components
+    from ..session import cut_lineage
+    from . import blocks
+    from .grouping import affix_match, components
 
     with_id = rows.filter(c("wikidata_id").isNotNull())
     first = with_id.groupBy("wikidata_id").agg(F.min("id").alias("group_id"))
     by_id = with_id.join(first, "wikidata_id").select("id", "group_id")
     bare = rows.filter(c("wikidata_id").isNull())
-    shaped = bare.groupBy("place_name", "lat", "lng").agg(F.min("id").alias("sid")).withColumn(
-        "key", normalize_name(c("place_name"))
+    shaped = cut_lineage(
+        bare.groupBy("place_name", "lat", "lng").agg(F.min("id").alias("sid")).withColumn(
+            "key", normalize_name(c("place_name"))
+        )
     )
     keyed = shaped.select(c("sid").alias("id"), c("key").alias("name"), "lat", "lng")
     a = keyed.select(
         c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
     )
-    edges = spatial.near_named_pairs(a, keyed, 2 * PROMOTE_RADIUS_M).filter(c("a_id") < c("id"))
-    comps = components(edges.select(c("a_id").alias("a"), c("id").alias("b")))
-    work = shaped.join(comps, c("sid") == c("node"), "left").withColumn(
-        "component", F.coalesce("component", "sid")
+    edges = cut_lineage(
+        spatial.near_named_pairs(a, keyed, 2 * PROMOTE_RADIUS_M).filter(c("a_id") < c("id"))
+        .select(c("a_id").alias("a"), c("id").alias("b"))
     )
-
-    def match(one: str, two: str) -> bool:
-        if not one or not two:
-            return False
-        x, y = one.split(" "), two.split(" ")
-        short, long = (one, two) if len(x) <= len(y) else (two, one)
-        return one == two or (
-            abs(len(x) - len(y)) <= 1 and (long.endswith(short) or long.startswith(short))
-        )
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid").reset_index(drop=True)
-        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        open_groups: list[list] = []  # first row, best name, its key
-        out = []
-        for i, (name, key) in enumerate(zip(pdf["place_name"], pdf["key"])):
-            home = None
-            for group in open_groups:
-                j = group[0]
-                h = (
-                    np.sin((lat[i] - lat[j]) / 2) ** 2
-                    + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lng[i] - lng[j]) / 2) ** 2
-                )
-                m = np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
-                if m <= PROMOTE_RADIUS_M and match(group[2], key):
-                    home = group
-                    break
-            if home is None:
-                home = [i, name, key]
-                open_groups.append(home)
-            elif (len(name), name) < (len(home[1]), home[1]):
-                home[1], home[2] = name, key
-            out.append(int(pdf["sid"][home[0]]))
-        pdf["group_id"] = out
-        return pdf[["place_name", "lat", "lng", "group_id"]]
-
-    made = grouped_map(
-        work, "component", assign, "place_name string, lat double, lng double, group_id long"
+    made = blocks.first_fit(
+        shaped.select(c("sid").alias("node"), c("place_name").alias("name"), "key", "lat", "lng"), edges,
+        components(edges), PROMOTE_RADIUS_M, affix_match, lambda one, two: (len(one), one) < (len(two), two),
     )
-    by_name = bare.join(made, ["place_name", "lat", "lng"]).select("id", "group_id")
+    placed = shaped.join(made, c("sid") == c("node")).select("place_name", "lat", "lng", c("grp").alias("group_id"))
+    by_name = bare.join(placed, ["place_name", "lat", "lng"]).select("id", "group_id")
     return by_id.unionByName(by_name)
 
 
