@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fold, phrases
-from ..operators import answers, matching, ontology
+from ..operators import answers, matching, ontology, spatial
 from ..plans import promotion, resolution
+from ..session import cut_lineage
 from . import matches as m
 from . import queue as qq
 from . import sqltext as q
@@ -119,14 +120,129 @@ def promotable(v):
     return rows.withColumn("quote", phrases.quotable(c("source_kind"), c("source_sentence")))
 
 
-@check("g06_promoted_groups")
+#: Promotable rows with score and quote, their groups in id order within a city, and the graph's side of it.
+#: Places of two cities are degrees apart in these views, so the k-th shapes of all cities are decided together.
+_PROMOTED = f"""with recursive rows_ as (
+  select s.*, v.score, v.reason from {qq._REVIEWED} v join fx_submissions s using (id)
+  where v.verdict = 'verified' and s.place_id is null and s.lat is not null and not (s.lat = 0 and s.lng = 0)),
+quoted as (select *, case when source_kind in ({q.quoted(phrases.QUOTABLE_SOURCES)}) then source_sentence end said from rows_),
+shapes as (select min(id) node, place_name, {q.name_key('place_name')} as key, lat, lng, round(lat) || ':' || round(lng) city
+  from rows_ where wikidata_id is null group by place_name, lat, lng),
+ranked as (select *, row_number() over (partition by city order by node) k from shapes),
+walk(node, grp, k, city, place_name, key) using key (node) as (
+  select node, node, k, city, place_name, key from ranked where k = 1
+  union
+  select o.node, coalesce((
+      select min(h.grp) from (
+        select w.grp, w.city, arg_min(w.key, (length(w.place_name), w.place_name)) as key from recurring.walk w group by w.grp, w.city) h
+      join ranked f on f.node = h.grp
+      where h.city = o.city and {q.names_match('o.key', 'h.key')}
+        and {q.half_up(q.metres('f.lat', 'f.lng', 'o.lat', 'o.lng'))} <= 40), o.node),
+    o.k, o.city, o.place_name, o.key
+  from walk w join ranked o on o.city = w.city and o.k = w.k + 1),
+member as (
+  select r.id, w.grp group_id from rows_ r join ranked s on r.wikidata_id is null and r.place_name = s.place_name
+    and r.lat = s.lat and r.lng = s.lng join walk w on w.node = s.node
+  union all select id, min(id) over (partition by wikidata_id) from rows_ where wikidata_id is not null),
+formed as (
+  select group_id, arg_min(place_name, (length(place_name), place_name)) as name, arg_min(lat, id) lat, arg_min(lng, id) lng,
+    min(wikidata_id) wikidata_id, arg_min(reason, id) status_reason, least(1.0, max(score)) confidence, count(*) members
+  from quoted join member using (id) group by 1),
+near as (
+  select g.group_id, min(p.place_id) by_name from formed g join fx_places p on p.lat is not null and abs(p.lat - g.lat) < 0.001
+    and {q.names_match(q.name_key('g.name'), q.name_key('p.name'))}
+    and {q.half_up(q.metres('g.lat', 'g.lng', 'p.lat', 'p.lng'))} <= 40 group by 1),
+held as (
+  select g.*, coalesce(i.place_id, n.by_name) held_id from formed g
+  left join (select wikidata_id, min(place_id) place_id from fx_places where wikidata_id is not null group by 1) i using (wikidata_id)
+  left join near n using (group_id)),
+grps as (
+  select *, held_id is null is_new, coalesce(held_id, (select max(place_id) from fx_places)
+    + row_number() over (partition by held_id is null order by group_id)) place_id from held),
+placed as (select r.*, g.place_id to_place from quoted r join member m using (id) join grps g on g.group_id = m.group_id),
+wanted as (
+  select work_id, to_place place_id, least(1.0, max(score)) confidence, arg_min(said, id) filter (said is not null) statement
+  from placed group by 1, 2),
+matched as (
+  select w.*, l.link_id from wanted w left join (select work_id, place_id, min(link_id) link_id from fx_links
+    where relation_kind = 'filming_location' group by 1, 2) l using (work_id, place_id)),
+linked as (
+  select *, link_id is null is_new, coalesce(link_id, (select max(link_id) from fx_links)
+    + row_number() over (partition by link_id is null order by work_id, place_id)) id from matched)
+"""
+
+
+def promoted(v) -> dict:
+    lots = spatial.polygons(v.lot_vertices, "lot_id", "vertex_no")
+    return promotion.promote(promotable(v), v.places, v.links, v.evidence, lots)
+
+
+@check(
+    "g06_promoted_groups",
+    _PROMOTED + "select group_id, name, lat, lng, wikidata_id, confidence, members, place_id, is_new from grps",
+)
 def g06(v):
-    return promotion.promote(promotable(v), v.places, v.links, v.evidence)["groups"]
+    return promoted(v)["groups"].drop("matched_by")
 
 
-@check("g06_promoted_links")
+@check(
+    "g06_promoted_places",
+    _PROMOTED + """, sides as (select a.lot_id, a.lat alat, a.lng alng, b.lat blat, b.lng blng from fx_lot_vertices a
+      join fx_lot_vertices b on a.lot_id = b.lot_id and b.vertex_no = (a.vertex_no + 1) % 4),
+    inside as (select distinct place_id from (select g.place_id, s.lot_id from grps g join sides s on abs(s.alat - g.lat) < 0.1 and abs(s.alng - g.lng) < 0.1
+      and (s.alat > g.lat) <> (s.blat > g.lat) and g.lng < (s.blng - s.alng) * (g.lat - s.alat) / (s.blat - s.alat) + s.alng
+      where g.is_new group by 1, 2 having count(*) % 2 = 1))
+    select place_id, wikidata_id, name, lat, lng, 'unknown' place_class, case when wikidata_id is not null then 'point' else 'none' end geocode_precision,
+      place_id in (select place_id from inside) shot_on_set, confidence, 'verified' confidence_band, 'verified' status, status_reason
+    from grps where is_new""",
+)
+def g06_places(v):
+    return promoted(v)["places"]
+
+
+@check(
+    "g06_promoted_links",
+    _PROMOTED + """select id::bigint link_id, work_id, place_id, 'filming_location' relation_kind, confidence, statement
+      from linked where is_new""",
+)
 def g06_links(v):
-    return promotion.promote(promotable(v), v.places, v.links, v.evidence)["links"]
+    return promoted(v)["links"]
+
+
+@check("g06_statements", _PROMOTED + "select link_id, statement from linked where not is_new and statement is not null")
+def g06_statements(v):
+    return promoted(v)["statements"]
+
+
+@check("g06_marked_rows", _PROMOTED + "select id, to_place place_id from placed")
+def g06_marked(v):
+    return promoted(v)["marked"]
+
+
+@check(
+    "g06_evidence",
+    _PROMOTED + """select 'place' subject_type, to_place subject_id, 'text_mention' as method, source_url, source_kind source_ref,
+      left(source_sentence, 500) snippet, true agrees, id submission_id from placed
+    union all select 'link', l.id, 'text_mention', source_url, source_kind, left(source_sentence, 500), true, p.id
+      from placed p join linked l on l.work_id = p.work_id and l.place_id = p.to_place""",
+)
+def g06_evidence(v):
+    return promoted(v)["evidence"]
+
+
+@check("g06_second_run", "select '' written, 0::bigint n from fx_links where false")
+def g06_again(v):
+    """What a second promotion of the same queue would write over the first one's tables: nothing."""
+    rows = promotable(v)
+    tables = promotion.after_promotion(promoted(v), v.submissions, v.places, v.links, v.evidence)
+    done = {k: cut_lineage(x) for k, x in tables.items()}
+    left = rows.drop("place_id").join(done["submissions"].select("id", "place_id"), "id").filter(c("place_id").isNull())
+    plan = promotion.promote(left, done["places"], done["links"], done["evidence"])
+    out = None
+    for name in ("places", "links", "statements", "evidence", "marked"):
+        n = plan[name].groupBy(F.lit(name).alias("written")).agg(F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @check("g06_links_stay_unique", "select link_id, 1::bigint n from fx_links where false")

@@ -61,65 +61,108 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
     return by_id.unionByName(by_name)
 
 
-def _largest(table: DataFrame, column: str) -> Column:
-    """The largest id so far, as a literal; 0 for none."""
-    return F.lit(table.agg(F.max(column)).first()[0] or 0)
+SNIPPET_CHARS = 500
+QID = r"^Q[1-9]\d*$"
+
+#: What a citation is known by, besides its subject; NULLs are equal.
+CITED = ["source_url", "source_ref"]
+
+
+def new_citations(planned: DataFrame, held: DataFrame) -> DataFrame:
+    """Planned evidence whose subject doesn't hold that URL and reference yet."""
+    url = c("source_url") if "source_url" in held.columns else F.lit(None).cast("string")
+    there = held.select(
+        c("subject_type").alias("_t"), c("subject_id").alias("_s"), url.alias("_u"), c("source_ref").alias("_r")
+    ).distinct()
+    same = (
+        (c("subject_type") == c("_t")) & (c("subject_id") == c("_s"))
+        & c("source_url").eqNullSafe(c("_u")) & c("source_ref").eqNullSafe(c("_r"))
+    )
+    return planned.join(there, same, "left_anti")
+
+
+def _after_largest(table: DataFrame, column: str, rows: DataFrame, number: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: their running number above the largest id of ``table``, by a one-row join."""
+    top = table.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("_top")).withColumn("_one", F.lit(1))
+    return (
+        rows.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
+        .withColumn(name, c("_top") + c(number)).drop("_top", "_one", number)
+    )
+
+
+def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return c(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def promote(
-    rows: DataFrame, places: DataFrame, links: DataFrame, evidence: DataFrame
+    rows: DataFrame, places: DataFrame, links: DataFrame, evidence: DataFrame, lots: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Everything a promotion writes, as six tables that a second run leaves empty.
 
-    ``rows``: verified, located, unpromoted queue rows with their score and quote.
-    New places and links are numbered above the largest id there is. A link is known
-    by work, place and relation; a known one keeps its id, takes the evidence, and
-    takes the quote as its statement where it has none.
+    ``rows``: verified, located, unpromoted queue rows with their score and quote; ``lots``:
+    studio lots as ``spatial.polygons`` gives them. New places and links are numbered above
+    the largest id there is. A link is known by work, place and relation; a known one keeps
+    its id, takes the evidence, and takes the quote as its statement where it has none. Each
+    row is one citation of its place and one of its link, unless they hold its URL and source
+    already. A row without a work makes no link.
     """
-    from ..operators import matching
+    from ..operators import matching, spatial
     from ..operators.numbering import dense_ids
     from ..session import cut_lineage
 
     # The queue is read once; the five tables below start from this snapshot.
+    rows = rows.withColumn("_reason", _column(rows, "reason")).withColumn(
+        "_source", _column(rows, "geocode_source")
+    ).withColumn("_source_id", _column(rows, "geocode_source_id"))
     rows = cut_lineage(rows)
     grouped = cut_lineage(rows.join(promotion_groups(rows), "id"))
     best = F.struct(F.length("place_name"), c("place_name"))
-    lead = F.min(F.struct("id", "lat", "lng", "wikidata_id"))
+    lead = F.min_by(F.struct("lat", "lng", "wikidata_id", "_reason", "_source", "_source_id"), "id")
     groups = grouped.groupBy("group_id").agg(
         F.min_by("place_name", best).alias("name"), lead.alias("_lead"),
         F.least(F.lit(1.0), F.max("score")).alias("confidence"), F.count(F.lit(1)).alias("members"),
-    ).select(
-        "group_id", "name", c("_lead.lat").alias("lat"), c("_lead.lng").alias("lng"),
-        c("_lead.wikidata_id").alias("wikidata_id"), "confidence", "members",
-    )
+    ).select("group_id", "name", "_lead.*", "confidence", "members")
     held = matching.existing_places(groups, places)
-    groups = groups.join(held, "group_id").withColumn("is_new", c("place_id").isNull())
+    groups = cut_lineage(groups.join(held, "group_id").withColumn("is_new", c("place_id").isNull()))
     numbers = dense_ids(groups.filter("is_new").select("group_id"), ["group_id"], "group_id", 4096, "_n")
+    numbers = _after_largest(places, "place_id", numbers, "_n", "_new_id")
     groups = cut_lineage(
         groups.join(numbers, "group_id", "left")
-        .withColumn("place_id", F.coalesce("place_id", _largest(places, "place_id") + c("_n"))).drop("_n")
+        .withColumn("place_id", F.coalesce("place_id", "_new_id")).drop("_new_id")
+    )
+    fresh_places = groups.filter("is_new")
+    entity = F.coalesce(c("wikidata_id").rlike(QID), F.lit(False)) | F.coalesce(
+        (c("_source") == "wikidata") & c("_source_id").rlike(QID), F.lit(False)
     )
-    new_places = groups.filter("is_new").select(
+    if lots is None:
+        on_lot = fresh_places.select("place_id").limit(0)
+    else:
+        on_lot = spatial.points_in_polygons(fresh_places.select("place_id", "lat", "lng"), "place_id", lots, "lot_id")
+    new_places = fresh_places.join(on_lot.select("place_id", F.lit(True).alias("_lot")), "place_id", "left").select(
         "place_id", "wikidata_id", "name", "lat", "lng", F.lit("unknown").alias("place_class"),
-        F.when(c("wikidata_id").isNotNull(), "point").otherwise("none").alias("geocode_precision"),
-        "confidence", F.lit("verified").alias("status"),
+        F.when(entity, "point").otherwise("none").alias("geocode_precision"),
+        F.coalesce("_lot", F.lit(False)).alias("shot_on_set"), "confidence",
+        F.lit("verified").alias("confidence_band"), F.lit("verified").alias("status"),
+        c("_reason").alias("status_reason"),
     )
     placed = grouped.drop("place_id").join(groups.select("group_id", "place_id"), "group_id")
     kind = "filming_location"
-    wanted = placed.groupBy("work_id", "place_id").agg(
+    wanted = placed.filter(c("work_id").isNotNull()).groupBy("work_id", "place_id").agg(
         F.least(F.lit(1.0), F.max("score")).alias("confidence"),
         F.min_by("quote", F.when(c("quote").isNotNull(), c("id"))).alias("statement"),
     )
-    held_statement = F.max("statement") if "statement" in links.columns else F.lit(None).cast("string")
+    held_statement = F.max(_column(links, "statement"))
     known = links.filter(c("relation_kind") == kind).groupBy("work_id", "place_id").agg(
         F.min("link_id").alias("link_id"), held_statement.alias("held_statement")
     )
     matched = cut_lineage(wanted.join(known, ["work_id", "place_id"], "left"))
-    fresh = matched.filter(c("link_id").isNull()).drop("link_id", "held_statement")
+    fresh = dense_ids(
+        matched.filter(c("link_id").isNull()).drop("link_id", "held_statement"), ["work_id", "place_id"], "work_id",
+        64, "_n",
+    )
     new_links = cut_lineage(
-        dense_ids(fresh, ["work_id", "place_id"], "work_id", 64, "_n").select(
-            (_largest(links, "link_id") + c("_n")).alias("link_id"), "work_id", "place_id",
-            F.lit(kind).alias("relation_kind"), "confidence", "statement",
+        _after_largest(links, "link_id", fresh, "_n", "link_id").select(
+            "link_id", "work_id", "place_id", F.lit(kind).alias("relation_kind"), "confidence", "statement"
         )
     )
     statements = matched.filter(
@@ -128,21 +171,60 @@ def promote(
     link_of = matched.filter(c("link_id").isNotNull()).select("work_id", "place_id", "link_id").unionByName(
         new_links.select("work_id", "place_id", "link_id")
     )
-    text = F.lit("text_mention").alias("method")
-    proof = placed.select(
-        F.lit("place").alias("subject_type"), c("place_id").alias("subject_id"), text,
-        F.concat_ws(" ", "source_url", "source_kind").alias("source_ref"),
-    ).unionByName(
-        placed.join(link_of, ["work_id", "place_id"]).select(
-            F.lit("link").alias("subject_type"), c("link_id").alias("subject_id"), text,
-            F.concat_ws(" ", "source_url", "source_kind").alias("source_ref"),
-        )
+
+    def cited(subject: str, id_: str) -> list[Column]:
+        told = F.substring(_column(rows, "source_sentence"), 1, SNIPPET_CHARS)
+        return [
+            F.lit(subject).alias("subject_type"), c(id_).alias("subject_id"), F.lit("text_mention").alias("method"),
+            F.nullif(c("source_url"), F.lit("")).alias("source_url"),
+            F.nullif(c("source_kind"), F.lit("")).alias("source_ref"),
+            F.nullif(told, F.lit("")).alias("snippet"), F.lit(True).alias("agrees"), c("id").alias("submission_id"),
+        ]
+
+    proof = placed.select(*cited("place", "place_id")).unionByName(
+        placed.join(link_of, ["work_id", "place_id"]).select(*cited("link", "link_id"))
     )
     return {
-        "groups": groups,
+        "groups": groups.drop("_reason", "_source", "_source_id"),
         "places": new_places,
         "links": new_links,
         "statements": statements,
-        "evidence": missing_evidence(proof, evidence),
+        "evidence": new_citations(proof, evidence),
         "marked": placed.select("id", "place_id"),
     }
+
+
+def _joined(held: DataFrame, made: DataFrame) -> DataFrame:
+    return held.unionByName(made, allowMissingColumns=True)
+
+
+def after_promotion(
+    plan: dict[str, DataFrame], submissions: DataFrame, places: DataFrame, links: DataFrame, evidence: DataFrame
+) -> dict[str, DataFrame]:
+    """The four tables as they are once ``plan`` is written."""
+    told = plan["statements"].select("link_id", c("statement").alias("_told"))
+    filled = links.withColumn("statement", _column(links, "statement")).join(told, "link_id", "left")
+    filled = filled.withColumn("statement", F.coalesce("statement", "_told")).drop("_told")
+    marked = submissions.join(plan["marked"].select("id", c("place_id").alias("_placed")), "id", "left")
+    return {
+        "places": _joined(places, plan["places"]),
+        "links": _joined(filled, plan["links"]),
+        "evidence": _joined(evidence, plan["evidence"].drop("submission_id")),
+        "submissions": marked.withColumn("place_id", F.coalesce("place_id", "_placed")).drop("_placed"),
+    }
+
+
+def gates(tables: dict[str, DataFrame], plan: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Rows that forbid publishing: citations without a source, new facts without a citation, a fact twice."""
+    from ..operators import quality
+
+    no_people = plan["links"].select(c("link_id").alias("fact_id"), "place_id", "relation_kind").limit(0)
+    return {
+        "evidence_has_a_source": quality.evidence_without_source(plan["evidence"], CITED),
+        "links_have_evidence": quality.facts_without_evidence(plan["links"], no_people, tables["evidence"]),
+        "places_are_unique": quality.duplicate_keys(tables["places"], ["place_id"]),
+        "links_are_unique": quality.duplicate_keys(
+            tables["links"].join(plan["links"].select("work_id", "place_id").distinct(), ["work_id", "place_id"], "left_semi"),
+            ["work_id", "place_id", "relation_kind"],
+        ),
+    }
