@@ -229,3 +229,81 @@ def test_salvage_inside_a_member():
     for tail, more in ((b"", []), (other, [5])):
         got = [x[3]["page_id"] for x in warc.salvage(cut + tail) if x[0] == "record"]
         assert got == [0, 1, 2, 3, *more]
+
+
+class Searched(bytes):
+    """Bytes that count how far ``find`` looked."""
+
+    looked = 0
+
+    def find(self, needle, start=0, *end):
+        hit = super().find(needle, start, *end)
+        Searched.looked += (hit if hit >= 0 else len(self)) - start
+        return hit
+
+
+def _archive(count, damage):
+    parts = []
+    for k in range(count):
+        payload = random.Random(k).randbytes(300).hex().encode()
+        one = bytearray(warc.member(warc.record_bytes(k, f"http://x/{k}", payload, sha1_base32(payload), None)))
+        if damage and k % 10 == 3:
+            one[len(one) // 2] ^= 0xFF
+        parts.append(bytes(one))
+    return Searched(b"".join(parts))
+
+
+def sha1_base32(payload):
+    import base64
+    import hashlib
+
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def test_salvage_looks_at_every_byte_a_few_times_only():
+    for damage in (False, True):
+        for count in (200, 400):
+            raw = _archive(count, damage)
+            Searched.looked = 0
+            seen = list(warc.salvage(raw))
+            good = [k for k in range(count) if not damage or k % 10 != 3]
+            assert [x[3]["page_id"] for x in seen if x[0] == "record"] == good
+            assert Searched.looked == 0 if not damage else Searched.looked <= 3 * len(raw)
+            # Records and gaps cover the archive without overlap.
+            spans = [x[1:3] for x in seen]
+            assert spans[0][0] == 0 and spans[-1][1] == len(raw)
+            assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_what_comes_before_damage_is_whole():
+    rng = random.Random(8)
+    data = bytes(rng.choice(b"abcdefgh") for _ in range(200_000))
+    whole = warc.member(data)
+    for at in (20, 1000, 5000, len(whole) // 2, len(whole) - 5):
+        broken = bytearray(whole)
+        broken[at:at + 4] = b"\x00\xff\x00\xff"
+        got, end, fine = warc._inflate(memoryview(bytes(broken)), 0)
+        step, slow = 1, b""
+        unpacker = warc.zlib.decompressobj(31)
+        try:
+            for k in range(len(broken)):
+                slow += unpacker.decompress(broken[k:k + step])
+        except warc.zlib.error:
+            pass
+        assert not fine and got == slow and end <= len(broken)
+
+
+def test_archive_of_odd_pages(spark, tmp_path):
+    """A null id among equal payloads, a very large payload, clashing column names."""
+    from pyspark.sql import functions as F
+
+    large = "é" * 3_000_000
+    rows = [(None, "u", "same"), (4, "u", "same"), (9, None, "same"), (None, None, "alone"), (7, "x", large), (8, "y", large)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("payload", "leader", "salt", "refers_to", "kind", "path"):
+        pages = pages.withColumn(name, F.lit("z"))
+    got = {(r.page_id, r.payload_bytes): r for r in warc.round_trip(pages, str(tmp_path / "odd")).collect()}
+    assert len(got) == 6
+    assert got[9, 4].record_type == "response" and got[4, 4].refers_to == 9 and got[None, 4].refers_to == 9
+    assert got[None, 5].record_type == "response" and got[7, 6_000_000].refers_to == 8
+    assert got[8, 6_000_000].payload_digest == sha1_base32(large.encode())

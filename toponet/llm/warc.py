@@ -130,15 +130,17 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> None:
 def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int] | None:
     """(fields, end) of the record at ``at``, or None where a check fails."""
     line = _VERSION_LINE.match(raw, at)
-    split = raw.find(b"\r\n\r\n", at) if line else -1
-    if split < 0:
+    if not line:
         return None
-    head = {}
-    for x in raw[line.end() : split].split(b"\r\n"):
-        name, colon, value = x.partition(b":")
+    head, pos = {}, line.end()
+    # Line by line, so that a bad header ends the search where it goes wrong.
+    while (stop := raw.find(b"\r\n", pos)) != pos:
+        name, colon, value = raw[pos : max(stop, pos)].partition(b":")
         if not colon:
             return None
         head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+        pos = stop + 2
+    split = pos - 2
     size = head.get(b"content-length", "")
     if not size.isdigit():
         return None
@@ -165,22 +167,49 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int] | None:
     }, end + 4
 
 
-def _inflate(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+def _inflate(view: memoryview, at: int) -> tuple[bytes, int, bool]:
     """(data, end, whole) of the gzip member at ``at``; of a damaged one what comes before the damage."""
-    unpacker, parts, pos = zlib.decompressobj(31), [], at
-    step = 65536
-    while not unpacker.eof and pos < len(raw):
+    unpacker, parts, pos, step = zlib.decompressobj(31), [], at, 4096
+    while not unpacker.eof and pos < len(view):
+        piece = view[pos : pos + step]
+        try:
+            parts.append(unpacker.decompress(piece))
+        except zlib.error:
+            return _before_damage(view, at, pos, len(piece))
+        pos += len(piece)
+        step = min(2 * step, 1 << 20)
+    return b"".join(parts), pos - len(unpacker.unused_data), unpacker.eof
+
+
+def _before_damage(view: memoryview, at: int, pos: int, step: int) -> tuple[bytes, int, bool]:
+    """What the member at ``at`` holds before its damage, which is in the ``step`` bytes from ``pos`` on."""
+    unpacker = zlib.decompressobj(31)
+    parts = [unpacker.decompress(view[at:pos])]
+    while step > 1:
+        step = (step + 1) // 2
+        # A failed call's output is lost, so the state before it is kept.
         before = unpacker.copy()
         try:
-            parts.append(unpacker.decompress(raw[pos : pos + step]))
+            parts.append(unpacker.decompress(view[pos : pos + step]))
             pos += step
         except zlib.error:
-            # The output of the call is lost: go to the damage in smaller steps.
-            if step == 1:
-                return b"".join(parts), pos, False
-            unpacker, step = before, 256 if step > 256 else 1
-    pos = min(pos, len(raw))
-    return b"".join(parts), pos - len(unpacker.unused_data), unpacker.eof
+            unpacker = before
+    return b"".join(parts), pos, False
+
+
+class _Places:
+    """Where a member or a version line may begin, looked for once from front to back."""
+
+    def __init__(self, raw: bytes):
+        self._raw, self._next = raw, dict.fromkeys((_MAGIC, b"WARC/1."), -1)
+
+    def after(self, at: int) -> int:
+        """The first such place behind ``at``; calls go forward. The end of the bytes where there is none."""
+        for needle, hit in self._next.items():
+            if hit <= at:
+                found = self._raw.find(needle, at + 1)
+                self._next[needle] = found if found >= 0 else len(self._raw)
+        return min(self._next.values())
 
 
 _DIGEST_LINE = re.compile(rb"(?i)\r\nwarc-block-digest: *sha1:")
@@ -216,15 +245,15 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
     own ones in the inflated bytes as ``inner_start`` and ``inner_end``.
     """
     at = good = 0
+    view, places = memoryview(raw), _Places(raw)
     while at < len(raw):
         found, end = [], 0
-        near = [x for x in (raw.find(_MAGIC, at + 1), raw.find(b"WARC/1.", at + 1)) if x >= 0]
         if raw.startswith(_MAGIC, at):
-            data, stop, whole = _inflate(raw, at)
+            data, stop, whole = _inflate(view, at)
             found = list(_members(data, whole))
             if whole and not data or any(x[2] for x in found):
                 # A cut member runs on into the bytes of the next one.
-                end = stop if whole else min([stop, *near])
+                end = stop if whole else min(stop, places.after(at))
         elif one := parse_record(raw, at):
             found, end = [(at, one[1], one[0])], one[1]
         if end:
@@ -237,7 +266,7 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
                     yield "gap", at, end, {"inner_start": start, "inner_end": stop}
             at = good = end
             continue
-        at = min(near, default=len(raw))
+        at = places.after(at)
     if good < len(raw):
         yield "gap", good, len(raw), None
 
