@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import top_per_key
 from ..plans.grouping import components
-from ..session import cut_lineage
 from . import words as W
+from .tables import forget, lend, written
 
 c = F.col
 
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
     """(id, set) of the documents whose bit is set; a bit may also let others pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = lend(docs.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -140,7 +140,7 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     )
     table = np.zeros(COUNTERS, np.int64)
     table[sums["k"].to_numpy()] = sums["n"].to_numpy()
-    shared = classes.sparkSession.sparkContext.broadcast(table)
+    shared = lend(classes.sparkSession, table)
     most = least_shared(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +202,31 @@ def _can_match(percent: int) -> Column:
     return (100 * F.least("n", "m")) >= (percent * F.greatest("n", "m"))
 
 
+def _may_link(times: Column, percent: int) -> Column:
+    """Whether two classes that share ``times`` listed values can reach the threshold.
+
+    A whole set is listed under its first ``n - need + 1`` values in one order of all values.
+    What two such sets share is among the listed values of both, or follows the listed ones of
+    the set whose list ends first, so it is ``times`` and ``need - 1`` of one of them at most.
+    """
+    def after(n: str) -> Column:
+        return F.ceil(percent * c(n) / 100) - 1
+
+    most = times + F.greatest(after("n"), after("m"))
+    wanted = 100 * most >= percent * (c("n") + c("m") - most)
+    return F.when(F.greatest("n", "m") <= FULL, (times > 0) & wanted).otherwise(F.lit(True))
+
+
+def _shared() -> Column:
+    """Number of shared values from the lists of whole sets; their keys are below zero."""
+    return F.sum(F.when(c("value") < 0, 1).otherwise(0))
+
+
 def _leader_pairs(lists: DataFrame, percent: int, turn: int, leaders: int) -> DataFrame:
-    """Each class with the ``leaders`` commonest of its lists, where they are not yet together."""
+    """Each class with the ``leaders`` commonest of its lists, where they are not yet together.
+
+    Of a leader that a class meets in few of their common lists the bound can't be told, so any leader counts.
+    """
     rank = F.xxhash64("id", F.lit(turn)) if turn else c("id")
     first = lists.groupBy("value").agg(
         F.min_by(F.struct("id", "n", "comp"), rank).alias("lead")
@@ -215,10 +238,14 @@ def _leader_pairs(lists: DataFrame, percent: int, turn: int, leaders: int) -> Da
 
 
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Members of one list that aren't in one component."""
+    """Pairs of classes in different components whose common lists allow the threshold."""
     other = lists.select("value", c("id").alias("b"), c("n").alias("m"), c("comp").alias("b_comp"))
     met = lists.join(other, "value").filter((c("comp") < c("b_comp")) & _can_match(percent))
-    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    shared = met.groupBy("id", "b", "n", "m").agg(_shared().alias("times"))
+    # Classes of different components meet in every list they share: none of those is closed.
+    return shared.filter(_may_link(c("times"), percent)).select(
+        F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")
+    )
 
 
 def _is_little(lists: DataFrame) -> bool:
@@ -238,7 +265,7 @@ def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     several = lists.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(
         c("x") != c("y")
     ).select("value")
-    return cut_lineage(lists.join(several, "value", "left_semi"))
+    return written(lists.join(several, "value", "left_semi"), "lists")
 
 
 def _bit_map(pairs: DataFrame) -> bytes:
@@ -259,29 +286,36 @@ def _bit_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text"))
-    made = cut_lineage(sketches(docs, width))
+    whole = written(sketches(docs, width), "sketches")
     same = ["print_a", "print_b", "n_shingles"]
-    known = made.filter((c("n_shingles") > 0) & c("doc_id").isNotNull())
+    known = whole.filter((c("n_shingles") > 0) & c("doc_id").isNotNull())
     classes = known.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
-    classes = cut_lineage(classes.withColumnRenamed("n_shingles", "n"))
-    lists = _open_lists(postings(classes, percent).withColumn("comp", c("id")), None)
+    classes = written(classes.withColumnRenamed("n_shingles", "n"), "classes")
+    made = written(whole.drop("sketch"), "sizes")
+    forget(whole)
+    all_lists = written(postings(classes, percent).withColumn("comp", c("id")), "postings")
+    lists = _open_lists(all_lists, None)
+    forget(all_lists)
     links, comps = None, None
     turn, last = 0, False
     while not last and not lists.isEmpty():
         last = turn == len(LEADERS) or turn > 0 and _is_little(lists)
         pairs = _all_pairs(lists, percent) if last else _leader_pairs(lists, percent, turn, LEADERS[turn])
         turn += 1
-        pairs = cut_lineage(_estimated(pairs, classes, percent))
+        pairs = written(_estimated(pairs, classes, percent), "pairs")
         if pairs.isEmpty():
+            forget(pairs)
             continue
         found, open_ = pairs.filter("sure").select("a", "b"), pairs.filter(~c("sure")).select("a", "b")
         if not open_.isEmpty():
             sets = full_sets(docs, width, _bit_map(open_))
-            found = found.unionByName(cut_lineage(_verified(open_, sets, percent)))
+            found = found.unionByName(written(_verified(open_, sets, percent), "verified"))
         links = found if links is None else links.unionByName(found)
         comps = components(links)
         if not last:
-            lists = _open_lists(lists, comps)
+            before, lists = lists, _open_lists(lists, comps)
+            forget(before)
+    forget(lists)
     named = classes.select("print_a", "print_b", c("n").alias("n_shingles"), "id")
     if comps is not None:
         named = named.join(comps, c("id") == c("node"), "left").withColumn("id", F.coalesce("component", "id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,56 @@ def only_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
     return docs.join(F.broadcast(wanted), "doc_id", "left_semi")
 
 
+#: Spark removes an execution's shuffle files at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, whose shuffle files are gone.
+
+    For tables that several later steps read: a lost executor re-reads files, the rows are
+    computed once, and they take less room than a checkpoint's. ``forget`` removes the table.
+    """
+    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def forget(*made: DataFrame | None) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for df in made:
+        for file in df.inputFiles()[:1] if df is not None else []:
+            spark = df.sparkSession
+            jvm, conf = spark._jvm, spark._jsc.sc().hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(conf).delete(path, True)
+
+
+_lent: list[Broadcast] = []
+
+
+def lend(spark: SparkSession, value) -> Broadcast:
+    """``value`` for all tasks, until ``take_back``."""
+    _lent.append(spark.sparkContext.broadcast(value))
+    return _lent[-1]
+
+
+def take_back() -> None:
+    """Executors let go of what was lent; a task that still needs some of it fetches it again."""
+    while _lent:
+        _lent.pop().unpersist()
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers get texts in batches of this many rows at most, so that long ones don't pile up."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
