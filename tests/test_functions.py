@@ -71,6 +71,18 @@ def test_wikitext(spark):
     assert values(spark, phrases.clean_wikitext(c("a")), [text]) == ["Bold the city end"]
 
 
+def test_marks_that_cross_or_stay_open(spark):
+    five = "'" * 5
+    rows = {
+        "a {{b [[c}} d]] e": "a d]] e", "a {{ b": "a {{ b", "a ]] b": "a ]] b", "x <!-- {{ <ref> --> y": "x y",
+        "<ref name=a/>k<REF>l</REF>m<br/>n": "k m n", "{| t\n| {{q|}}\n|} after": "after",
+        "[[File:a.jpg|[[b]] {{c}}]]z [[Image|view]]": "z view", "== One ==\ntext": "One.\n\ntext",
+        f"<blockquote>said <b>x</b></blockquote> {five}both{five} [http://x.org y]": "both [http://x.org y]",
+    }
+    got = values(spark, phrases.clean_wikitext(c("a")), list(rows))
+    assert dict(zip(rows, got)) == rows
+
+
 def test_deeply_nested_markup_goes(spark):
     file, template = "[[A]] b", "x"
     for k in range(12):

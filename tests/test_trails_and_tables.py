@@ -56,6 +56,28 @@ def test_table_spans_links_and_citations():
     assert wiki.table_rows("no table") == [] and wiki.location_section("== Cast ==\nx") is None
 
 
+def test_citations_of_the_place_cells_only():
+    """A country or note column cites something else than the place; ``!!`` parts cells of data lines too."""
+    table = """{| class="wikitable"
+! Filming location !! Scene !! Country !! Notes
+|-
+| [[Mill]]<ref>https://a.org/1</ref> || Duel [https://a.org/2 seen] || Spain<ref>https://b.org</ref> || https://c.org
+|-
+| Pier !! Arrival <!-- hidden https://d.org --> !! France
+|}"""
+    got = [(r["real"], r["story"], r["story_region"], r["links"]) for r in wiki.table_rows(table)]
+    assert got == [("Mill", "Duel seen", "Spain", ["https://a.org/1", "https://a.org/2"]), ("Pier", "Arrival", "France", ["https://d.org"])]
+
+
+def test_best_section():
+    page = "== Production ==\n{|\n|}\n=== Sets ===\nx\n== Filming ==\n* a\n== Filming locations ==\nprose\n== Locations ==\n* b\n"
+    assert wiki.location_section(page)[0] == "Production"
+    assert wiki.location_section(page.replace("{|", "")) == ("Locations", "* b")
+    assert wiki.location_section("== Locations ==\nold") == ("Locations", "old")
+    heads = {"Real place": "real", "General area": "story_region", "Area in England": "real_region", "Scene": "story", "Cast": None, "": None}
+    assert {x: wiki.header_class(x) for x in heads} == heads
+
+
 def test_call_arguments():
     page = "x moviemaps.loadPublic('map', {\"lid\": 1, \"t\": \"a)\\\"b\"}, [{\"lid\": 2}, {\"q\": 1}]) y"
     assert [x["lid"] for x in wiki.payload_locations(page)] == [1, 2]

@@ -275,16 +275,26 @@ def s17(v):
 
 @check(
     "s18_caption_parts",
-    """with t as (select doc_id, regexp_replace(regexp_replace(split_part(text, '.', 1), ':', ' ', 'g'), '\\s+', ' ', 'g') a, regexp_replace(regexp_replace(split_part(text, '.', 2), ':', ' ', 'g'), '\\s+', ' ', 'g') b, doc_id % 3 k from documents),
-    e as (select doc_id, k, regexp_replace(a, '^[ :–—]+|[ :–—]+$', '', 'g') a, regexp_replace(b, '^[ :–—]+|[ :–—]+$', '', 'g') b from t)
-    select doc_id, case when a <> '' and b <> '' then a end scene, case when b <> '' then b when a <> '' then a end place from e""",
+    """with t as (select doc_id, unnest(string_split(text, '.')) x, unnest(range(0, len(string_split(text, '.')))) i from documents),
+    d as (select doc_id, i // 2 pair, i % 2 side, regexp_replace(regexp_replace(replace(x, ':', ' '), '\\s+', ' ', 'g'), '^[ :–—]+|[ :–—]+$', '', 'g') x from t),
+    e as (select doc_id, pair, coalesce(max(x) filter (side = 0), '') a, coalesce(max(x) filter (side = 1), '') b from d group by 1, 2)
+    select doc_id, pair, case when a <> '' and b <> '' then a end scene, case when b <> '' then b when a <> '' then a end place from e""",
 )
 def s18(v):
-    part = [F.regexp_replace(F.split_part("text", F.lit("."), F.lit(i)), ":", " ") for i in (1, 2)]
-    mark = F.when(c("doc_id") % 3 == 0, " film location: ").when(c("doc_id") % 3 == 1, " filming location: ").otherwise(" location: ")
-    caption = F.concat(F.lit("Some Film"), mark, part[0], F.lit(": "), part[1])
+    """Captions of every two parts of a text."""
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / 2).cast("int")),
+        lambda k: F.struct(F.get("parts", 2 * k).alias("a"), F.coalesce(F.get("parts", 2 * k + 1), F.lit("")).alias("b")),
+    )
+    rows = v.table("documents").select("doc_id", F.split("text", r"\.", -1).alias("parts")).select(
+        "doc_id", F.posexplode(pairs).alias("pair", "x")
+    )
+    k = c("doc_id") % 3
+    mark = F.when(k == 0, " film location: ").when(k == 1, " filming location: ").otherwise(" location: ")
+    said = [F.replace(c(f"x.{side}"), F.lit(":"), F.lit(" ")) for side in "ab"]
+    caption = F.concat(F.lit("Some Film"), mark, said[0], F.lit(": "), said[1])
     got = wiki.caption_parts(caption)
-    return v.table("documents").select("doc_id", *[col.alias(n) for n, col in got.items()])
+    return rows.select("doc_id", c("pair").cast("long").alias("pair"), *[col.alias(n) for n, col in got.items()])
 
 
 @check(
@@ -313,16 +323,18 @@ def s19(v):
     return records.provider_ratings(payloads).select("work_id", "source", "score", "votes")
 
 
-_FIRST = "regexp_replace(split_part(text, '.', 1), '\\s+', ' ', 'g')"
-
-
 @check(
     "p13_names_in_lists",
-    f"select doc_id, {_NAMEABLE} named from (select doc_id, trim({_FIRST}) x from documents)",
+    f"""select doc_id, position, {_NAMEABLE} named from (select doc_id, unnest(range(0, len(string_split(text, '.')))) as position,
+      trim(regexp_replace(unnest(string_split(text, '.')), '\\s+', ' ', 'g')) x from documents)""",
 )
 def p13(v):
-    name = F.trim(F.regexp_replace(F.split_part("text", F.lit("."), F.lit(1)), r"\s+", " "))
-    return v.table("documents").select("doc_id", phrases.names_a_place_in_list(name).alias("named"))
+    """Every sentence as if it were an item of a list."""
+    items = v.table("documents").select("doc_id", F.posexplode(F.split("text", r"\.", -1)).alias("position", "x"))
+    name = F.trim(F.regexp_replace("x", r"\s+", " "))
+    return items.select(
+        "doc_id", c("position").cast("long").alias("position"), phrases.names_a_place_in_list(name).alias("named")
+    )
 
 
 @check(
@@ -402,17 +414,19 @@ def g11(v):
 
 @check("g12_extraction_gate")
 def g12(v):
+    """Every clause of every sentence offered as a place's name."""
     d = v.table("documents")
-    sentence = F.split("text", r"(?<=[.!?])\s+")
-    rows = d.select(
-        c("doc_id").alias("article_id"), F.posexplode(sentence).alias("position", "s")
-    )
-    two = F.array_join(F.slice(F.split(F.trim("s"), r"\s+"), 1, 2), " ")
-    name = F.when(c("position") % 3 == 0, F.concat(two, F.lit(", Old Town"))).otherwise(two)
+    clauses = F.flatten(F.transform(
+        F.split("text", r"(?<=[.!?])\s+"),
+        lambda s: F.transform(F.split(s, r",\s+"), lambda x: F.struct(s.alias("s"), x.alias("name"))),
+    ))
+    rows = d.select(c("doc_id").alias("article_id"), F.posexplode(clauses).alias("position", "x"))
+    said = F.regexp_replace(F.trim("x.name"), r"[.!?]+$", "")
+    name = F.when(c("position") % 3 == 0, F.concat(said, F.lit(", Old Town"))).otherwise(said)
     role = F.when(c("position") % 7 == 6, "other").when(c("position") % 2 == 0, "filming").otherwise("author")
     return extraction.accept_extractions(
         rows.select(
-            "article_id", "position", name.alias("place_name"), c("s").alias("source_sentence"),
+            "article_id", "position", name.alias("place_name"), c("x.s").alias("source_sentence"),
             role.alias("role"),
         ),
         d.select(c("doc_id").alias("article_id"), c("text").alias("prose")),
