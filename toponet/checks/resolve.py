@@ -287,7 +287,32 @@ def g14(v):
     return answers.search_answer(v.links, v.places, v.submissions).select("work_id", "tier", "ref")
 
 
-@check("g15_place_claims")
+_CLAIMS = f"""with recursive claims as (
+  select s.id, p.city_id anchor_id, {q.name_key('s.place_name')} as key, s.lat, s.lng, s.wikidata_id
+  from fx_submissions s join fx_places p using (place_id) where s.lat is not null),
+known as (select city_id anchor_id, {q.name_key('name')} as key, lat, lng, wikidata_id from fx_places where status = 'verified' and lat is not null),
+shapes as (select min(id) sid, anchor_id, key, lat, lng, wikidata_id from claims group by all),
+judged as (
+  select s.*, case when exists (select 1 from known k where k.anchor_id = s.anchor_id and k.wikidata_id = s.wikidata_id)
+      or exists (select 1 from known k where k.anchor_id = s.anchor_id and k.key = s.key and s.key <> '')
+      or exists (select 1 from known k where k.anchor_id = s.anchor_id and {q.half_up(q.metres('k.lat', 'k.lng', 's.lat', 's.lng'))} <= 50) then 'already_on_map'
+    when {q.metres('a.lat', 'a.lng', 's.lat', 's.lng')} / 1000 > a.radius_km then 'outside_city' end why
+  from shapes s join fx_anchors a using (anchor_id)),
+ranked as (select *, row_number() over (partition by anchor_id order by sid) k from judged where why is null),
+walk(sid, ok, k, anchor_id, key, lat, lng, wikidata_id) using key (sid) as (
+  select sid, true, k, anchor_id, key, lat, lng, wikidata_id from ranked where k = 1
+  union
+  select o.sid, not coalesce((
+      select bool_or(w.ok and (coalesce(w.wikidata_id = o.wikidata_id, false) or w.key = o.key and o.key <> ''
+        or {q.half_up(q.metres('w.lat', 'w.lng', 'o.lat', 'o.lng'))} <= 50)) from recurring.walk w where w.anchor_id = o.anchor_id), false),
+    o.k, o.anchor_id, o.key, o.lat, o.lng, o.wikidata_id
+  from walk w join ranked o on o.anchor_id = w.anchor_id and o.k = w.k + 1)
+"""
+
+
+@check("g15_place_claims", _CLAIMS + """select c.id, c.anchor_id, coalesce(j.why, case when not w.ok or c.id <> j.sid then 'repeats_an_accepted_claim' end) reason
+  from claims c join judged j on j.anchor_id = c.anchor_id and j.key = c.key and j.lat = c.lat and j.lng = c.lng
+    and j.wikidata_id is not distinct from c.wikidata_id left join walk w on w.sid = j.sid""")
 def g15(v):
     claims = v.submissions.filter(c("lat").isNotNull()).join(
         v.places.select("place_id", c("city_id").alias("anchor_id")), "place_id"

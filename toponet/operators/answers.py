@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fold, geo
 from . import matching, spatial
+from .grouped import grouped_map
 from ..session import cut_lineage
 from .mapview import visible_queue
 
@@ -113,39 +115,72 @@ def accept_located(claims: DataFrame, known: DataFrame, anchors: DataFrame) -> D
 def _repeats(shapes: DataFrame) -> DataFrame:
     """Shapes (sid) that repeat an accepted earlier one of their city.
 
-    In rounds: a shape with no open earlier shape of its name, of its id or within
-    50 m is accepted, and the open shapes that repeat it are refused. Names and ids
-    are compared through the smallest open sid of a key, points through pairs of
-    neighbours, so no key's shapes are paired with each other.
+    In blocks of a city's claims in id order: what an earlier block accepted refuses by joins
+    on the name, the id and pairs of neighbours; the claims of one block are decided in one
+    pass. No key's shapes are paired with each other, and a city of any size takes its number
+    of claims over the block size in rounds.
     """
+    from ..plans import blocks
+
     reach = SAME_PLACE_M + 1
     b = shapes.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), reach))
     a = shapes.select(
         "anchor_id", c("sid").alias("a"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
     ).withColumn("_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(reach), reach)))
-    close = cut_lineage(a.join(b, ["anchor_id", "_cell"]).filter(
+    close = a.join(b, ["anchor_id", "_cell"]).filter(
         (c("a") < c("sid")) & (spatial.whole_metres() <= SAME_PLACE_M)
-    ).select("a", "sid").distinct())
-    keys = ["key", "wikidata_id"]
-    named = {"key": c("key") != "", "wikidata_id": c("wikidata_id").isNotNull()}
-    open_ = cut_lineage(shapes.select("anchor_id", "sid", *keys))
-    refused = None
-    while not open_.isEmpty():
-        pairs = close.join(open_.select(c("sid").alias("a")), "a", "left_semi").join(
-            open_.select("sid"), "sid", "left_semi"
+    ).select("a", "sid").distinct()
+    nodes = blocks.number_blocks(
+        shapes.select(c("sid").alias("node"), c("anchor_id").alias("component"), "key", "wikidata_id"),
+        F.floor(c("node") / 4096),
+    )
+    links = cut_lineage(
+        close.join(nodes.select(c("node").alias("sid"), "component", c("block").alias("v_block")), "sid")
+        .join(nodes.select(c("node").alias("a"), c("block").alias("u_block")), "a")
+    )
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list] = {}
+        rows = []
+        for kind, node, other, key, id_, gone in zip(*(pdf[x] for x in ("kind", "node", "other", "key", "wikidata_id", "gone"))):
+            if kind == 0:
+                rows.append((node, key, id_, gone))
+            else:
+                near.setdefault(node, []).append(other)
+        taken, names, ids, out = set(), set(), set(), []
+        for node, key, id_, gone in sorted(rows, key=lambda x: x[0]):
+            fine = not (gone or key in names or id_ in ids or any(x in taken for x in near.get(node, ())))
+            if fine:
+                taken.add(node)
+                if key:
+                    names.add(key)
+                if id_:
+                    ids.add(id_)
+            out.append((pdf["component"].iloc[0], node, key, id_, fine))
+        return pd.DataFrame(out, columns=["component", "node", "key", "wikidata_id", "ok"])
+
+    def step(part: DataFrame, k: int, done: DataFrame | None) -> DataFrame:
+        mine = links.filter(c("v_block") == k)
+        rows = part.select("component", "node", "key", "wikidata_id")
+        if done is None:
+            rows = rows.withColumn("gone", F.lit(False))
+        else:
+            there = done.filter("ok")
+            beaten = mine.join(there.select(c("node").alias("a")), "a", "left_semi").select(c("sid").alias("node"))
+            for key in ("key", "wikidata_id"):
+                held = there.filter(F.coalesce(c(key), F.lit("")) != "").select("component", key).distinct()
+                beaten = beaten.unionByName(rows.join(held, ["component", key], "left_semi").select("node"))
+            rows = rows.join(beaten.distinct().withColumn("gone", F.lit(True)), "node", "left").withColumn(
+                "gone", F.coalesce("gone", F.lit(False))
+            )
+        rows = rows.select(
+            "component", F.lit(0).alias("kind"), "node", c("node").alias("other"), "key", "wikidata_id", "gone"
+        ).unionByName(mine.filter(c("u_block") == k).select(
+            "component", F.lit(1).alias("kind"), c("sid").alias("node"), c("a").alias("other"),
+            F.lit("").alias("key"), F.lit(None).cast("string").alias("wikidata_id"), F.lit(False).alias("gone"),
+        ))
+        return grouped_map(
+            rows, "component", assign, "component long, node long, key string, wikidata_id string, ok boolean"
         )
-        waits = pairs.select("sid")
-        firsts = {k: open_.filter(named[k]).groupBy("anchor_id", k).agg(F.min("sid").alias("first")) for k in keys}
-        for k in keys:
-            later = open_.join(firsts[k], ["anchor_id", k]).filter(c("first") < c("sid"))
-            waits = waits.unionByName(later.select("sid"))
-        accepted = cut_lineage(open_.join(waits.distinct(), "sid", "left_anti"))
-        gone = pairs.join(accepted.select(c("sid").alias("a")), "a", "left_semi").select("sid")
-        for k in keys:
-            taken = accepted.filter(named[k]).select("anchor_id", k).distinct()
-            gone = gone.unionByName(open_.join(taken, ["anchor_id", k], "left_semi").select("sid"))
-        gone = cut_lineage(gone.distinct().join(accepted.select("sid"), "sid", "left_anti"))
-        refused = gone if refused is None else refused.unionByName(gone)
-        done = accepted.select("sid").unionByName(gone)
-        open_ = cut_lineage(open_.join(done, "sid", "left_anti"))
-    return shapes.select("sid").limit(0) if refused is None else refused
+
+    return blocks.by_blocks(nodes, step).filter(~c("ok")).select(c("node").alias("sid"))

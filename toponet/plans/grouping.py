@@ -216,13 +216,18 @@ def corroborations(clusters: DataFrame) -> DataFrame:
     )
 
 
-def corroboration_list(clusters: DataFrame, ids: list[int]) -> DataFrame:
-    """The full list of other-source rows for some given rows."""
-    asked = clusters.filter(c("id").isin(ids)).select(
-        c("id").alias("asked_id"), "cluster_id", c("source_kind").alias("own_kind")
-    )
-    return asked.join(clusters, "cluster_id").filter(c("source_kind") != c("own_kind")).select(
-        c("asked_id").alias("id"), "source_kind", c("id").alias("submission_id"), "place_name"
+def corroboration_lists(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, source_kind, rows): the rows of each source in clusters that several sources hold.
+
+    A row is confirmed by all rows of its cluster's other sources: its list is every list of the
+    cluster but its own source's. So all lists together are as long as the queue, while one per
+    row would be quadratic in the cluster.
+    """
+    several = clusters.groupBy("cluster_id").agg(
+        F.min("source_kind").alias("_a"), F.max("source_kind").alias("_b")
+    ).filter(c("_a") != c("_b")).select("cluster_id")
+    return clusters.join(several, "cluster_id", "left_semi").groupBy("cluster_id", "source_kind").agg(
+        F.sort_array(F.collect_list(F.struct("id", "place_name"))).alias("rows")
     )
 
 
