@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. ``run`` writes each stage's rows as Parquet into
 the shared folder and reads them back for the next one, so a lost executor costs one
-stage's tasks at most.
+stage's tasks at most; between stages executors and Python workers let go of what they hold.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toponet.llm import decontaminate, line_dedup, neardup, packing, quality_fm
-from toponet.llm.tables import scratch_folder, table
+from toponet.llm.tables import small_batches, table, take_back, tidy_workers, written
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    small_batches(spark)
+    tidy_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        folder = scratch_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        docs = written(stage(spark, docs, sf_dir), name)
+        take_back()
+        tidy_workers(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +94,28 @@ def take_back() -> None:
         _lent.pop().unpersist()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def _tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What earlier tasks left in this worker goes: cached tables, encoders, pooled memory."""
+    from . import packing, words
+
+    words._tables.clear()
+    packing._encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    for _ in batches:
+        yield from ()
+
+
+def tidy_workers(spark: SparkSession) -> None:
+    """Python workers live on from stage to stage; a few short tasks on each let go of what they hold."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(_tidy, "id long").count()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get texts in batches of this many rows at most, so that long ones don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
