@@ -56,11 +56,51 @@ def test_quality_rules(make, prose):
         want = plain_counts(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, r.doc_id
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        said = (text or "").translate(str.maketrans("\t\n\r\f\v", "     ")).split(" ")
+        assert r.n_marked == sum(any(x in "#*$%&|<>" for x in w) for w in said)
+        assert r.n_distinct == len({w for w in said if w})
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[100 + k] for k in range(30)) and not any(kept[200 + k] for k in range(4))
     assert quality_rules.score_quality(make([(1, "a")]).limit(0)).count() == 0
 
 
+def generated_votes(alarm, catch, good, n=20_000):
+    """(good?, pattern) of documents whose rules vote independently with known rates; a tenth abstains."""
+    rng = np.random.default_rng(11)
+    fine, pattern = rng.random(n) < good, np.zeros(n, int)
+    for k, (a, b) in enumerate(zip(alarm, catch)):
+        vote = np.where(rng.random(n) < np.where(fine, a, b), 0, 2)
+        pattern += np.where(rng.random(n) < 0.1, 1, vote) * 3**k
+    return fine, pattern
+
+
+@pytest.mark.parametrize("alarm, catch, good", [
+    ([0.02, 0.05, 0.03, 0.01, 0.3, 0.04, 0.02], [0.6, 0.7, 0.5, 0.8, 0.45, 0.6, 0.7], 0.75),
+    ([0.01] * 6 + [0.25], [0.3, 0.4, 0.5, 0.3, 0.4, 0.5, 0.3], 0.85),
+])
+def test_label_model_recovers_known_rates_and_outvotes_a_noisy_rule(alarm, catch, good):
+    fine, pattern = generated_votes(alarm, catch, good)
+    kinds, at, counts = np.unique(pattern, return_inverse=True, return_counts=True)
+    prior, weights = quality_rules.fit_label_model(kinds, counts.astype(float), 7)
+    assert abs(1 / (1 + np.exp(-prior)) - good) < 0.02
+    # Odds of a condemning and of a passing vote give both rates back.
+    down, up = np.exp(weights[:, 0]), np.exp(weights[:, 2])
+    caught = (up - 1) / (up - down)
+    assert np.abs(caught - catch).max() < 0.05 and np.abs(down * caught - alarm).max() < 0.05
+    votes = np.array([[p // 3**k % 3 for k in range(7)] for p in kinds])
+    odds = prior + sum(weights[k][votes[:, k]] for k in range(7))
+    noisy = int(np.argmax(alarm))
+    alone = (votes == 2).sum(1) + (votes[:, noisy] == 0) == 7
+    assert alone.any() and (odds[alone] > 0).all()
+    by_all = ~(votes == 0).any(1)
+    assert ((odds > 0)[at] == fine).mean() > 0.95 > 0.8 > (by_all[at] == fine).mean()
+
+
+def test_label_model_without_documents():
+    prior, weights = quality_rules.fit_label_model(np.zeros(0, int), np.zeros(0), 3)
+    assert np.isfinite(prior) and np.isfinite(weights).all()
+
+
 def plain_hits(text, items, window=10):
     def norm(x):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))

@@ -2,9 +2,10 @@
 
 Each rule votes 1 (fine), -1 (poor) or 0 (abstain) from counts of the whole text.
 Expectation-maximisation over the table of vote patterns (at most 3 to the
-number of rules, whatever the corpus) estimates, per rule and class, how often it
-votes each way, and the share of good documents. A document's posterior
-probability replaces the demand that it pass every rule.
+number of rules, whatever the corpus) estimates each rule's two error rates (how
+often it condemns good documents and passes poor ones) and the share of good
+documents. A document's posterior probability replaces the demand that it pass
+every rule: a rule that often condemns what all others pass is outvoted.
 
 Null or empty text: all counts 0. A repeated row is scored like its twin. Other
 columns are ignored. An empty table gives an empty result.
@@ -27,8 +28,11 @@ c = F.col
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
-#: The rules' limits are meant to condemn no more than this share of good documents.
-FALSE_ALARM = 0.001
+#: Where the estimates start, and what a few invented documents say beside the real ones:
+#: share of condemning votes among a rule's votes on poor and on good documents.
+START = (0.3, 0.01)
+#: Weight of those invented documents, as a share of the corpus.
+PRIOR_SHARE = 0.002
 
 _SYMBOLS = W.byte_table(b"[#*$%&|<>]"[1:-1])
 _UPPER = W.byte_table(bytes(range(65, 91)))
@@ -40,11 +44,25 @@ _FIRST[0x80:0xC0] = False
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_upper", "n_small", "n_marks", "n_bars", "n_lines",
+    "n_upper", "n_small", "n_marks", "n_bars", "n_lines", "n_marked", "n_distinct",
 ]
 SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in COUNTS)
 
 
+def rule_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """``block_counts`` with the words that hold a symbol and the different words."""
+    starts, ends = W.bounds(data, at, W.WHITE)
+    word_at = W.per_document(starts, at)
+    owner = W.owners(word_at)
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[data], dtype=np.int32)])
+    h = W.hashes(data, starts, ends) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    _, first = np.unique(h, return_index=True)
+    return block_counts(data, at) | {
+        "n_marked": W.counted(symbols[ends] > symbols[starts], word_at),
+        "n_distinct": np.bincount(owner[first], minlength=len(at) - 1),
+    }
+
+
 def block_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of every document of a block."""
     starts, ends = W.bounds(data, at, W.WHITE)
@@ -85,7 +103,7 @@ def block_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in W.blocks(batch.column(1)):
-            made = block_counts(data, at)
+            made = rule_counts(data, at)
             yield W.record_batch(
                 doc_id=batch.column(0)[lo:hi],
                 **{k: v.astype(np.int64) for k, v in made.items()},
@@ -115,13 +133,17 @@ def rules() -> dict[str, Column]:
     spoken, letters = c("n_words") >= 10, c("n_upper") + c("n_small")
     share = lambda a, b: a / F.greatest(b, F.lit(1))
     length = share(c("word_chars"), c("n_words"))
+    alike = 1 - share(c("n_distinct"), c("n_words"))
     return {
         "symbols": by(share(c("n_symbols"), c("word_chars")), 0.02, 0.06, spoken),
         "capitals": by(share(c("n_upper"), letters), 0.15, 0.5, spoken & (letters >= 20)),
         "marks": by(share(c("n_marks"), c("n_words")), 0.05, 0.25, spoken),
         "bars": by(share(c("n_bars"), c("n_words")), 0.02, 0.2, spoken),
+        "marked_words": by(share(c("n_marked"), c("n_words")), 0.02, 0.2, spoken),
         "same_lines": by(share(c("n_dup_lines"), c("n_lines")), 0.1, 0.4, c("n_lines") >= 3),
         "repeats": by(share(c("n_repeat_words"), c("n_words")), 0.2, 0.45, spoken),
+        # The longer a text, the more of its words were there before.
+        "same_words": by(alike, 0.4, 0.7, spoken & (c("n_words") <= 1000)),
         "word_length": F.when(~spoken, 0)
         .when((length < 2) | (length > 14), -1)
         .when((length >= 3) & (length <= 10), 1)
@@ -141,16 +163,15 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, n_rules: int, roun
     """(log prior odds, log odds by rule and vote) of good over poor.
 
     ``patterns`` are numbers in base 3 with ``counts`` documents each. An
-    abstention says nothing. That a rule condemns at most ``FALSE_ALARM`` of the
-    good documents keeps the classes from swapping, and keeps a kind of fault
-    that only one rule sees from being taken for good.
+    abstention says nothing. Both shares of condemning votes are estimated; all that
+    is asked of a rule is that it condemns poor documents no less often than good ones,
+    which also says which class is which.
     """
     votes = np.array([[p // 3**k % 3 for k in range(n_rules)] for p in patterns], int).reshape(-1, n_rules)
     poor_vote, fine_vote = (votes == 0).astype(float), (votes == 2).astype(float)
     total = max(float(counts.sum()), 1.0)
-    # Share of condemning votes among a rule's votes, for poor and good documents.
-    start = np.array([0.3, FALSE_ALARM])[:, None]
-    strength = 0.002 * total + 1
+    start = np.array(START)[:, None]
+    strength = PRIOR_SHARE * total + 1
     # Begin with the old rule: whatever fails one of them is poor.
     poor = np.where(poor_vote.any(1), 0.9, 0.02) if len(votes) else np.zeros(0)
     post, condemns, good = np.stack([poor, 1 - poor], 1), np.repeat(start, n_rules, 1), 0.8
@@ -158,7 +179,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, n_rules: int, roun
         weighed = post * counts[:, None]
         bad, both = weighed.T @ poor_vote, weighed.T @ (poor_vote + fine_vote)
         made = (bad + start * strength) / (both + strength)
-        made[1] = np.minimum(made[1], FALSE_ALARM)
+        made[1] = np.minimum(made[1], made[0])
         good = float((weighed[:, 1].sum() + 1) / (total + 2))
         moved, condemns = np.abs(made - condemns).max(), made
         if moved < 1e-9:
