@@ -125,6 +125,63 @@ def test_repeats_inside_a_document_leave_the_first(make):
     assert got[2] == "\n".join(["two words"] * 20)
 
 
+def test_lines_of_equal_hashes_go_only_if_their_bytes_are_equal(make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # Hashes that tell lines apart by their length only.
+    monkeypatch.setattr(line_dedup, "_hashes", lambda x: (F.xxhash64(F.length(x)), F.xxhash64(F.lit(1), F.length(x))))
+    lines = {b: [f"{b}{k} " + "word " * (20 + k) for k in range(3)] for b in "abc"}
+    mixed = [lines["a"][0], "\n", lines["b"][1], lines["a"][2]]
+    rows = [(k, "\n".join(lines[b])) for k, b in enumerate("abc")] + [(3, "\n".join(lines["a"])), (4, "\n".join(mixed))]
+    got = {r.doc_id: r for r in line_dedup.report(make(rows)).collect()}
+    assert [got[k].text for k in range(3)] == [t for _, t in rows[:3]]
+    assert (got[3].n_removed, got[3].text) == (3, "")
+    assert lines["b"][1] in got[4].text and lines["a"][0] not in got[4].text
+
+
+def test_line_dedup_equals_brute_force(make):
+    rng = random.Random(31)
+    stock = [" ".join(f"s{k}w{j}" for j in range(rng.choice([3, 9, 15, 45]))) for k in range(14)] + ["", " \t"]
+    rows = [(k, "\n".join(rng.choice(stock) if rng.random() < 0.8 else f"own{k} {j}" for j in range(rng.randrange(1, 14))))
+            for k in range(80)]
+    split = {i: t.split("\n") for i, t in rows}
+    runs = {}
+    for i in sorted(split):
+        said = [(p, x, len(x.split()), len(x.encode())) for p, x in enumerate(split[i]) if x.strip()]
+        seen = set()
+        for step in (1, -1):
+            for k in range(len(said)):
+                words = size = 0
+                for e in range(k, len(said) if step > 0 else -1, step):
+                    words, size = words + said[e][2], size + said[e][3]
+                    if words >= line_dedup.LONG_WORDS or size >= line_dedup.LONG_BYTES:
+                        seen.add((min(k, e), max(k, e)))
+                        break
+        for lo, hi in sorted(seen):
+            runs.setdefault(tuple(x[1] for x in said[lo : hi + 1]), []).append((i, said[lo][0], said[hi][0]))
+    gone = {i: set() for i in split}
+    for places in runs.values():
+        first = min(places)
+        for i, lo, hi in places:
+            if i != first[0] or lo > first[2]:
+                gone[i].update(range(lo, hi + 1))
+    got = {r.doc_id: r for r in line_dedup.report(make(rows)).collect()}
+    assert sum(map(len, gone.values())) > 50
+    for i, lines in split.items():
+        assert got[i].n_removed == len(gone[i])
+        assert got[i].text == "\n".join(x for p, x in enumerate(lines) if p not in gone[i])
+
+
+def test_very_long_text_of_lines(make):
+    import time
+
+    text = "\n".join(f"line {k} of a long text" for k in range(16_000))
+    start = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup.report(make([(1, text), (2, text), (3, None), (4, "")])).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].text, got[3].text, got[4].text) == (0, 16_000, "", None, "")
+    assert time.monotonic() - start < 60
+
+
 def test_chunks_join_to_the_text(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", " ", "\n", "\u0001", "\u0002", "\u0003", "word " * 50]) for _ in range(20)) for _ in range(100)]

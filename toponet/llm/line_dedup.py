@@ -9,7 +9,10 @@ Of each distinct run the first occurrence (smallest doc_id, then place) stays; t
 of later ones are removed. A later run of the same document counts from the end of the
 first one on, so an equal, earlier line of every removed one is kept.
 
-Equality of runs is equality of two 64-bit hashes with different seeds over their lines.
+Repeated runs are found by two 64-bit hashes with different seeds over the hashes of their
+lines. Before a line goes its bytes are compared with those of its line in the first
+occurrence: all lines held against one first line are reduced to the different ones, per
+task and then together, and where any but its own is left the lines that differ stay.
 Counting has partial sums, so a passage that a third of all documents hold is a few rows
 before the shuffle; the later occurrences meet the one first row of their hash in a join
 that splits large keys. Null text stays null and has no lines. Rows that share a doc_id
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .tables import written
 
 c = F.col
 
@@ -43,12 +47,16 @@ def _words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^ \t\r\f\x0B]++"))
 
 
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
+
+
 def _said(text: Column) -> Column:
     """(place, h, g, words, bytes) of the lines with a word."""
     marked = F.transform(
         split_chunks(text),
         lambda x, i: F.struct(
-            i.alias("place"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"),
+            i.alias("place"), _hashes(x)[0].alias("h"), _hashes(x)[1].alias("g"),
             _words(x).alias("words"), F.octet_length(x).alias("bytes"),
         ),
     )
@@ -93,7 +101,11 @@ def _spans(lines: Column) -> Column:
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """(h, g, doc_id, key, place, end) of every long run; ``end`` is the place of its last line."""
+    """(h, g, doc_id, key, place, end, line, n) of every long run.
+
+    ``place`` and ``end`` are the places of its first and last line; it has ``n`` lines
+    with a word, the first of which is the ``line``-th such line of its text.
+    """
     keyed = docs.select(
         c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text")
     ).filter(c("text").isNotNull())
@@ -105,56 +117,148 @@ def runs(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(1), F.transform(run, lambda x: x["g"])).alias("g"),
         "doc_id", "key", F.get("lines", c("x.at") - 1)["place"].alias("place"),
         F.get("lines", c("x.at") + c("x.n") - 2)["place"].alias("end"),
+        c("x.at").alias("line"), c("x.n").alias("n"),
     )
 
 
+def _flags(places: Column) -> Column:
+    """A byte per place up to the last of ``places`` (sorted, from 0): 1 there, 0 elsewhere."""
+    return F.array_join(
+        F.zip_with(
+            F.concat(F.array(F.lit(-1)), places), places,
+            lambda before, at: F.concat(F.repeat(F.lit("0"), at - before - 1), F.lit("1")),
+        ),
+        "",
+    ).cast("binary")
+
+
+def _flagged(flags: Column, place: Column) -> Column:
+    return F.substring(flags, place + 1, F.lit(1)) == F.lit(b"1")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """(key, gone): places of the lines to remove in the documents that have any."""
+    """Per document with later runs or with lines that others are compared with (``key``).
+
+    ``gone``: flags of the places to remove, ``n_gone`` of them, both null for none.
+    ``held``: (line, own, first_key, first_line) by line, ``own`` where another line is
+    compared with this one, ``first_key`` and ``first_line`` where this one is compared;
+    ``looked``: flags of these lines among the lines with a word.
+    """
     marks = cut_lineage(runs(docs))
-    at = F.struct("doc_id", "key", "place", "end")
+    at = F.struct("doc_id", "key", "place", "end", "line")
     again = (
         marks.groupBy("h", "g").agg(F.min(at).alias("at"), F.max(at).alias("last")).filter(c("at") != c("last"))
-        .select("h", "g", c("at.key").alias("first_key"), c("at.end").alias("first_end"))
+        .select(
+            "h", "g", c("at.key").alias("first_key"), c("at.end").alias("first_end"),
+            c("at.line").alias("first_line"),
+        )
     )
-    later = marks.join(again, ["h", "g"]).filter((c("key") != c("first_key")) | (c("place") > c("first_end")))
-    # A line stands in many runs.
-    lines = later.select("key", "place", "end").distinct().select(
+    later = written(
+        marks.join(again, ["h", "g"]).filter((c("key") != c("first_key")) | (c("place") > c("first_end")))
+        .select("key", "place", "end", "line", "n", "first_key", "first_line"),
+        "later-runs",
+    )
+    # A line stands in many runs; it is compared with the line of one of them.
+    places = later.select("key", "place", "end").distinct().select(
         "key", F.explode(F.sequence("place", "end")).alias("place")
     )
-    return lines.groupBy("key").agg(F.collect_set("place").alias("gone"))
+    gone = places.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("gone")).select(
+        "key", _flags(c("gone")).alias("gone"), F.size("gone").alias("n_gone")
+    )
+    compared = later.select(
+        "key", "line", "first_key", "first_line", F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("i")
+    ).select(
+        "key", (c("line") + c("i")).alias("line"), "first_key", (c("first_line") + c("i")).alias("first_line"),
+        F.lit(False).alias("own"),
+    ).dropDuplicates(["key", "line"])
+    own = compared.select(
+        c("first_key").alias("key"), c("first_line").alias("line"), F.lit(None).cast("long").alias("first_key"),
+        F.lit(None).cast("int").alias("first_line"), F.lit(True).alias("own"),
+    ).distinct()
+    held = (
+        compared.unionByName(own).groupBy("key", "line")
+        .agg(F.max("own").alias("own"), F.max("first_key").alias("first_key"), F.max("first_line").alias("first_line"))
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("line", "own", "first_key", "first_line"))).alias("held"))
+        .select("key", "held", _flags(F.transform("held", lambda x: x["line"] - 1)).alias("looked"))
+    )
+    return held.join(gone, "key", "left")
+
+
+def _compared_lines(rows: DataFrame) -> DataFrame:
+    """(key, place, line, own, first_key, first_line, said) of the lines in ``held``."""
+    marked = F.transform(split_chunks(c("text")), lambda x, i: F.struct(x.alias("said"), i.alias("place")))
+    spoken = F.filter(marked, lambda x: _words(x["said"]) > 0)
+    lines = F.filter(spoken, lambda _, i: _flagged(c("looked"), i))
+    pairs = F.arrays_zip(lines.alias("x"), c("held").alias("y"))
+    return rows.filter(c("held").isNotNull()).select("key", F.explode(pairs).alias("p")).select(
+        "key", c("p.x.place").alias("place"), c("p.y.line").alias("line"), c("p.y.own").alias("own"),
+        c("p.y.first_key").alias("first_key"), c("p.y.first_line").alias("first_line"), c("p.x.said").alias("said"),
+    )
 
 
-def _kept_text(text: Column, gone: Column) -> Column:
-    """The text without the lines at the places ``gone``."""
-    return F.array_join(
-        F.filter(split_chunks(text), lambda _, i: ~F.array_contains(gone, i)), "\n"
+def _unequal(lines: DataFrame) -> DataFrame:
+    """(first_key, first_line, said): what is held against a first line and isn't its text."""
+    sides = F.array_compact(F.array(
+        F.when(c("own"), F.struct(c("key").alias("k"), c("line").alias("n"), F.lit(True).alias("same"))),
+        F.when(
+            c("first_key").isNotNull(),
+            F.struct(c("first_key").alias("k"), c("first_line").alias("n"), F.lit(False).alias("same")),
+        ),
+    ))
+    return (
+        lines.select(F.explode(sides).alias("s"), "said")
+        .select(c("s.k").alias("first_key"), c("s.n").alias("first_line"), "said", c("s.same").alias("same"))
+        .groupBy("first_key", "first_line", "said").agg(F.max("same").alias("same"))
+        .filter(~c("same")).drop("same")
     )
 
 
 def with_gone(docs: DataFrame) -> DataFrame:
-    """(row, text, gone) of every document; ``gone`` is null where nothing repeats."""
+    """(row, text, gone, n_gone, stay, n_stay) of every document; null where nothing goes or stays.
+
+    ``stay`` flags places in ``gone`` whose bytes are not those of the first occurrence.
+    """
     found = repeats(docs)
     rows = docs.select(
         F.struct(*[c(x) for x in docs.columns if x != "text"], F.lit(0).alias("_")).alias("row"),
         c("text").cast("string").alias("text"),
         F.xxhash64(c("doc_id").cast("long"), c("text").cast("string")).alias("key"),
     )
-    return rows.join(found, "key", "left").select("row", "text", "gone")
+    rows = written(rows.join(found, "key", "left"), "lines-found")
+    lines = _compared_lines(rows)
+    unequal = _unequal(lines)
+    if unequal.isEmpty():
+        rows = rows.withColumn("stay", F.lit(None).cast("binary")).withColumn("n_stay", F.lit(0))
+    else:
+        stay = (
+            lines.join(unequal, ["first_key", "first_line", "said"])
+            .groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("stay"))
+            .select("key", _flags(c("stay")).alias("stay"), F.size("stay").alias("n_stay"))
+        )
+        rows = rows.join(stay, "key", "left")
+    return rows.select("row", "text", "gone", "n_gone", "stay", "n_stay")
+
+
+def _kept_text() -> Column:
+    """The text without the lines at the places ``gone``, but for those in ``stay``."""
+    left = F.filter(
+        split_chunks(c("text")),
+        lambda _, i: ~_flagged(c("gone"), i) | F.coalesce(_flagged(c("stay"), i), F.lit(False)),
+    )
+    return F.when(c("gone").isNull(), c("text")).otherwise(F.array_join(left, "\n"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without repeated runs of lines; all other columns stay."""
-    made = with_gone(docs).withColumn(
-        "text", F.when(c("gone").isNull(), c("text")).otherwise(_kept_text(c("text"), c("gone")))
-    )
+    made = with_gone(docs).withColumn("text", _kept_text())
     return made.select(*[c("text") if x == "text" else c("row").getField(x).alias(x) for x in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Cleaned text and number of removed lines of every document."""
-    made = with_gone(docs)
-    return made.select(
+    return with_gone(docs).select(
         c("row.doc_id").cast("long").alias("doc_id"),
-        F.when(c("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(c("gone").isNull(), c("text")).otherwise(_kept_text(c("text"), c("gone"))).alias("text"),
+        (F.coalesce("n_gone", F.lit(0)) - F.coalesce("n_stay", F.lit(0))).cast("long").alias("n_removed"),
+        _kept_text().alias("text"),
     )
