@@ -35,6 +35,8 @@ c = F.col
 LONG_WORDS, LONG_BYTES = 40, 320
 #: Lines looked at first for the end of a run; LONG_WORDS lines with a word each always are one.
 FEW = 6
+#: More than the lines of any run.
+WIDE = 64
 
 
 def split_chunks(text: Column) -> Column:
@@ -79,7 +81,10 @@ def _reach(lines: Column) -> Column:
 
 
 def _spans(lines: Column) -> Column:
-    """(at, n) of the shortest long runs from every line on and up to every line; ``at`` counts from 1."""
+    """``at * WIDE + n`` of the shortest long runs from every line on and up to every line.
+
+    ``at`` counts from 1. Numbers, since only of those Spark finds the different ones by hash.
+    """
 
     def ahead(at: Column, n: int) -> Column:
         return F.slice(lines, at, F.lit(n))
@@ -95,9 +100,9 @@ def _spans(lines: Column) -> Column:
 
         return F.transform(lines, lambda _, i: length(i + 1))
 
-    on = F.transform(lengths(ahead), lambda n, i: F.struct((i + 1).alias("at"), n.alias("n")))
-    back = F.transform(lengths(behind), lambda n, i: F.struct((i + 2 - n).alias("at"), n.alias("n")))
-    return F.array_distinct(F.filter(F.concat(on, back), lambda x: x["n"].isNotNull()))
+    on = F.transform(lengths(ahead), lambda n, i: (i + 1).cast("long") * WIDE + n)
+    back = F.transform(lengths(behind), lambda n, i: (i + 2 - n).cast("long") * WIDE + n)
+    return F.array_distinct(F.array_compact(F.concat(on, back)))
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -110,14 +115,21 @@ def runs(docs: DataFrame) -> DataFrame:
         c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text")
     ).filter(c("text").isNotNull())
     lines = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), _said(c("text")).alias("lines"))
-    spans = lines.select("doc_id", "key", "lines", F.explode(_spans(c("lines"))).alias("x"))
-    run = F.slice("lines", c("x.at"), c("x.n"))
-    return spans.select(
-        F.xxhash64(F.transform(run, lambda x: x["h"])).alias("h"),
-        F.xxhash64(F.lit(1), F.transform(run, lambda x: x["g"])).alias("g"),
-        "doc_id", "key", F.get("lines", c("x.at") - 1)["place"].alias("place"),
-        F.get("lines", c("x.at") + c("x.n") - 2)["place"].alias("end"),
-        c("x.at").alias("line"), c("x.n").alias("n"),
+
+    def described(span: Column) -> Column:
+        at, n = (span / WIDE).cast("int"), (span % WIDE).cast("int")
+        run = F.slice("lines", at, n)
+        return F.struct(
+            F.xxhash64(F.transform(run, lambda x: x["h"])).alias("h"),
+            F.xxhash64(F.lit(1), F.transform(run, lambda x: x["g"])).alias("g"),
+            F.get("lines", at - 1)["place"].alias("place"), F.get("lines", at + n - 2)["place"].alias("end"),
+            at.alias("line"), n.alias("n"),
+        )
+
+    # Described inside their text, so that no run carries all lines of it.
+    spans = lines.withColumn("spans", _spans(c("lines")))
+    return spans.select("doc_id", "key", F.explode(F.transform("spans", described)).alias("x")).select(
+        "x.h", "x.g", "doc_id", "key", "x.place", "x.end", "x.line", "x.n"
     )
 
 
