@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tables import written
+from .tables import forget, written
 
 c = F.col
 
@@ -148,13 +148,14 @@ def _flagged(flags: Column, place: Column) -> Column:
     return F.substring(flags, place + 1, F.lit(1)) == F.lit(b"1")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per document with later runs or with lines that others are compared with (``key``).
+def repeats(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """A row per document with later runs or with lines that others are compared with (``key``).
 
     ``gone``: flags of the places to remove, ``n_gone`` of them, both null for none.
     ``held``: (line, own, first_key, first_line) by line, ``own`` where another line is
     compared with this one, ``first_key`` and ``first_line`` where this one is compared;
-    ``looked``: flags of these lines among the lines with a word.
+    ``looked``: flags of these lines among the lines with a word. Beside it, the written
+    tables that it reads.
     """
     marks = cut_lineage(runs(docs))
     at = F.struct("doc_id", "key", "place", "end", "line")
@@ -177,12 +178,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     gone = places.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("gone")).select(
         "key", _flags(c("gone")).alias("gone"), F.size("gone").alias("n_gone")
     )
-    compared = later.select(
+    # Written, as both sides of every comparison must come from one choice.
+    compared = written(later.select(
         "key", "line", "first_key", "first_line", F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("i")
     ).select(
         "key", (c("line") + c("i")).alias("line"), "first_key", (c("first_line") + c("i")).alias("first_line"),
         F.lit(False).alias("own"),
-    ).dropDuplicates(["key", "line"])
+    ).dropDuplicates(["key", "line"]), "compared-lines")
     own = compared.select(
         c("first_key").alias("key"), c("first_line").alias("line"), F.lit(None).cast("long").alias("first_key"),
         F.lit(None).cast("int").alias("first_line"), F.lit(True).alias("own"),
@@ -194,7 +196,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("line", "own", "first_key", "first_line"))).alias("held"))
         .select("key", "held", _flags(F.transform("held", lambda x: x["line"] - 1)).alias("looked"))
     )
-    return held.join(gone, "key", "left")
+    return held.join(gone, "key", "left"), [later, compared]
 
 
 def _compared_lines(rows: DataFrame) -> DataFrame:
@@ -231,13 +233,14 @@ def with_gone(docs: DataFrame) -> DataFrame:
 
     ``stay`` flags places in ``gone`` whose bytes are not those of the first occurrence.
     """
-    found = repeats(docs)
+    found, spent = repeats(docs)
     rows = docs.select(
         F.struct(*[c(x) for x in docs.columns if x != "text"], F.lit(0).alias("_")).alias("row"),
         c("text").cast("string").alias("text"),
         F.xxhash64(c("doc_id").cast("long"), c("text").cast("string")).alias("key"),
     )
     rows = written(rows.join(found, "key", "left"), "lines-found")
+    forget(*spent)
     lines = _compared_lines(rows)
     unequal = _unequal(lines)
     if unequal.isEmpty():
