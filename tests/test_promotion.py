@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from toponet.operators import spatial
-from toponet.plans import promotion
+from toponet.plans import promotion, resolution
 from toponet.sources import writers
 
 ROW = (
@@ -114,3 +114,18 @@ def test_publish_switches_whole_versions_only(spark, graph, tmp_path):
     writers.publish(spark, tables, root, "v4", checked)
     assert writers.published_version(spark, root) == "v4"
     assert writers.published(spark, root, "links").count() == 6
+
+
+def test_gazetteer_is_asked_once_per_name(spark):
+    names = spark.createDataFrame([("old mill",), ("old mill",), ("nowhere",), (None,)], "query_norm string")
+    known = spark.createDataFrame(
+        [("old mill", 7, 51.0, 1.0, None, True), ("new mill", 8, 52.0, 2.0, None, True)],
+        "name_norm string, entity long, lat double, lng double, population long, exact_label boolean",
+    )
+    empty = spark.createDataFrame([], "query_norm string, entity long, lat double, lng double")
+    cache = resolution.ask_through(names, known, empty)
+    held = {tuple(r) for r in cache.collect()}
+    assert held == {("old mill", 7, 51.0, 1.0), ("nowhere", None, None, None)} and cache.count() == 2
+    assert resolution.ask_through(names, known, cache).isEmpty()
+    more = names.union(spark.createDataFrame([("new mill",)], "query_norm string"))
+    assert [tuple(r) for r in resolution.ask_through(more, known, cache).collect()] == [("new mill", 8, 52.0, 2.0)]

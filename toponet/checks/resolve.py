@@ -111,6 +111,25 @@ def g07(v):
     return got.select("id", "reason")
 
 
+@check(
+    "g07_geocode_cache",
+    f"""with base as (select {q.name_key('name')} nm, min(place_id) entity, arg_min(lat, place_id) lat, arg_min(lng, place_id) lng from fx_places where lat is not null group by 1),
+    heads as (select {q.head('place_name')} h, {q.head_refusal(q.head('place_name'))} refusal, case when lat is null then 2 else 1 end run from fx_submissions),
+    asked as (select {q.name_key('h')} query_norm, min(run) asked_in from heads where refusal is null group by 1)
+    select query_norm, b.entity, b.lat, b.lng, asked_in from asked left join base b on b.nm = query_norm where query_norm is not null""",
+)
+def g07_cache(v):
+    """The cache after two runs: heads of located rows, then those of the others that it lacks."""
+    split = v.submissions.select("lat", phrases.split_phrase(c("place_name")).alias("s")).filter(
+        c("s.refusal").isNull()
+    ).select("lat", fold.normalize_name(c("s.head")).alias("query_norm"))
+    names = gazetteer(v)
+    empty = v.spark.createDataFrame([], "query_norm string, entity long, lat double, lng double")
+    first = cut_lineage(resolution.ask_through(split.filter(c("lat").isNotNull()), names, empty))
+    second = resolution.ask_through(split.filter(c("lat").isNull()), names, first)
+    return first.withColumn("asked_in", F.lit(1)).unionByName(second.withColumn("asked_in", F.lit(2)))
+
+
 def promotable(v):
     """Verified, located, unpromoted queue rows with score and quote."""
     rows = qq.reviewed(v).filter(
