@@ -70,6 +70,31 @@ def test_near_duplicates_equal_brute_force(make, prose, width, percent):
     assert {r.doc_id for r in left.collect()} == {i for i, (_, x) in want.items() if i == x} | {None}
 
 
+def test_long_lists_lose_no_link(make, monkeypatch):
+    """Without leaders everything is paired by the last step, most of it from full sets."""
+    monkeypatch.setattr(neardup, "LEADERS", ())
+    monkeypatch.setattr(neardup, "SHORT", 4)
+    texts = family(11, 50, 90, 7) + family(12, 50, 500, 30) + family(13, 30, 30, 2)
+    texts += [" ".join(x.split()[: 300 + 5 * k]) for k, x in enumerate(family(14, 40, 500, 3))]
+    rows = list(enumerate(texts)) + ODD
+    want = near_by_force(rows, 3, 85)
+    got = neardup.report(make(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {
+        i: x for i, (_, x) in want.items() if i is not None
+    }
+
+
+def test_texts_that_share_a_passage_are_no_candidates(make, prose, monkeypatch):
+    common = prose(77, 300)
+    rows = [(k, common + " " + prose(1000 + k, 150, 10**6)) for k in range(200)]
+    made = []
+    whole = neardup._size_pairs
+    monkeypatch.setattr(neardup, "LEADERS", ())
+    monkeypatch.setattr(neardup, "_size_pairs", lambda *x: made.append(whole(*x).count()) or whole(*x))
+    got = neardup.report(make(rows)).collect()
+    assert all(r.kept for r in got) and made and sum(made) <= len(rows)
+
+
 def test_no_documents(make):
     assert neardup.report(make([(1, "a")]).limit(0)).count() == 0
     assert line_dedup.report(make([(1, "a")]).limit(0)).count() == 0

@@ -13,7 +13,12 @@ One hash function orders all shingles; a document keeps its smallest, small sets
 3. Pairs: every class meets the leaders of most of its lists. Linked classes merge, and
    lists with one component are done. Other lists get other leaders. As soon as the
    pairs between different components of a list are about as many as list entries, or
-   after the last leaders, these pairs are all tested. No list emits all its pairs.
+   after the last leaders, the rest is paired: lists of up to ``SHORT`` classes as they
+   are, while the classes of longer ones are listed anew, under the rarest values of
+   their full sets and by size. A pair meets there only if the common value is among
+   the first ``size - shared + 1`` of both, ``shared`` being what two sets of just these
+   sizes must have in common. This loses no link, but texts that share a passage meet
+   no more, since their own values come first. What is left are pairs near the threshold.
 4. The sketch of the union, the smallest values of both sketches together, estimates
    the similarity; what can't reach the threshold goes. The rest is counted on full
    sets: a link is exact.
@@ -27,7 +32,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,10 @@ FILTER_BITS = 1 << 22
 LEADERS = (1, 4, 8, 8)
 #: The rest is paired at once when that is no more than so many pairs per list entry.
 REST = 2
+#: Longer lists are made anew from full sets before their classes are paired.
+SHORT = 16
+#: Size bands between a set and the smallest set that can match it.
+BANDS = 2
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -132,14 +141,19 @@ def _counter(value: Column) -> Column:
     return F.pmod(F.shiftright(value, 20), F.lit(COUNTERS)).cast("int")
 
 
-def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, id, n) of the values each class is listed under."""
+def _often(sets: DataFrame, column: str) -> np.ndarray:
+    """How many rows hold a value, in ``COUNTERS`` sums."""
     sums = (
-        classes.select(F.explode("sketch").alias("value")).groupBy(_counter(c("value")).alias("k"))
+        sets.select(F.explode(column).alias("value")).groupBy(_counter(c("value")).alias("k"))
         .agg(F.count(F.lit(1)).alias("n")).toArrow()
     )
     table = np.zeros(COUNTERS, np.int64)
     table[sums["k"].to_numpy()] = sums["n"].to_numpy()
+    return table
+
+
+def postings(classes: DataFrame, percent: int, table: np.ndarray) -> DataFrame:
+    """(value, id, n) of the values each class is listed under."""
     shared = lend(classes.sparkSession, table)
     most = least_shared(percent)
 
@@ -169,6 +183,57 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("id", "n", "sketch").mapInArrow(run, "value long, id long, n long")
 
 
+def _size_roles(n: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(key, role, smallest size of a partner) of the size lists a set of ``n`` shingles is in.
+
+    A key names the band of the larger set and how many bands the smaller one lies below.
+    Roles: 0 for sets of one band, 1 for the larger, 2 for the smaller of two bands.
+    """
+    width = -log(percent / 100) / BANDS
+    band = int(log(n) / width)
+    least, most = -(-percent * n // 100), 100 * n // percent
+
+    def start(b: int) -> int:
+        return int(exp(b * width))
+
+    yield band * (BANDS + 2), 0, max(start(band), least)
+    # One step more than BANDS: an edge may be rounded either way.
+    for step in range(1, BANDS + 2):
+        if band >= step and start(band - step + 1) + 1 >= least:
+            yield band * (BANDS + 2) + step, 1, max(start(band - step), least)
+        if start(band + step) <= most:
+            yield (band + step) * (BANDS + 2) + step, 2, max(start(band + step), n)
+
+
+def _size_lists(sets: DataFrame, percent: int, table: np.ndarray) -> DataFrame:
+    """(id, n, value, size, role, place) of the rarest values of full sets (id, set)."""
+    shared = lend(sets.sparkSession, table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = x.values.to_numpy()
+                n = len(x)
+                if not n:
+                    continue
+                ranked = x[np.lexsort((x, shared.value[(x >> 20) % COUNTERS]))]
+                roles = [
+                    (size, role, n + 1 - -(-percent * (n + other) // (100 + percent)))
+                    for size, role, other in _size_roles(n, percent)
+                ]
+                sizes, kinds, counts = (np.array(y, np.int32) for y in zip(*roles))
+                counts = np.clip(counts, 0, n)
+                total = int(counts.sum())
+                yield W.record_batch(
+                    id=np.full(total, i, np.int64), n=np.full(total, n, np.int64),
+                    value=np.concatenate([ranked[:k] for k in counts]), size=np.repeat(sizes, counts),
+                    role=np.repeat(kinds, counts),
+                    place=np.concatenate([np.arange(k, dtype=np.int64) for k in counts]),
+                )
+
+    return sets.mapInArrow(run, "id long, n long, value long, size int, role int, place long")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, sure) of the pairs whose retained values allow the threshold.
 
@@ -248,6 +313,41 @@ def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _size_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components with a value early enough in both for sets of their sizes."""
+    one = lists.filter(c("role") != 2).withColumn("same", c("role") == 0).drop("role")
+    two = lists.filter(c("role") != 1).select(
+        "value", "size", c("id").alias("b"), c("n").alias("m"), c("place").alias("b_place"), c("comp").alias("b_comp")
+    )
+
+    def early(size: Column, place: Column) -> Column:
+        return (100 + percent) * (size - place) >= percent * (c("n") + c("m"))
+
+    met = one.join(two, ["value", "size"]).filter(
+        (c("comp") != c("b_comp")) & (~c("same") | (c("id") < c("b"))) & _can_match(percent)
+        & early(c("n"), c("place")) & early(c("m"), c("b_place"))
+    )
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def _rest(lists: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """All pairs that may still link: of short lists directly, of long ones from full sets.
+
+    Two classes that share a long list are both listed anew, so they meet there if they
+    can be linked; classes that share short lists only are paired by these.
+    """
+    long = lists.groupBy("value").count().filter(c("count") > SHORT).select("value")
+    crowd = written(lists.join(long, "value", "left_semi").select("id", "n", "comp").distinct(), "crowd")
+    pairs = _all_pairs(lists.join(long, "value", "left_anti"), percent)
+    if crowd.isEmpty():
+        return pairs
+    sets = full_sets(docs, width, _bit_map(crowd.select(c("id").alias("a"), c("id").alias("b"))))
+    sets = written(sets, "sets")
+    # Counted on full sets: sketches say nothing of the values that they don't retain.
+    again = _size_lists(sets, percent, _often(sets, "set")).join(crowd, ["id", "n"])
+    return pairs.unionByName(_size_pairs(again, percent)).distinct()
+
+
 def _is_little(lists: DataFrame) -> bool:
     """Whether the pairs between components of a list are about as many as list entries."""
     each = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -293,14 +393,18 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = written(classes.withColumnRenamed("n_shingles", "n"), "classes")
     made = written(whole.drop("sketch"), "sizes")
     forget(whole)
-    all_lists = written(postings(classes, percent).withColumn("comp", c("id")), "postings")
+    table = _often(classes, "sketch")
+    all_lists = written(postings(classes, percent, table).withColumn("comp", c("id")), "postings")
     lists = _open_lists(all_lists, None)
     forget(all_lists)
     links, comps = None, None
     turn, last = 0, False
     while not last and not lists.isEmpty():
         last = turn == len(LEADERS) or turn > 0 and _is_little(lists)
-        pairs = _all_pairs(lists, percent) if last else _leader_pairs(lists, percent, turn, LEADERS[turn])
+        if last:
+            pairs = _rest(lists, docs, width, percent)
+        else:
+            pairs = _leader_pairs(lists, percent, turn, LEADERS[turn])
         turn += 1
         pairs = written(_estimated(pairs, classes, percent), "pairs")
         if pairs.isEmpty():
