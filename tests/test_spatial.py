@@ -130,3 +130,13 @@ def test_place_groups_hold_pairwise_and_survive_reordering(spark):
     links = spark.createDataFrame([(7, 1), (7, 2), (8, 6)], "work_id long, place_id long")
     kept = {r.group_id: r for r in grouping.surviving_places(groups, links).collect()}
     assert kept[1].place_id == 1 and kept[1].merged_count == 3 and kept[1].works == 2
+
+
+def test_named_join_sends_no_grown_side_through_the_driver(spark):
+    names = spark.createDataFrame(
+        [(i, "union station of the old town", 10.0 + i / 1e4, 20.0) for i in range(50)],
+        "id long, name string, lat double, lng double",
+    )
+    a = names.select(c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng"))
+    plan = spatial.near_named_pairs(a, names, 40.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

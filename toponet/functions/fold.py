@@ -25,6 +25,7 @@ BLANKS = (
     r"[\s\x{b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 )
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
+_HANGUL = f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}]"
 
 
 def _stripped(char: str) -> str:
@@ -34,9 +35,9 @@ def _stripped(char: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[str, str, str, str, int, str]:
+def _tables() -> tuple[str, str, str, str, int]:
     """(translate from, translate to, wide characters, their spellings padded to one
-    width, that width, wide character class).
+    width, that width).
 
     Plain string literals keep the plans small; a map literal of this size would
     slow down every optimizer rule.
@@ -54,16 +55,9 @@ def _tables() -> tuple[str, str, str, str, int, str]:
             target.append(plain)
         elif len(plain) != 1:
             wide[char] = plain
-    codes = sorted(ord(c) for c in wide)
-    spans, start = [], codes[0]
-    for here, following in zip(codes, codes[1:] + [None]):
-        if following != here + 1:
-            spans.append(f"\\x{{{start:x}}}-\\x{{{here:x}}}")
-            start = following
-    spans.append(f"\\x{{{_HANGUL_FIRST:x}}}-\\x{{{_HANGUL_LAST:x}}}")
     width = max(len(plain) for plain in wide.values())
     spelled = "".join(plain.ljust(width, "\x01") for plain in wide.values())
-    return "".join(source), "".join(target), "".join(wide), spelled, width, "[" + "".join(spans) + "]"
+    return "".join(source), "".join(target), "".join(wide), spelled, width
 
 
 def _jamo(char: Column) -> Column:
@@ -90,7 +84,7 @@ def fold_accents(text: Column) -> Column:
 
 
 def _folded(text: Column) -> Column:
-    source, target, wide, spellings, width, wide_class = _tables()
+    source, target, wide, spellings, width = _tables()
 
     def one(char: Column) -> Column:
         hangul = (char >= chr(_HANGUL_FIRST)) & (char <= chr(_HANGUL_LAST))
@@ -100,7 +94,9 @@ def _folded(text: Column) -> Column:
         return F.when(hangul, _jamo(char)).otherwise(known)
 
     spelled = F.array_join(F.transform(F.split(text, ""), one), "")
-    widened = F.when(text.rlike(wide_class), spelled).otherwise(text)
+    # A character is looked up in a table here: a class of that many ranges tests them one by one.
+    holds_wide = (F.translate(text, wide, "") != text) | text.rlike(_HANGUL)
+    widened = F.when(holds_wide, spelled).otherwise(text)
     folded = F.regexp_replace(F.translate(widened, source, target), MARKS, "")
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
 

@@ -2,7 +2,8 @@
 
 Every join here is an equi join on a cell number with an exact residual test.
 No side is hinted to broadcast: Spark broadcasts a side when its measured size
-allows and shuffles (with skew splitting) when it does not.
+allows and shuffles (with skew splitting) when it does not. Name keys multiply
+a table after Spark has estimated it; those joins always shuffle.
 """
 
 from __future__ import annotations
@@ -68,6 +69,15 @@ def box_cover(south: Column, north: Column, west: Column, east: Column, size_m:
     return F.flatten(F.transform(rows, columns))
 
 
+def shuffled(exploded: DataFrame) -> DataFrame:
+    """``exploded`` for a join that must not broadcast it.
+
+    Spark estimates rows after an explode by the table before it, so a side that has grown many
+    times over would still be sent whole through the driver.
+    """
+    return exploded.hint("merge")
+
+
 def within_radius(
     anchors: DataFrame, points: DataFrame, radius: Column | float, size_m: float,
     metres: Column, limit: Column | None = None,
@@ -323,7 +333,7 @@ def near_named_pairs(
     for left_all in (True, False):
         a = around.withColumn("_key", F.explode(_affix_keys(c("a_name"), "es", left_all)))
         b = placed.withColumn("_key", F.explode(_affix_keys(c("name"), "es", not left_all)))
-        pairs = a.join(b, ["_cell", "_key"])
+        pairs = shuffled(a).join(shuffled(b), ["_cell", "_key"])
         longer = F.char_length("a_name") >= F.char_length("name")
         pairs = pairs.filter(longer if left_all else ~longer)
         found = pairs if found is None else found.unionByName(pairs)

@@ -164,7 +164,7 @@ def name_clusters(submissions: DataFrame) -> DataFrame:
     for left_all in (True, False):
         left = a.withColumn("_k", F.explode(spatial._affix_keys(c("a_name"), "es", left_all)))
         right = heads.withColumn("_k", F.explode(spatial._affix_keys(c("name"), "es", not left_all)))
-        found = left.join(right, ["work_id", "_k"]).filter(c("a_id") < c("id"))
+        found = spatial.shuffled(left).join(spatial.shuffled(right), ["work_id", "_k"]).filter(c("a_id") < c("id"))
         found = found.filter(names_match(c("a_name"), c("name"))).select(
             c("a_id").alias("a"), c("id").alias("b")
         )
@@ -278,7 +278,7 @@ def spot_groups(stops: DataFrame) -> DataFrame:
         "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(size), size))
     )
     right = longer.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), size))
-    named = left.join(right, ["_cell", "_k"]).filter(
+    named = spatial.shuffled(left).join(spatial.shuffled(right), ["_cell", "_k"]).filter(
         spatial.whole_metres() <= MERGE_RADIUS_M
     ).select("a", "b")
     comps = components(near.unionByName(named).filter(c("a") != c("b")))
@@ -345,7 +345,7 @@ def answer_groups(points: DataFrame) -> DataFrame:
     right = keyed.withColumn("_k", F.explode(prefixes)).withColumn(
         "_cell", spatial.cell_of(c("lat"), c("lng"), size)
     )
-    longer = left.join(right, ["_cell", "_k"]).filter(
+    longer = spatial.shuffled(left).join(spatial.shuffled(right), ["_cell", "_k"]).filter(
         (c("a_id") != c("id")) & (spatial.whole_metres() <= 2 * ANSWER_RADIUS_M)
     ).select(c("a_id").alias("a"), c("id").alias("b"))
     edges = cut_lineage(match.unionByName(longer).filter(c("a") != c("b")).distinct())
