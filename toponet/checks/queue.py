@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev, fold, phrases
 from ..operators import cards, quality, review
+from ..session import computed
 from . import sqltext as q
 from .registry import check
 
@@ -25,17 +26,7 @@ _CORROBORATED = f"""(select s.*, exists_other corroborated, g.name is not null a
 def corroborated(v):
     """Queue rows with two flags: the same work and name come from another source too,
     and such a source puts it within 150 m."""
-    rows = v.submissions.withColumn("name_norm", fold.normalize_name(c("place_name")))
-    kinds = rows.groupBy("work_id", "name_norm").agg(
-        (F.count_distinct("source_kind") > 1).alias("corroborated")
-    )
-    agreeing = review.coordinate_agreement(v.submissions).select(
-        "work_id", c("name").alias("name_norm"), "source_kind", "lat", "lng", F.lit(True).alias("agrees")
-    )
-    flagged = rows.join(kinds, ["work_id", "name_norm"]).join(
-        agreeing, ["work_id", "name_norm", "source_kind", "lat", "lng"], "left"
-    )
-    return flagged.withColumn("agrees", F.coalesce("agrees", F.lit(False)))
+    return review.corroborated(v.submissions, v.submission_rows())
 
 
 _DISQUALIFIED = f"""case when trim(coalesce(place_name, '')) = '' then 'no_place_name'
@@ -101,9 +92,9 @@ def p08(v):
     f"select id, cast({_SCORE} as double) score, array_to_string({_SIGNALS}, '+') signals from {_CORROBORATED}",
 )
 def a10(v):
-    found = review.signals(c("corroborated"), c("agrees"))
-    return corroborated(v).select(
-        "id", ev.review_score(found).alias("score"), F.array_join(found, "+").alias("signals")
+    rows = computed(corroborated(v), _signals=review.signals(c("corroborated"), c("agrees")))
+    return rows.select(
+        "id", ev.review_score(c("_signals")).alias("score"), F.array_join("_signals", "+").alias("signals")
     )
 
 
@@ -154,7 +145,7 @@ def a25(v):
     _AGREEING,
 )
 def j29(v):
-    return review.coordinate_agreement(v.submissions)
+    return review.coordinate_agreement(v.submission_rows())
 
 
 @check(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev, geo, phrases
 from ..functions.fold import normalize_name
+from ..session import computed
+from . import spatial
 
 c = F.col
 
@@ -17,6 +19,7 @@ CHECKABLE = {
 }
 MAX_NAME_WORDS = 12
 AGREEMENT_M = 150.0
+BAND_M = 30_000.0
 # Donors of a borrowed coordinate, best first.
 COORDINATE_DONORS = ["moviemaps", "permit_record", "wikipedia"]
 NEEDS_SENTENCE = ["wikipedia", "reelstreets", "movielocations", "open_plaques", "fandom"]
@@ -43,10 +46,11 @@ def disqualification(refused_sources: list[str] | None = None) -> Column:
 def blocker() -> Column:
     """First reason to leave a queue row pending."""
     name = F.trim(F.coalesce("place_name", F.lit("")))
+    long = F.char_length(name) > 2 * MAX_NAME_WORDS
     return (
         F.when(name.rlike(phrases.js(phrases.CREDIT_TAIL)), "unusable_name:photo_credit_appended")
         .when(name.rlike(phrases.js(phrases.CAPTION_MARKER)), "unusable_name:caption_prefix_not_cut")
-        .when(phrases.word_count(name) > MAX_NAME_WORDS, "unusable_name:sentence_not_a_name")
+        .when(long & (phrases.word_count(name) > MAX_NAME_WORDS), "unusable_name:sentence_not_a_name")
         .when(c("lat").isNull() | c("lng").isNull(), "no_coordinate")
     )
 
@@ -73,13 +77,8 @@ def signals(corroborated: Column, agrees: Column) -> Column:
 def review(rows: DataFrame, corroborated: Column, agrees: Column) -> DataFrame:
     """Verdict per queue row: status, score, reason. One pass, no shuffle."""
     checkable = F.try_element_at(ev.literal_map(CHECKABLE), c("source_kind"))
-    found = (
-        rows.withColumn("_refused", disqualification())
-        .withColumn("_blocked", blocker())
-        .withColumn("_signals", signals(corroborated, agrees))
-        .withColumn("_score", ev.review_score(c("_signals")))
-        .withColumn("_checkable", checkable)
-    )
+    found = computed(rows, _refused=disqualification(), _blocked=blocker(), _signals=signals(corroborated, agrees))
+    found = computed(found, _score=ev.review_score(c("_signals"))).withColumn("_checkable", checkable)
     claim = F.arrays_overlap("_signals", F.lit(["cited_source", "independent_corroboration"]))
     passed = claim & (c("_score") >= ev.VERIFY_THRESHOLD)
     joined = F.array_join("_signals", "+")
@@ -133,26 +132,54 @@ def source_rule_violations(rows: DataFrame, record_id: Column, revision: Column)
 def coordinate_agreement(rows: DataFrame) -> DataFrame:
     """Rows another source places within 150 m for the same work and name.
 
+    Rows meet in bands of latitude, and of a band only names that several sources have there.
     Copies of one (work, name, source, point) are one row in the join.
     """
-    spots = (
-        rows.filter(geo.has_point(c("lat"), c("lng")))
-        .select(
-            "work_id", normalize_name(c("place_name")).alias("name"), "source_kind", "lat", "lng"
-        )
-        .distinct()
+    spots = computed(
+        rows.filter(geo.has_point(c("lat"), c("lng"))).select("work_id", "place_name", "source_kind", "lat", "lng"),
+        name=normalize_name(c("place_name")),
+    ).filter(c("name").isNotNull() & c("work_id").isNotNull() & c("source_kind").isNotNull()).drop("place_name")
+    spots = spots.withColumn("_home", spatial.row_of(c("lat"), BAND_M)).withColumn(
+        "_band", F.explode(spatial.rows_around(c("lat"), AGREEMENT_M + 1.0, BAND_M))
     )
-    other = spots.select(
-        "work_id", "name", c("source_kind").alias("o_kind"),
-        c("lat").alias("o_lat"), c("lng").alias("o_lng"),
+    keys = ["work_id", "name", "_band"]
+    there = Window.partitionBy(*keys)
+    spots = spots.withColumn("_least", F.min("source_kind").over(there)).withColumn(
+        "_most", F.max("source_kind").over(there)
+    ).filter(c("_least") != c("_most")).select(*keys, "_home", "source_kind", "lat", "lng").distinct()
+    other = spots.filter(c("_home") == c("_band")).select(
+        *keys, c("source_kind").alias("o_kind"), c("lat").alias("o_lat"), c("lng").alias("o_lng"),
     )
     metres = geo.flat_m(c("lat"), c("lng"), c("o_lat"), c("o_lng"))
-    near = spots.join(other, ["work_id", "name"]).filter(
+    near = spatial.shuffled(spots).join(spatial.shuffled(other), keys).filter(
         (c("source_kind") != c("o_kind")) & (metres <= AGREEMENT_M)
     )
     return near.select("work_id", "name", "source_kind", "lat", "lng").distinct()
 
 
+def corroborated(rows: DataFrame, located: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``name_norm`` and two flags: the same work and name come from another source
+    too (``corroborated``), and such a source puts it within 150 m (``agrees``).
+
+    The rows are dealt out once, by work and name, together with the agreeing spots.
+    ``located`` may give the same rows more cheaply where their ids aren't needed.
+    """
+    named = computed(rows, name_norm=normalize_name(c("place_name")))
+    named = named.filter(c("work_id").isNotNull() & c("name_norm").isNotNull())
+    agreeing = coordinate_agreement(rows if located is None else located).withColumnRenamed("name", "name_norm")
+    both = named.withColumn("_found", F.lit(False)).unionByName(
+        agreeing.withColumn("_found", F.lit(True)), allowMissingColumns=True
+    )
+    name = Window.partitionBy("work_id", "name_norm")
+    spot = Window.partitionBy("work_id", "name_norm", "source_kind", "lat", "lng")
+    flagged = (
+        both.repartition("work_id", "name_norm")
+        .withColumn("corroborated", F.coalesce(F.min("source_kind").over(name) != F.max("source_kind").over(name), F.lit(False)))
+        .withColumn("agrees", F.max("_found").over(spot))
+    )
+    return flagged.filter(~c("_found")).drop("_found")
+
+
 def best_link_score(rows: DataFrame) -> DataFrame:
     """Highest score per (place, work), never above one."""
     return rows.groupBy("place_id", "work_id").agg(
