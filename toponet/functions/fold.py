@@ -139,10 +139,10 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(normalize_title(text), " +", "-")
 
 
-def names_match(left: Column, right: Column) -> Column:
+def names_match(left: Column, right: Column, words: tuple[Column, Column] | None = None) -> Column:
     """Two *normalized* names are equal, or one is the other plus at most one word
-    at its start or end (compared as text)."""
-    left_words, right_words = F.size(F.split(left, " ")), F.size(F.split(right, " "))
+    at its start or end (compared as text). ``words`` may give their numbers of words."""
+    left_words, right_words = words or (F.size(F.split(left, " ")), F.size(F.split(right, " ")))
     left_shorter = left_words <= right_words
     short = F.when(left_shorter, left).otherwise(right)
     long = F.when(left_shorter, right).otherwise(left)

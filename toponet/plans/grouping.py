@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import normalize_name
 from ..operators import spatial
+from ..session import computed
 from . import blocks
 
 c = F.col
@@ -143,22 +144,39 @@ def surviving_places(groups: DataFrame, links: DataFrame) -> DataFrame:
 DONORS = ["moviemaps", "permit_record", "wikipedia"]
 
 
-def name_clusters(submissions: DataFrame) -> DataFrame:
-    """Cluster of every named queue row within its work.
+#: Names of a work up to which one row holds and compares them all.
+FEW_NAMES = 64
 
-    Names are compared once per (work, name), in order of first appearance; all
-    rows of one name stay together. Names of one work meet on their affixes, so
-    a work with very many names is not paired with itself.
+
+def _clusters_of(names: Column) -> Column:
+    """(id, name, cluster_id) of the few ``names`` (id, name) of a work, in id order.
+
+    A name joins the first cluster that holds a match, else it opens one.
     """
     from ..functions.fold import names_match
-    from ..session import cut_lineage
 
-    named = cut_lineage(
-        submissions.select("id", "work_id", "place_name", "source_kind", "lat", "lng")
-        .withColumn("name", normalize_name(c("place_name")))
-        .filter(c("name") != "")
+    kind = "array<struct<id:bigint,name:string,words:int,cluster_id:bigint>>"
+
+    def add(made: Column, one: Column) -> Column:
+        alike = F.filter(made, lambda x: names_match(x["name"], one["name"], (x["words"], one["words"])))
+        first = F.array_min(F.transform(alike, lambda x: x["cluster_id"]))
+        row = F.struct(
+            one["id"].alias("id"), one["name"].alias("name"), one["words"].alias("words"),
+            F.coalesce(first, one["id"]).alias("cluster_id"),
+        )
+        return F.concat(made, F.array(row).cast(kind))
+
+    counted = F.transform(
+        F.array_sort(names),
+        lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), F.size(F.split(x["name"], " ")).alias("words")),
     )
-    heads = named.groupBy("work_id", "name").agg(F.min("id").alias("id"))
+    return F.aggregate(counted, F.array().cast(kind), add)
+
+
+def _many_name_clusters(heads: DataFrame) -> DataFrame:
+    """(work_id, name, cluster_id) of works with any number of names, which meet on their affixes."""
+    from ..functions.fold import names_match
+
     a = heads.select("work_id", c("name").alias("a_name"), c("id").alias("a_id"))
     pairs = None
     for left_all in (True, False):
@@ -170,12 +188,38 @@ def name_clusters(submissions: DataFrame) -> DataFrame:
         )
         pairs = found if pairs is None else pairs.unionByName(found)
     grouped = greedy_groups(pairs.distinct(), every=False)
-    keyed = cut_lineage(
-        heads.join(grouped, c("id") == c("node"), "left").select(
-            "work_id", "name", F.coalesce("grp", "id").alias("cluster_id")
-        )
+    return heads.join(grouped, c("id") == c("node"), "left").select(
+        "work_id", "name", F.coalesce("grp", "id").alias("cluster_id")
     )
-    return named.join(keyed, ["work_id", "name"])
+
+
+def name_clusters(submissions: DataFrame) -> DataFrame:
+    """Cluster of every named queue row within its work.
+
+    Names are compared once per (work, name), in order of first appearance; all
+    rows of one name stay together. The names of a work are one row where they are
+    few. Those of a work with very many names meet on their affixes, so it is not
+    paired with itself.
+    """
+    from ..operators.numbering import top_per_key
+    from ..session import cut_lineage, snapshot
+
+    rows = submissions.filter(c("work_id").isNotNull()).select(
+        "id", "work_id", "place_name", "source_kind", "lat", "lng"
+    )
+    named = snapshot(computed(rows, name=normalize_name(c("place_name"))).filter(c("name") != ""))
+    heads = named.groupBy("work_id", "name").agg(F.min("id").alias("id"))
+    listed = snapshot(
+        top_per_key(heads, ["work_id"], [c("id")], FEW_NAMES + 1).groupBy("work_id")
+        .agg(F.collect_list(F.struct("id", "name")).alias("names"))
+    )
+    few = listed.filter(F.size("names") <= FEW_NAMES).select("work_id", F.inline(_clusters_of(c("names"))))
+    keyed = few.select("work_id", "name", "cluster_id")
+    crowded = listed.filter(F.size("names") > FEW_NAMES).select("work_id")
+    if not crowded.isEmpty():
+        many = cut_lineage(heads.join(crowded, "work_id", "left_semi"))
+        keyed = keyed.unionByName(cut_lineage(_many_name_clusters(many)))
+    return named.join(spatial.shuffled(keyed), ["work_id", "name"])
 
 
 def corroborations(clusters: DataFrame) -> DataFrame:
@@ -195,19 +239,17 @@ def corroborations(clusters: DataFrame) -> DataFrame:
     )
     totals = per_source.groupBy("cluster_id").agg(
         F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("kinds"), F.min("donor").alias("donor"),
-        F.sort_array(F.collect_set("source_kind")).alias("all_kinds"),  # a handful of kinds
-    )
-    rows = (
-        clusters.join(totals.filter(c("kinds") > 1), "cluster_id")
-        .join(per_source.select("cluster_id", "source_kind", c("n").alias("own")),
-              ["cluster_id", "source_kind"])
+        F.sort_array(F.collect_list(F.struct("source_kind", "n"))).alias("sources"),  # a handful of kinds
     )
+    rows = clusters.filter(c("source_kind").isNotNull()).join(totals.filter(c("kinds") > 1), "cluster_id")
+    all_kinds = F.array_compact(F.transform("sources", lambda x: x["source_kind"]))
+    its = F.get(F.filter("sources", lambda x: x["source_kind"] == c("source_kind")), F.lit(0))["n"]
     borrows = ~has_point & c("donor").isNotNull() & (c("donor.id") != c("id"))
     return rows.select(
         "id",
         "cluster_id",
-        (c("n_all") - c("own")).alias("others"),
-        F.array_remove("all_kinds", c("source_kind")).alias("other_kinds"),
+        (c("n_all") - its).alias("others"),
+        F.array_remove(all_kinds, c("source_kind")).alias("other_kinds"),
         F.when(borrows, c("donor.id")).alias("donor_id"),
         F.when(borrows, c("donor.lat")).otherwise(c("lat")).alias("lat"),
         F.when(borrows, c("donor.lng")).otherwise(c("lng")).alias("lng"),
@@ -223,12 +265,13 @@ def corroboration_lists(clusters: DataFrame) -> DataFrame:
     cluster but its own source's. So all lists together are as long as the queue, while one per
     row would be quadratic in the cluster.
     """
-    several = clusters.groupBy("cluster_id").agg(
-        F.min("source_kind").alias("_a"), F.max("source_kind").alias("_b")
-    ).filter(c("_a") != c("_b")).select("cluster_id")
-    return clusters.join(several, "cluster_id", "left_semi").groupBy("cluster_id", "source_kind").agg(
+    # Rows are dealt out once; a cluster's lists, a handful, lie together.
+    lists = clusters.repartition("cluster_id").groupBy("cluster_id", "source_kind").agg(
         F.sort_array(F.collect_list(F.struct("id", "place_name"))).alias("rows")
     )
+    there = Window.partitionBy("cluster_id")
+    kinds = lists.withColumn("_a", F.min("source_kind").over(there)).withColumn("_b", F.max("source_kind").over(there))
+    return kinds.filter(c("_a") != c("_b")).drop("_a", "_b")
 
 
 # --- same spot -----------------------------------------------------------------------
