@@ -82,3 +82,25 @@ def test_call_arguments():
     page = "x moviemaps.loadPublic('map', {\"lid\": 1, \"t\": \"a)\\\"b\"}, [{\"lid\": 2}, {\"q\": 1}]) y"
     assert [x["lid"] for x in wiki.payload_locations(page)] == [1, 2]
     assert wiki.payload_locations("moviemaps.loadPublic('map', {\"lid\": 1}") == []
+
+
+def test_rectangles_after_a_full_one_make_no_tiles(spark):
+    stops = _stops(spark, [(48.85, 2.35), (48.86, 2.36), (0.0, 0.0), (60.0, 90.0), (48.86, 2.37)])
+    made = []
+    kept = trails._first_rectangles
+
+    def noted(rectangles):
+        made.append((rectangles.count(), kept(rectangles).select("rank", "z").collect()))
+        return kept(rectangles)
+
+    trails._first_rectangles = noted
+    try:
+        got = trails.corridor_tiles(trails.legs(stops)).drop("leg").collect()
+        trails._first_rectangles = lambda rectangles: rectangles
+        whole = trails.corridor_tiles(trails.legs(stops)).drop("leg").collect()
+    finally:
+        trails._first_rectangles = kept
+    assert sorted(got) == sorted(whole) and len(got) == 400
+    total, first = made[0]
+    # Four legs of two zooms; the second leg's first zoom fills the trail.
+    assert total == 8 and len(first) == 3 and len({r.rank for r in first}) == 2
