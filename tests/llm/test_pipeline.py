@@ -36,3 +36,21 @@ def test_stages(spark, make, prose, tmp_path):
     assert all(clean[i].text == single[i].text for i in single if not 410 <= i < 413)
     assert set(packed) == set(clean)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1].count()
+
+
+def test_a_stage_called_by_itself_starts_tidy(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(corpus_pipeline, "take_back", lambda: done.append("lent"))
+    monkeypatch.setattr(corpus_pipeline, "tidy_workers", lambda spark: done.append("workers"))
+    monkeypatch.setattr(corpus_pipeline, "small_batches", lambda spark: done.append("batches"))
+    for module, step in [
+        (corpus_pipeline.quality_fm, "keep_good"), (corpus_pipeline.line_dedup, "remove_repeats"),
+        (corpus_pipeline.neardup, "drop_near_duplicates"), (corpus_pipeline.decontaminate, "remove_spans"),
+        (corpus_pipeline.packing, "pack"),
+    ]:
+        monkeypatch.setattr(module, step, lambda docs, *more: done.append("stage") or docs)
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES:
+        done.clear()
+        assert stage(spark, docs, "/root/testdata/sf0.001") is not None
+        assert done == ["batches", "lent", "workers", "stage"]
