@@ -369,18 +369,22 @@ def _open_lists(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _bit_map(pairs: DataFrame) -> bytes:
-    """Bits of the ids in ``pairs``; a full map would only let more rows pass."""
-    bits = np.zeros(FILTER_BITS, bool)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    for row in ids.mapInArrow(_bit_numbers, "bit int").distinct().toLocalIterator():
-        bits[row.bit] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    """Bits of the ids in ``pairs``, gathered as words; a full map would only let more rows pass."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    made = ids.mapInArrow(_bit_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, "<i8")
+    words[made["word"].to_numpy()] = made["bits"].to_numpy()
+    return words.tobytes()
 
 
-def _bit_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy().view(np.uint64)
-        yield W.record_batch(bit=(W.mix(ids) % np.uint64(FILTER_BITS)).astype(np.int32))
+        bit = np.unique(W.mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS))
+        word, first = np.unique((bit >> np.uint64(6)).astype(np.int32), return_index=True)
+        ones = np.uint64(1) << (bit & np.uint64(63))
+        yield W.record_batch(
+            word=word, bits=(np.bitwise_or.reduceat(ones, first) if len(bit) else ones).view(np.int64)
+        )
 
 
 def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -397,7 +401,7 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     all_lists = written(postings(classes, percent, table).withColumn("comp", c("id")), "postings")
     lists = _open_lists(all_lists, None)
     forget(all_lists)
-    links, comps = None, None
+    comps = None
     turn, last = 0, False
     while not last and not lists.isEmpty():
         last = turn == len(LEADERS) or turn > 0 and _is_little(lists)
@@ -414,8 +418,10 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if not open_.isEmpty():
             sets = full_sets(docs, width, _bit_map(open_))
             found = found.unionByName(written(_verified(open_, sets, percent), "verified"))
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        if comps is not None:
+            # A star says all that the links of earlier rounds said.
+            found = found.unionByName(comps.select(c("node").alias("a"), c("component").alias("b")))
+        comps = components(found)
         if not last:
             before, lists = lists, _open_lists(lists, comps)
             forget(before)

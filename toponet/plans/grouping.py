@@ -48,13 +48,46 @@ def mergeable_pairs(shapes_: DataFrame) -> DataFrame:
     )
 
 
+#: Edges up to which a round is one task. A round never has more than the one before.
+LITTLE = 50_000
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.inline(F.array(F.struct("u", "v"), F.struct(c("v").alias("u"), c("u").alias("v")))))
+
+
+def _small_round(pairs: DataFrame) -> DataFrame:
+    """Both stars over few edges, without a shuffle or a join."""
+    there = Window.partitionBy("u")
+    least = _both_ways(pairs.coalesce(1)).withColumn("m", F.least(F.min("v").over(there), "u"))
+    large = least.filter(c("v") > c("u")).select(c("v").alias("u"), c("m").alias("v")).distinct()
+    made = F.array(F.struct("u", c("m").alias("v")), F.struct(c("v").alias("u"), c("m").alias("v")))
+    small = large.withColumn("m", F.min("v").over(there)).select(F.inline(made))
+    return small.filter(c("u") != c("v")).distinct()
+
+
+def _round(pairs: DataFrame) -> DataFrame:
+    """The same over any number of edges; a hub's edges need not lie together."""
+    both = _both_ways(pairs)
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").filter(c("v") > c("u")).select(
+        c("v").alias("u"), c("m").alias("v")
+    ).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").filter(c("v") != c("m")).select(
+        c("v").alias("u"), c("m").alias("v")
+    )
+    return small.unionByName(low.select("u", c("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge list (a, b); the component is its smallest node.
 
     Alternating large-star and small-star rounds: the number of rounds grows with
     the logarithm of the longest chain, and a hub's edges are re-pointed instead
     of multiplied. Every round is checkpointed; two aggregates decide when the
-    edge set stands still.
+    edge set stands still. A few edges go in one task: five shuffles of a few rows
+    each cost far more tasks, files and plans than they are worth.
     """
     from ..session import cut_lineage
 
@@ -67,16 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs)
     before = state(pairs)
     while before[0]:
-        both = pairs.unionByName(pairs.select(c("v").alias("u"), c("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter(c("v") > c("u")).select(
-            c("v").alias("u"), c("m").alias("v")
-        ).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter(c("v") != c("m")).select(
-            c("v").alias("u"), c("m").alias("v")
-        )
-        pairs = cut_lineage(small.unionByName(low.select("u", c("m").alias("v"))).distinct())
+        pairs = cut_lineage(_small_round(pairs) if before[0] <= LITTLE else _round(pairs))
         after = state(pairs)
         if after == before:
             break
