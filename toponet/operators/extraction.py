@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases
 from ..functions.fold import normalize_name
+from ..session import computed, snapshot
 from . import textmatch
 from .numbering import group_ranks, top_per_key
 
@@ -40,36 +41,39 @@ def plot_scenes(quotes: DataFrame, plots: DataFrame, key: str) -> DataFrame:
 def extraction_reasons(rows: DataFrame, articles: DataFrame) -> DataFrame:
     """Row-level reason to drop an extracted place, NULL when it may be accepted.
 
+    ``late`` is told of rows without an ``early`` reason only.
     ``rows``: article_id, position, place_name, source_sentence, role;
     ``articles``: article_id, prose, brought to comparison form once.
     """
     from ..functions.evidence import literal_map
 
-    name, sentence = F.trim("place_name"), F.trim("source_sentence")
+    name, sentence = c("_name"), c("_said")
     relation = F.try_element_at(literal_map(ROLES), F.lower(F.trim("role")))
-    quote = phrases.quote_form(c("source_sentence"))
     early = (
         F.when(
             (normalize_name(name) == "") | ~F.char_length(name).between(2, 160), "no_name"
-        ).when(relation.isNull(), "role_not_accepted")
+        ).when(c("relation_kind").isNull(), "role_not_accepted")
     )
-    late = (
-        F.when(~F.char_length(sentence).between(10, 400), "quote_wrong_length")
-        .when(~c("_form").contains(quote), "quote_not_in_source")
-        .when(phrases.quote_rejection(sentence).isNotNull(), phrases.quote_rejection(sentence))
-        .when(~phrases.mentions_place(sentence, name), "quote_is_about_elsewhere")
-        .when(phrases.names_a_person(name, sentence), "names_a_person")
-        .when(
-            ~phrases.supports_role(sentence, relation),
+    # Each test runs once a row, and only where all before it let the row pass.
+    late = F.coalesce(
+        F.when(~F.char_length(sentence).between(10, 400), "quote_wrong_length"),
+        F.when(~c("_form").contains(phrases.quote_form(c("source_sentence"))), "quote_not_in_source"),
+        phrases.quote_rejection(sentence),
+        F.when(~phrases.mentions_place(sentence, name), "quote_is_about_elsewhere"),
+        F.when(phrases.names_a_person(name, sentence), "names_a_person"),
+        F.when(
+            ~phrases.supports_role(sentence, c("relation_kind")),
             F.when(sentence.rlike(phrases.js(phrases.PLAN_NOT_FACT)), "quote_is_a_plan_not_a_fact").otherwise(
                 "quote_does_not_support_role"
             ),
-        )
+        ),
     )
-    forms = articles.select("article_id", phrases.quote_form(c("prose")).alias("_form"))
-    return rows.join(forms, "article_id").select(
-        "article_id", "position", name.alias("place_name"), sentence.alias("source_sentence"),
-        relation.alias("relation_kind"), early.alias("early"), late.alias("late"),
+    forms = computed(articles.select("article_id", "prose"), _form=phrases.quote_form(c("prose"))).drop("prose")
+    told = computed(rows, _name=F.trim("place_name"), relation_kind=relation)
+    told = computed(told, early=early).join(forms, "article_id").withColumn("_said", F.trim("source_sentence"))
+    return computed(told, late=F.when(c("early").isNull(), late)).select(
+        "article_id", "position", c("_name").alias("place_name"), c("_said").alias("source_sentence"),
+        "relation_kind", "early", "late",
     )
 
 
@@ -80,10 +84,13 @@ def accept_extractions(rows: DataFrame, articles: DataFrame) -> DataFrame:
     overlap or one names none. That relation is not transitive, so it is decided
     in order, but only among the distinct area lists of one head in one article.
     """
-    judged = (
-        extraction_reasons(rows, articles)
-        .withColumn("head", normalize_name(phrases.place_head(c("place_name"))))
-        .withColumn("areas", F.array_sort(F.array_distinct(phrases.area_keys(c("place_name")))))
+    # Judged once: what passes, and every row with its reason, are read from there.
+    judged = snapshot(
+        computed(
+            extraction_reasons(rows, articles).drop("source_sentence"),
+            head=F.when(c("early").isNull(), normalize_name(phrases.place_head(c("place_name")))),
+            areas=F.when(c("early").isNull(), F.array_sort(F.array_distinct(phrases.area_keys(c("place_name"))))),
+        )
     )
     key = ["article_id", "head"]
     passing = judged.filter(c("early").isNull() & c("late").isNull())
