@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import phrases
+from ..session import computed
 
 c = F.col
 
@@ -162,7 +163,8 @@ def title_claims(texts: DataFrame, works: DataFrame, key: str) -> DataFrame:
     first work (smallest id) per text wins; the pairs carry ids and the text is
     joined back for the test, so long texts are not copied per run.
     """
-    titles = works.filter(matchable_title(c("title"))).select("work_id", "title", "kind")
+    # What a text says near a title is the same for all works of that title and kind.
+    titles = works.filter(matchable_title(c("title"))).groupBy("title", "kind").agg(F.min("work_id").alias("work_id"))
     words = F.filter(F.split(ascii_words(c("title")), " "), lambda w: w != "")
     leads = _hashed(
         titles.withColumn("_lead", lead_run(words)).filter(c("_lead").isNotNull())
@@ -175,14 +177,14 @@ def title_claims(texts: DataFrame, works: DataFrame, key: str) -> DataFrame:
     rows = pairs.join(texts.select(key, "text"), key)
     quoted = F.concat(F.lit("\\Q"), F.replace("title", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     border = F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
-    at = F.regexp_instr(c("text"), border)
-    start = F.greatest(at - CLAIM_WINDOW, F.lit(1))
+    start = F.greatest(c("at") - CLAIM_WINDOW, F.lit(1))
     context = F.substring(
-        c("text"), start, at + F.char_length("title") + CLAIM_WINDOW - start
+        c("text"), start, c("at") + F.char_length("title") + CLAIM_WINDOW - start
     )
-    # Only a text that holds the title as it is written is worth the pattern.
-    hits = rows.filter(c("text").contains(c("title"))).withColumn("at", at).filter(c("at") > 0)
-    hits = hits.withColumn("context", context).filter(phrases.has_claim_word(c("context"), c("kind")))
+    # Only a text that holds the title as it is written is worth the pattern, which runs once a pair.
+    at = F.when(c("text").contains(c("title")), F.regexp_instr(c("text"), border))
+    hits = computed(rows, at=at).filter(c("at") > 0)
+    hits = computed(hits, context=context).drop("text").filter(phrases.has_claim_word(c("context"), c("kind")))
     return hits.groupBy(key).agg(F.min(F.struct("work_id", "at", "context")).alias("_b")).select(
         key,
         c("_b.work_id").alias("work_id"),
