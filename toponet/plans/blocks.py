@@ -10,6 +10,7 @@ size, and no task ever holds a component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,9 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import spatial
 from ..operators.grouped import grouped_map
 from ..operators.numbering import group_ranks
-from ..session import cut_lineage
+from ..session import cut_lineage, snapshot
 
 c = F.col
 
@@ -115,94 +117,178 @@ def greedy(edges: DataFrame, comps: DataFrame, every: bool, size: int | None = N
     return by_blocks(nodes, step)
 
 
-def whole_metres(lat1, lng1, lat2, lng2) -> float:
+def whole_metres(lat1: float, lng1: float, lat2: float, lng2: float) -> int:
     """Great-circle metres between points in radians, halves up."""
-    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lng2 - lng1) / 2) ** 2
-    return np.floor(2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) + 0.5)
+    h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lng2 - lng1) / 2) ** 2
+    return math.floor(2 * 6371000.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h)) + 0.5)
+
+
+def _placed() -> Column:
+    """Whether a shape has a key and a point."""
+    fine = (c("key") != "") & (F.abs("lat") < 1e6) & (F.abs("lng") < 1e6)
+    return F.coalesce(fine, F.lit(False))
+
+
+def alike_cells(shapes: DataFrame, reach_m: float, alike: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """``shapes`` with ``spot``, a number of their cell and key, and the pairs (a, b) of spots that may be alike.
+
+    Shapes within ``reach_m`` whose keys are ``alike`` (the shorter first, which begins or ends the longer)
+    have one spot or a pair of them. Spots of a crowded street are few, its pairs of shapes are not.
+    """
+    size = reach_m + 1.0
+    cell = spatial.cell_of(c("lat"), c("lng"), size)
+    shapes = shapes.withColumn("_cell", cell).withColumn("spot", F.xxhash64("_cell", "key"))
+    named = shapes.filter(_placed())
+    around = named.select(
+        c("spot").alias("a"), c("key").alias("a_key"),
+        F.explode(spatial.cover(c("lat"), c("lng"), F.lit(size), size)).alias("_cell"),
+    ).distinct()
+    spots = named.select(c("spot").alias("b"), "key", "_cell").distinct()
+    short = around.withColumn("_key", F.explode(spatial._affix_keys(c("a_key"), "es", False)))
+    long = spots.withColumn("_key", F.explode(spatial._affix_keys(c("key"), "es", True)))
+    pairs = spatial.shuffled(short).join(spatial.shuffled(long), ["_cell", "_key"]).filter(
+        (c("a") != c("b")) & (c("key").startswith(c("a_key")) | c("key").endswith(c("a_key")))
+        & alike(c("a_key"), c("key"))
+    )
+    return shapes.drop("_cell"), pairs.select("a", "b").distinct()
+
+
+class Near:
+    """Groups by where their first point is and by the key of their present name.
+
+    A group is listed in the 27 cubes around its point, so whatever lies within the radius is found in
+    one cube, at the date line and the poles too; of a cube only the keys that fit are looked at.
+    """
+
+    def __init__(self, radius_m: float, fits: Callable[[str, str], bool], keys: set[str]):
+        self.radius_m, self.fits, self.side = radius_m, fits, radius_m + 1.0
+        self.keys, self.cubes, self.groups = keys, {}, {}
+        self.alike: dict[str, set[str]] = {}
+        # A key that fits another begins or ends it.
+        for key in keys:
+            for n in range(1, len(key) + 1):
+                for piece in (key[:n], key[-n:]):
+                    if piece in keys:
+                        self.alike.setdefault(key, set()).add(piece)
+                        self.alike.setdefault(piece, set()).add(key)
+
+    def cube(self, lat: float, lng: float) -> tuple[int, int, int]:
+        flat = 6371000.0 * math.cos(lat)
+        at = flat * math.cos(lng), flat * math.sin(lng), 6371000.0 * math.sin(lat)
+        return tuple(math.floor(x / self.side) for x in at)
+
+    def _lists(self, lat: float, lng: float) -> list[dict]:
+        x, y, z = self.cube(lat, lng)
+        return [
+            self.cubes.setdefault((x + i, y + j, z + k), {}) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
+        ]
+
+    def put(self, group: int, name: str, key: str, lat: float, lng: float) -> None:
+        self.groups[group] = [name, key, lat, lng]
+        for here in self._lists(lat, lng):
+            here.setdefault(key, []).append(group)
+
+    def rename(self, group: int, name: str, key: str) -> None:
+        _, old, lat, lng = said = self.groups[group]
+        said[:2] = name, key
+        if key != old:
+            for here in self._lists(lat, lng):
+                here[old].remove(group)
+                if not here[old]:
+                    del here[old]
+                here.setdefault(key, []).append(group)
+
+    def first(self, key: str, lat: float, lng: float) -> int | None:
+        """The smallest group near enough whose key fits."""
+        here, alike = self.cubes.get(self.cube(lat, lng)), self.alike.get(key, ())
+        best = None
+        for one in (x for x in list(here) if x in alike) if here and len(here) < len(alike) else alike:
+            there = here and here.get(one)
+            if there and self.fits(key, one):
+                for group in there:
+                    if (best is None or group < best) and whole_metres(*self.groups[group][2:], lat, lng) <= self.radius_m:
+                        best = group
+        return best
 
 
 def first_fit(
-    shapes: DataFrame, edges: DataFrame, comps: DataFrame, radius_m: float,
+    shapes: DataFrame, radius_m: float, alike: Callable[[Column, Column], Column],
     fits: Callable[[str, str], bool], better: Callable[[str, str], bool], size: int | None = None,
 ) -> DataFrame:
     """(node, grp): each shape joins the first group whose first point is near and whose name fits.
 
     ``shapes``: node, name, key, lat, lng. A group is known by its first shape, and named by
     the name that is ``better`` than all before. ``fits`` compares the keys of two names, the
-    shape's first. A group's name is a member's, so a shape only meets groups that hold a
-    neighbour; ``edges`` have to join all shapes whose keys fit within twice the radius.
+    shape's first; ``alike`` is the same on columns. A group's name is a member's, so a shape only
+    meets groups with a member within twice the radius whose key fits. Shapes that can meet so are
+    joined over spots (``alike_cells``): pairs of shapes are never made, which a crowded street has by the million.
     """
-    linked = comps.select("node", "component")
-    nodes = number_blocks(shapes.join(linked, "node"), F.floor(c("node") / 4096), size)
-    links = _linked(edges, nodes)
+    from .grouping import components
+
+    spotted, pairs = alike_cells(shapes, 2 * radius_m, alike)
+    pairs = cut_lineage(pairs)
+    comps = components(pairs)
+    spotted = spotted.join(comps.withColumnRenamed("node", "spot"), "spot", "left")
+    spotted = snapshot(spotted.withColumn("component", F.coalesce("component", "spot")))
+    # A shape that no other can meet is its own group, and so is one without a key or a point.
+    sizes = spotted.filter(_placed()).groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    met = sizes.filter(c("_n") > 1).select("component")
     state = ["name", "key", "lat", "lng"]
+    nodes = number_blocks(
+        spotted.filter(_placed()).join(met, "component", "left_semi"), F.floor(c("node") / 4096), size
+    )
+    both = pairs.unionByName(pairs.select(c("b").alias("a"), c("a").alias("b")))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set] = {}
-        held: dict[int, set] = {}
-        groups: dict[int, list] = {}
-        rows, round_ = [], int(pdf["k"].iloc[0])
-        for kind, a, b, name, key, lat, lng in zip(*(pdf[x] for x in ("kind", "a", "b", *state))):
-            if kind == 0:
-                rows.append((a, name, key, lat, lng))
-            elif kind == 1:
-                near.setdefault(a, set()).add(b)
-            elif kind == 2:
-                held.setdefault(a, set()).add(b)
-            else:
-                groups[a] = [name, key, lat, lng]
-        group_of: dict[int, int] = {}
-        touched = set()
-        for node, name, key, lat, lng in sorted(rows):
-            known = held.get(node, set()) | {group_of[x] for x in near.get(node, ())}
-            home = None
-            for group in sorted(known):
-                _, its_key, its_lat, its_lng = groups[group]
-                metres = whole_metres(*map(np.radians, (its_lat, its_lng, lat, lng)))
-                if metres <= radius_m and fits(key, its_key):
-                    home = group
-                    break
+        round_ = int(pdf["k"].iloc[0])
+        near = Near(radius_m, fits, set(pdf["key"]))
+        columns = [pdf["kind"], pdf["node"], pdf["name"], pdf["key"], np.radians(pdf["lat"]), np.radians(pdf["lng"])]
+        rows = sorted(zip(*(x.tolist() for x in columns), pdf["lat"].tolist(), pdf["lng"].tolist()), key=lambda x: x[1])
+        points = {}
+        for kind, node, name, key, lat, lng, *point in rows:
+            if kind == 3:
+                near.put(node, name, key, lat, lng)
+                points[node] = point
+        out, touched = [], set()
+        for kind, node, name, key, lat, lng, *point in rows:
+            if kind == 3:
+                continue
+            home = near.first(key, lat, lng)
             if home is None:
                 home = node
-                groups[home] = [name, key, lat, lng]
+                near.put(node, name, key, lat, lng)
+                points[node] = point
                 touched.add(home)
-            elif better(name, groups[home][0]):
-                groups[home][:2] = name, key
+            elif better(name, near.groups[home][0]):
+                near.rename(home, name, key)
                 touched.add(home)
-            group_of[node] = home
-        made = [(0, node, grp, 0, None, None, None, None) for node, grp in group_of.items()]
-        made += [(3, g, g, round_, *groups[g]) for g in touched]
-        return pd.DataFrame(made, columns=["kind", "node", "grp", "k", *state])
+            out.append((0, node, home, 0, None, None, None, None))
+        out += [(3, g, g, round_, *near.groups[g][:2], *points[g]) for g in touched]
+        return pd.DataFrame(out, columns=["kind", "node", "grp", "k", *state])
 
     def step(part: DataFrame, k: int, done: DataFrame | None) -> DataFrame:
-        none = [F.lit(None).cast("string").alias(x) for x in state[:2]] + [
-            F.lit(None).cast("double").alias(x) for x in state[2:]
-        ]
-
-        def row(kind: int, a: str, b: str, said: list) -> list:
-            return ["component", F.lit(kind).alias("kind"), c(a).alias("a"), c(b).alias("b"), *said, F.lit(k).alias("k")]
+        def row(kind: int) -> list:
+            return ["component", F.lit(kind).alias("kind"), "node", *state, F.lit(k).alias("k")]
 
-        mine = links.filter(c("v_block") == k)
-        rows = part.select(*row(0, "node", "node", state)).unionByName(
-            mine.filter(c("u_block") == k).select(*row(1, "v", "u", none))
-        )
+        rows = part.select(*row(0))
         if done is not None:
-            members = done.filter(c("kind") == 0).select(c("node").alias("u"), "grp")
-            carried = mine.filter(c("u_block") < k).join(members, "u").select("component", "v", "grp").distinct()
+            asked = part.select("component", c("spot").alias("a")).distinct()
+            asked = asked.unionByName(asked.join(both, "a").select("component", c("b").alias("a"))).distinct()
+            held = done.filter(c("kind") == 0).join(nodes.select("node", "spot"), "node").select(
+                c("spot").alias("a"), "grp"
+            ).distinct()
+            carried = asked.join(held, "a").select("component", "grp").distinct()
             latest = done.filter(c("kind") == 3).groupBy("grp").agg(F.max_by(F.struct(*state), "k").alias("s"))
-            known = carried.select("component", "grp").distinct().join(latest, "grp").select("component", "grp", "s.*")
-            rows = rows.unionByName(carried.select(*row(2, "v", "grp", none))).unionByName(
-                known.select(*row(3, "grp", "grp", state))
-            )
+            known = carried.join(latest, "grp").select("component", c("grp").alias("node"), "s.*")
+            rows = rows.unionByName(known.select(*row(3)))
         return grouped_map(
             rows, "component", assign,
             "kind int, node long, grp long, k int, name string, key string, lat double, lng double",
         )
 
     grouped = by_blocks(nodes, step).filter(c("kind") == 0).select("node", "grp")
-    # A shape without a neighbour is its own group.
-    alone = shapes.join(linked, "node", "left_anti").select("node", c("node").alias("grp"))
-    return grouped.unionByName(alone)
+    alone = spotted.filter(_placed()).join(met, "component", "left_anti").unionByName(spotted.filter(~_placed()))
+    return grouped.unionByName(alone.select("node", c("node").alias("grp")))
 
 
 class Names:

@@ -382,7 +382,7 @@ def answer_groups(points: DataFrame) -> DataFrame:
 
     ``points``: point_id, name, lat, lng. A group's name is always a member's
     name, so members are linked by name matches within 300 m; those links make
-    the components, not bare distance.
+    the components, not bare distance, and they are made between cells of names.
     """
     from ..session import cut_lineage
 
@@ -392,33 +392,9 @@ def answer_groups(points: DataFrame) -> DataFrame:
         .groupBy("name", "name_key", "lat", "lng")
         .agg(F.min("point_id").alias("id"))
     )
-    keyed = shaped.select("id", c("name_key").alias("name"), "lat", "lng")
-    a = keyed.select(
-        c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
-    )
-    match = spatial.near_named_pairs(a, keyed, 2 * ANSWER_RADIUS_M).select(
-        c("a_id").alias("a"), c("id").alias("b")
-    )
-    # Longer names that go on after a name of two words or more.
-    words = F.split("name", " ")
-    prefixes = F.transform(
-        F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))),
-        lambda i: F.array_join(F.slice(words, F.lit(1), i), " "),
-    )
-    size = 2 * ANSWER_RADIUS_M + 1
-    left = a.filter(F.size(F.split("a_name", " ")) >= 2).withColumn("_k", c("a_name")).withColumn(
-        "_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(size), size))
-    )
-    right = keyed.withColumn("_k", F.explode(prefixes)).withColumn(
-        "_cell", spatial.cell_of(c("lat"), c("lng"), size)
-    )
-    longer = spatial.shuffled(left).join(spatial.shuffled(right), ["_cell", "_k"]).filter(
-        (c("a_id") != c("id")) & (spatial.whole_metres() <= 2 * ANSWER_RADIUS_M)
-    ).select(c("a_id").alias("a"), c("id").alias("b"))
-    edges = cut_lineage(match.unionByName(longer).filter(c("a") != c("b")).distinct())
     made = blocks.first_fit(
-        shaped.select(c("id").alias("node"), "name", c("name_key").alias("key"), "lat", "lng"), edges,
-        components(edges), ANSWER_RADIUS_M, _answer_name_fits, lambda one, two: len(one) < len(two),
+        shaped.select(c("id").alias("node"), "name", c("name_key").alias("key"), "lat", "lng"),
+        ANSWER_RADIUS_M, _answer_names_alike, _answer_name_fits, lambda one, two: len(one) < len(two),
     )
     placed = shaped.join(made, c("id") == c("node")).select("name", "lat", "lng", c("grp").alias("group_id"))
     return points.join(placed, ["name", "lat", "lng"])
@@ -433,6 +409,14 @@ def affix_match(one: str, two: str) -> bool:
     return one == two or abs(len(x) - len(y)) <= 1 and (long.endswith(short) or long.startswith(short))
 
 
+def _answer_names_alike(short: Column, long: Column) -> Column:
+    """``_answer_name_fits`` of keys of which the first begins or ends the second."""
+    from ..functions.fold import names_match
+
+    goes_on = (F.size(F.split(short, " ")) >= 2) & long.startswith(F.concat(short, F.lit(" ")))
+    return names_match(short, long) | goes_on
+
+
 def _answer_name_fits(one: str, two: str) -> bool:
     """As ``affix_match``, or one goes on after the other, which has two words or more."""
     if affix_match(one, two):

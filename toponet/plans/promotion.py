@@ -29,11 +29,10 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
     member's; members are therefore linked by name matches within 80 m, and the
     ordered pass runs inside those components over distinct (name, point).
     """
-    from ..functions.fold import normalize_name
-    from ..operators import spatial
+    from ..functions.fold import names_match, normalize_name
     from ..session import cut_lineage
     from . import blocks
-    from .grouping import affix_match, components
+    from .grouping import affix_match
 
     with_id = rows.filter(c("wikidata_id").isNotNull())
     first = with_id.groupBy("wikidata_id").agg(F.min("id").alias("group_id"))
@@ -44,17 +43,9 @@ def promotion_groups(rows: DataFrame) -> DataFrame:
             "key", normalize_name(c("place_name"))
         )
     )
-    keyed = shaped.select(c("sid").alias("id"), c("key").alias("name"), "lat", "lng")
-    a = keyed.select(
-        c("id").alias("a_id"), c("name").alias("a_name"), c("lat").alias("a_lat"), c("lng").alias("a_lng")
-    )
-    edges = cut_lineage(
-        spatial.near_named_pairs(a, keyed, 2 * PROMOTE_RADIUS_M).filter(c("a_id") < c("id"))
-        .select(c("a_id").alias("a"), c("id").alias("b"))
-    )
     made = blocks.first_fit(
-        shaped.select(c("sid").alias("node"), c("place_name").alias("name"), "key", "lat", "lng"), edges,
-        components(edges), PROMOTE_RADIUS_M, affix_match, lambda one, two: (len(one), one) < (len(two), two),
+        shaped.select(c("sid").alias("node"), c("place_name").alias("name"), "key", "lat", "lng"),
+        PROMOTE_RADIUS_M, names_match, affix_match, lambda one, two: (len(one), one) < (len(two), two),
     )
     placed = shaped.join(made, c("sid") == c("node")).select("place_name", "lat", "lng", c("grp").alias("group_id"))
     by_name = bare.join(placed, ["place_name", "lat", "lng"]).select("id", "group_id")
