@@ -129,3 +129,16 @@ def test_gazetteer_is_asked_once_per_name(spark):
     assert resolution.ask_through(names, known, cache).isEmpty()
     more = names.union(spark.createDataFrame([("new mill",)], "query_norm string"))
     assert [tuple(r) for r in resolution.ask_through(more, known, cache).collect()] == [("new mill", 8, 52.0, 2.0)]
+
+
+def test_groups_are_found_without_links_and_evidence(graph):
+    plan = promotion.promote(graph["rows"], graph["places"], None, None)
+    assert sorted(r.place_id for r in plan["groups"].collect()) == [100, 101, 102, 103, 104]
+
+
+def test_snapshot_is_not_broadcast_for_its_small_files(spark):
+    from toponet.session import snapshot
+
+    rows = snapshot(spark.range(1000).selectExpr("id", "'the same text in every row' as text"))
+    plan = rows.join(rows.withColumnRenamed("text", "other"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
