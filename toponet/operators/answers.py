@@ -31,11 +31,12 @@ def search_answer(links: DataFrame, places: DataFrame, submissions: DataFrame) -
         c("work_id").alias("h_work"), fold.normalize_name(c("name")).alias("name"), "lat", "lng",
         c("place_id").alias("id"),
     ).distinct()
-    reach = 151.0
+    # Cells far wider than the reach: most points are in one or two of them, not in nine.
+    reach, size = 151.0, 755.0
     near = (
-        shown.withColumn("_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(reach), reach)))
+        shown.withColumn("_cell", F.explode(spatial.cover(c("a_lat"), c("a_lng"), F.lit(reach), size)))
         .join(
-            held.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), reach)).withColumnRenamed("h_work", "work_id"),
+            held.withColumn("_cell", spatial.cell_of(c("lat"), c("lng"), size)).withColumnRenamed("h_work", "work_id"),
             ["work_id", "_cell"],
         )
         .filter(fold.names_match(c("a_name"), c("name")) & (spatial.whole_metres() <= 150))
